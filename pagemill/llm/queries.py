@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import p1_lines, p7_chunks, p8_tokens, p9_mix
+from pagemill.llm import p1_lines, p4_neardup, p7_chunks, p8_tokens, p9_mix
 from pagemill.llm.common import table
 
 
@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_lines.found(table(spark, sf, "scrapes").select("scrape_id", "url", "markdown"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_neardup.found(table(spark, sf, "scrapes").select("scrape_id", "markdown"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_chunks.found(table(spark, sf, "scrapes").select("scrape_id", "markdown"), table(spark, sf, "chunk_profiles"))
 
@@ -32,7 +36,7 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p7_found, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p4_found, p7_found, p8_ids, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
