@@ -97,8 +97,13 @@ _MISPLACED = re.compile(
     r"|(?:(?<=\w )|(?<=\n))[ÐÝûøÞþ¶Û³Õ╗└](?= [^\W\d_]|\n|$)|(?:(?<=[^\W\d_] )|(?<=\d{4} ))½(?= [^\W\d_])"
     r"|(?:(?<=[a-z] )|(?<=\d{4} ))[ÀÇá](?= [A-Z][a-z])"
 )
+#: Where something misplaced may stand; this first test is cheap.
+_MAY = re.compile(r"[À-ÖØ-ÞŠŸŽŒ‡ˆ‰†§¶³¾½´¨™¼¢¤¥¦¬±²¹˜•›‹¸ƒ\x80-\x9fΑ-ωЀ-ӿﬁﬂ⌐⌠⌡√∞≈≡≤≥∂∑∏∫◊─-▟]|(?<= )[ûøþá](?= )")
 _LOST = re.compile(r"(?<=[a-zß-ÿ])\?+(?=[a-zß-ÿ])")
-_FIRST = "[" + "".join(sorted({re.escape(f[0]) for f in garbled_forms()})) + REPLACEMENT + "\\?" + "ŽÕÚŸÐÝûøÞþ¶Û³½¾´¨™‡ˆ‰†§¸ƒ─-▟ÆÓÒÈËÍÌÙΑ-ωﬁﬂ‹›•" + "]"
+_FIRST = "[" + "".join(sorted({re.escape(f[0]) for f in garbled_forms()})) + REPLACEMENT + "\\?" + r"─-▟⌐⌠⌡√∞≈≡≤≥∂∑∏∫◊Α-ωﬁﬂЀ-ӿ\x80-\x9f‡ˆ‰†§¶³¾½´¨™¼¢¤¥¦¬±²¹˜•›‹¸ƒŠŸŽŒÐÝûøÞþÛÕ]|[a-zß-öø-ÿœ][À-ÖØ-Þ]| [ÀÇá] [A-Z]"
+
+
+_BEGINS = re.compile("[" + "".join(sorted({re.escape(f[0]) for f in garbled_forms()})) + REPLACEMENT + "]")
 
 
 def _quoted(text: str, a: int, b: int) -> bool:
@@ -109,6 +114,8 @@ def _quoted(text: str, a: int, b: int) -> bool:
 
 def spans(text: str) -> list[tuple[int, int, str | None]]:
     """(start, end, original or None) of the garbled spans outside quotations."""
+    if not _BEGINS.search(text):
+        return []
     out = []
     for end, (n, original) in _automaton().iter_long(text):
         a, b = end + 1 - n, end + 1
@@ -119,9 +126,15 @@ def spans(text: str) -> list[tuple[int, int, str | None]]:
     return out
 
 
+def misplaced(text: str) -> Iterator[re.Match[str]]:
+    for m in _MAY.finditer(text):
+        if place := _MISPLACED.match(text, m.start()):
+            yield place
+
+
 def crossed(text: str) -> dict[str, str] | None:
     """The single-byte mix-up that explains the misplaced characters of text; an empty map if none does; None without any."""
-    seen = [m[0] for m in _MISPLACED.finditer(text) if not _quoted(text, m.start(), m.end())]
+    seen = [m[0] for m in misplaced(text) if not _quoted(text, m.start(), m.end())]
     if not seen:
         return None
     best = max(_crossed_maps(), key=lambda m: sum(c in m for c in seen))
@@ -158,7 +171,7 @@ def restore(text: str | None) -> str | None:
     mapping = crossed(text)
     if mapping:
         parts, at = [], 0
-        for m in _MISPLACED.finditer(text):
+        for m in misplaced(text):
             if m[0] in mapping and not _quoted(text, m.start(), m.end()):
                 parts += (text[at : m.start()], mapping[m[0]])
                 at = m.end()
@@ -178,7 +191,7 @@ def _affected(texts: pd.Series) -> pd.Series:
 
 def fields(records: DataFrame, id_col: str = "scrape_id") -> DataFrame:
     """(id, field, value) of the fields that may be affected."""
-    kinds = F.array(F.struct(F.lit("text").alias("field"), F.col("text").alias("value")), F.struct(F.lit("title"), F.col("metadata.title")))
+    kinds = F.array(F.struct(F.lit("text").alias("field"), F.col("text").alias("value")), F.struct(F.lit("title").alias("field"), F.col("metadata.title").alias("value")))
     return records.select(F.col(id_col), F.inline(F.filter(kinds, lambda k: suspicious(k["value"]))))
 
 
