@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import p1_lines, p2_garbled, p4_neardup, p7_chunks, p8_tokens, p9_mix
+from pagemill.llm import p1_lines, p2_garbled, p3_residue, p4_neardup, p7_chunks, p8_tokens, p9_mix
 from pagemill.llm.common import table
 
 
@@ -18,6 +18,10 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_garbled.found(table(spark, sf, "scrapes").select("scrape_id", "text", "metadata"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_residue.found(table(spark, sf, "scrapes").select("scrape_id", "text", "html"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_neardup.found(table(spark, sf, "scrapes").select("scrape_id", "markdown"))
 
@@ -40,7 +44,7 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p7_found, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p7_found, p8_ids, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
