@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import p1_lines, p2_garbled, p3_residue, p4_neardup, p6_language, p7_chunks, p8_tokens, p9_mix
+from pagemill.llm import p1_lines, p2_garbled, p3_residue, p4_neardup, p5_content, p6_language, p7_chunks, p8_tokens, p9_mix
 from pagemill.llm.common import table
 
 
@@ -26,6 +26,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_neardup.found(table(spark, sf, "scrapes").select("scrape_id", "markdown"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_content.found(table(spark, sf, "scrapes").select("scrape_id", "url", "markdown", "html"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     scrapes = table(spark, sf, "scrapes")
     return p6_language.found(scrapes.select("scrape_id", "metadata", "text"), p3_residue.found(scrapes.select("scrape_id", "text", "html")))
@@ -49,7 +53,7 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_found, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
