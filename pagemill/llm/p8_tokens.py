@@ -163,7 +163,7 @@ def vocabulary(spark: SparkSession, path: str = f"{TOKENIZERS}/byte_bpe_50k.tikt
 
 def decode(encoded: DataFrame, spark: SparkSession, id_col: str = "doc_id", path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """(id, text) through a join with the vocabulary, which a public tokenizer bounds to some 50,000 rows; an empty list gives ''."""
-    keyed = encoded.select(F.monotonically_increasing_id().alias("__row"), id_col, F.posexplode_outer("ids").alias("pos", "id"))
+    keyed = encoded.withColumn("__row", F.monotonically_increasing_id()).select("__row", id_col, F.posexplode_outer("ids").alias("pos", "id"))
     pieces = F.broadcast(vocabulary(spark, path))
     joined = keyed.join(pieces, "id", "left").groupBy("__row", id_col).agg(F.sort_array(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))).alias("x"))
     text = F.decode(F.unhex(F.array_join(F.transform("x", lambda p: F.coalesce(p["h"], F.lit(""))), "")), "UTF-8")

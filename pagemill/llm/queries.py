@@ -1,12 +1,13 @@
-"""Queries of the corpus problems over the test tables."""
+"""Queries of the corpus problems over the test tables, and SQL where the semantics can be said in it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagemill.llm import p1_lines, p2_garbled, p3_residue, p4_neardup, p5_content, p6_language, p7_chunks, p8_tokens, p9_mix
+from pagemill.llm import p1_lines, p2_garbled, p3_residue, p4_neardup, p5_content, p6_language, p7_chunks, p8_tokens, p9_mix, p10_subjects
 from pagemill.llm.common import table
 
 
@@ -14,47 +15,140 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_lines.found(table(spark, sf, "scrapes").select("scrape_id", "url", "markdown"))
 
 
+def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that held a repeated line, rebuilt without it."""
+    records = table(spark, sf, "scrapes").select("scrape_id", "url", "markdown")
+    return p1_lines.rebuild(records, p1_lines.found(records)).select("scrape_id", "markdown")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_garbled.found(table(spark, sf, "scrapes").select("scrape_id", "text", "metadata"))
 
 
+def p2_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_garbled.repaired(table(spark, sf, "scrapes").select("scrape_id", "text", "metadata"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_residue.found(table(spark, sf, "scrapes").select("scrape_id", "text", "html"))
 
 
+def p3_cases(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_residue.cases(table(spark, sf, "scrapes").select("scrape_id", "text", "html"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_neardup.found(table(spark, sf, "scrapes").select("scrape_id", "markdown"))
 
 
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per record that has text: its group and the number of its similar records."""
+    return p4_neardup.groups(*p4_neardup.similar_pairs(table(spark, sf, "scrapes").select("scrape_id", "markdown")))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_content.found(table(spark, sf, "scrapes").select("scrape_id", "url", "markdown", "html"))
 
 
+def p5_article(spark: SparkSession, sf: str) -> DataFrame:
+    records = table(spark, sf, "scrapes").select(F.col("scrape_id").alias("id"), "url", "markdown", "html")
+    return p5_content.article(records, p5_content.furniture(records))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     scrapes = table(spark, sf, "scrapes")
     return p6_language.found(scrapes.select("scrape_id", "metadata", "text"), p3_residue.found(scrapes.select("scrape_id", "text", "html")))
 
 
+def p6_passages(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "scrapes").select(F.col("scrape_id").alias("id"), F.col("metadata.language").alias("label"), "text")
+    return p6_language.passages(rows, p6_language.fit(rows))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_chunks.found(table(spark, sf, "scrapes").select("scrape_id", "markdown"), table(spark, sf, "chunk_profiles"))
 
 
+def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_chunks.chunk(table(spark, sf, "scrapes").select("scrape_id", "markdown"), table(spark, sf, "chunk_profiles"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return p8_tokens.encode(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def p8_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that do not come back from their ids: none."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    back = p8_tokens.decode(p8_ids(spark, sf), spark).withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id", "full").where(~F.coalesce("text", F.lit("")).eqNullSafe(F.col("back"))).select("doc_id")
+
+
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_tokens.with_lengths(table(spark, sf, "documents").select("doc_id", "source", "text"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_mix.found(_sized(spark, sf), table(spark, sf, "mix_targets"))
 
 
-def _sized(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return p8_tokens.with_lengths(docs.select("doc_id", "source", "text"))
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_mix.shares(_sized(spark, sf), table(spark, sf, "mix_targets"))
+
+
+def p9_mix_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_mix.mix(_sized(spark, sf), table(spark, sf, "mix_targets"))
+
+
+def _subjects(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(table(spark, sf, x) for x in ("documents", "subject_labels", "subjects"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_subjects.found(*_subjects(spark, sf))
+
+
+def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents per subject."""
+    return p10_found(spark, sf).groupBy("subject").agg(F.count("*").alias("documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_found)}
+    found = (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)
+    more = (p1_clean, p2_restored, p3_cases, p4_groups, p5_article, p6_passages, p7_pieces, p8_decoded, p9_shares, p9_mix_documents, p10_composition)
+    return {f.__name__: f for f in (*found, *more)}
+
+
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]*)', 1)), '^www\.', '')"
+_LINES = rf"""
+    WITH lines AS (
+      SELECT scrape_id, {_HOST} AS host, unnest(string_split(markdown, chr(10))) AS line,
+             generate_subscripts(string_split(markdown, chr(10)), 1) - 1 AS line_no
+      FROM scrapes),
+    keyed AS (
+      SELECT scrape_id, host, line_no, line,
+             trim(regexp_replace(lower(regexp_replace(line, '\]\([^)]*\)', '] ', 'g')), '[^\pL]+', ' ', 'g')) AS k
+      FROM lines WHERE host <> ''),
+    often AS (
+      SELECT host, k FROM keyed WHERE k <> '' GROUP BY host, k HAVING count(DISTINCT scrape_id) >= 5)"""
+_SIZE = "CAST(floor(CASE WHEN length(markdown) - length(regexp_replace(markdown, '[{}()]', '', 'g')) > 0.05 * length(markdown) THEN length(markdown) / 3.5 ELSE length(markdown) / 4.0 END) AS BIGINT)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"{_LINES} SELECT scrape_id, CAST(line_no AS INTEGER) AS line_no FROM keyed JOIN often USING (host, k)",
+        "p1_clean": f"""{_LINES},
+    hit AS (SELECT DISTINCT scrape_id, line_no FROM keyed JOIN often USING (host, k))
+    SELECT l.scrape_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE h.line_no IS NULL), '') AS markdown
+    FROM lines l LEFT JOIN hit h ON l.scrape_id = h.scrape_id AND l.line_no = h.line_no
+    WHERE l.scrape_id IN (SELECT scrape_id FROM hit) GROUP BY l.scrape_id""",
+        "p4_found": r"""
+    WITH w AS (SELECT scrape_id, regexp_extract_all(lower(markdown), '[\pL\pN]+') AS ws FROM scrapes WHERE markdown IS NOT NULL),
+    s AS (SELECT DISTINCT scrape_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w WHERE len(ws) >= 3),
+    n AS (SELECT scrape_id, count(*) AS n FROM s GROUP BY scrape_id),
+    c AS (SELECT a.scrape_id AS a, b.scrape_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.scrape_id < b.scrape_id GROUP BY 1, 2)
+    SELECT a AS scrape_id_a, b AS scrape_id_b FROM c JOIN n x ON x.scrape_id = a JOIN n y ON y.scrape_id = b
+    WHERE c >= 0.6 * (x.n + y.n - c)""",
+        "p7_found": f"SELECT profile, scrape_id FROM scrapes, chunk_profiles WHERE {_SIZE} > max_tokens",
+        "p8_decoded": "SELECT doc_id FROM documents WHERE false",
+    }
