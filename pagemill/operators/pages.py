@@ -34,9 +34,13 @@ def _function(f: Callable[..., Any], returns: str, *columns: Column) -> Column:
     def run(*series: pd.Series) -> pd.Series:
         return pd.Series([None if row[0] is None else f(*row) for row in zip(*series)], index=series[0].index, dtype=object)
 
-    if len(columns) == 1:
-        return F.pandas_udf(lambda a: run(a), returns, F.PandasUDFType.SCALAR)(*columns)
-    return F.pandas_udf(lambda a, b: run(a, b), returns, F.PandasUDFType.SCALAR)(*columns)
+    def one(a: pd.Series) -> pd.Series:
+        return run(a)
+
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return run(a, b)
+
+    return F.pandas_udf(one if len(columns) == 1 else two, returns)(*columns)
 
 
 def _record(f: Callable[..., dict], fields: list[tuple[str, str]], *columns: Column) -> Column:

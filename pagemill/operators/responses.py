@@ -8,6 +8,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from pagemill.functions.time import micros
 from pyspark.sql import types as T
 
 from pagemill.functions.url import netloc
@@ -98,7 +100,7 @@ def retry_after(status: Column, headers: Column, now: Column) -> Column:
     """Seconds to wait after a 429: a number, or the time until an HTTP date, at least 0; null otherwise."""
     value = F.coalesce(headers["Retry-After"], headers["retry-after"])
     date = F.try_to_timestamp(F.regexp_extract(value, r"^\w{3}, (\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
-    until = F.greatest(F.lit(0.0), (F.unix_micros(date) - F.unix_micros(now)) / 1e6)
+    until = F.greatest(F.lit(0.0), (micros(date) - micros(now)) / 1e6)
     return F.when(status == 429, F.coalesce(F.trim(value).try_cast("double"), until))
 
 
@@ -122,7 +124,7 @@ def is_public_url(url: Column) -> Column:
     def run(urls: pd.Series) -> pd.Series:
         return urls.map(_safe)
 
-    return F.pandas_udf(run, T.BooleanType(), F.PandasUDFType.SCALAR)(url)
+    return F.pandas_udf(run, T.BooleanType())(url)
 
 
 def pair_events(events: DataFrame) -> DataFrame:
@@ -136,7 +138,7 @@ def pair_events(events: DataFrame) -> DataFrame:
     so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     request = F.last(F.when(F.col("kind") == "request", F.struct("method", "resource_type", "ts")), ignorenulls=True).over(so_far)
     paired = rows.where("scrape_id is not null").withColumn("request", request).where("kind = 'response' and request is not null")
-    elapsed = (F.unix_micros("ts") - F.unix_micros("request.ts")) / 1000
+    elapsed = (micros("ts") - micros("request.ts")) / 1000
     return paired.select("event_id", "scrape_id", "url", "request.method", "request.resource_type", F.col("request.ts").alias("requested_at"), "status", elapsed.alias("response_time_ms"), F.coalesce(F.col("resp_headers")["content-type"], F.lit("")).alias("content_type"))
 
 
@@ -160,4 +162,4 @@ def image_difference(before: Column, after: Column) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([one(x, y) for x, y in zip(a, b)])
 
-    return F.pandas_udf(run, T.DoubleType(), F.PandasUDFType.SCALAR)(before, after)
+    return F.pandas_udf(run, T.DoubleType())(before, after)

@@ -16,6 +16,14 @@ def query_terms(query: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", query.lower())
 
 
+def _is(term: str):
+    return lambda word: word == term
+
+
+def _holds(term: str):
+    return lambda words: F.array_contains(words, F.lit(term))
+
+
 def section_scores(sections: Column, query: str) -> Column:
     """array<double>: BM25 of each section against the query's terms; a term given twice counts twice."""
     terms = query_terms(query)
@@ -27,8 +35,7 @@ def section_scores(sections: Column, query: str) -> Column:
     def score(bag: Column) -> Column:
         value = F.lit(0.0)
         for t in terms:
-            df = F.size(F.filter(bags, lambda b, t=t: F.array_contains(b, t)))
-            tf = F.size(F.filter(bag, lambda w, t=t: w == t))
+            df, tf = F.size(F.filter(bags, _holds(t))), F.size(F.filter(bag, _is(t)))
             idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
             value = value + F.when(df == 0, 0.0).otherwise(idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.size(bag) / mean)))
         return value
@@ -57,7 +64,7 @@ def corpus_scores(documents: DataFrame, query: str, id_col: str = "doc_id", text
     distinct = sorted(set(terms))
     words = tokenize(F.coalesce(F.col(text_col), F.lit("")))
     docs = documents.select(F.col(id_col), words.alias("w"))
-    docs = docs.select(id_col, F.size("w").alias("n"), *(F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(distinct)))
+    docs = docs.select(id_col, F.size("w").alias("n"), *(F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(distinct)))
     stats = docs.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(distinct)))).first()
     value = F.lit(0.0)
     for t in terms:

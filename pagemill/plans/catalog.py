@@ -1,11 +1,621 @@
-"""Named queries of the core operators over the test tables."""
+"""Named queries of the core operators over whole test tables, and the same in SQL where SQL can say it."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagemill.functions import text as ft
+from pagemill.functions import url as fu
+from pagemill.operators import changes, chunking, crawl, merge, pages, responses, scoring, state, usage
+from pagemill.sources import tables as src
+from pagemill.streaming import streams
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _scrapes(spark: SparkSession, sf: str) -> DataFrame:
+    return src.read_table(spark, sf, "scrapes")
+
+
+U, HTML, MD, TEXT = F.col, "html", "markdown", "text"
+
+# SQL parts of a url, by the pattern of RFC 3986.
+_RE = r"'^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#((?s:.)*))?$'"
+
+
+def _part(column: str, group: int) -> str:
+    return f"regexp_extract({column}, {_RE}, {group})"
+
+
+def _path(column: str) -> str:
+    return f"regexp_replace({_part(column, 3)}, ';[^/]*$', '')"
+
+
+_URLS = f"""WITH u AS (SELECT scrape_id, url, scraped_at, lower({_part('url', 1)}) AS s, {_part('url', 2)} AS n, {_part('url', 3)} AS fp, {_path('url')} AS p, {_part('url', 4)} AS q FROM scrapes)"""
+_ORIGIN = "CASE WHEN s <> '' THEN s || ':' ELSE '' END || CASE WHEN n <> '' THEN '//' || n ELSE '' END"
+_QS = "CASE WHEN q <> '' THEN '?' || q ELSE '' END"
+_KEY = f"s || '://' || n || regexp_replace(p, '/+$', '') || {_QS}"
+
+
+@query(
+    f"""{_URLS} SELECT scrape_id, s AS scheme, n AS netloc, lower(regexp_replace(regexp_replace(n, '^.*@', ''), ':[0-9]*$', '')) AS host, p AS path, q AS query,
+    s || '://' || n AS base, {_ORIGIN} || CASE WHEN regexp_replace(p, '/+$', '') = '' THEN '/' ELSE regexp_replace(p, '/+$', '') END
+      || CASE WHEN regexp_extract(fp, '(;[^/]*)$', 1) = ';' THEN '' ELSE regexp_extract(fp, '(;[^/]*)$', 1) END || {_QS} AS normalized,
+    {_KEY} AS dedup_key, s || '://' || n || p AS sitemap_key FROM u"""
+)
+def url_parts(spark: SparkSession, sf: str) -> DataFrame:
+    u = U("url")
+    return _scrapes(spark, sf).select(
+        "scrape_id", fu.scheme(u).alias("scheme"), fu.netloc(u).alias("netloc"), fu.host(u).alias("host"), fu.path(u).alias("path"), fu.query(u).alias("query"),
+        fu.get_base_url(u).alias("base"), fu.normalize_url(u).alias("normalized"), fu.dedup_key(u).alias("dedup_key"), fu.sitemap_key(u).alias("sitemap_key"),
+    )
+
+
+@query(
+    f"""{_URLS}, d AS (SELECT *, lower(p) AS lp, length(p) - length(replace(p, '/', '')) AS depth, CASE WHEN q = '' THEN 0 ELSE length(q) - length(replace(q, '&', '')) + 1 END AS params FROM u)
+    SELECT scrape_id, round(greatest(0.0, least(1.0, 0.5 + CASE WHEN depth <= 2 THEN 0.15 WHEN depth >= 5 THEN -0.15 ELSE 0 END + CASE WHEN contains(lower(url), 'guide') OR contains(lower(url), 'wiki') THEN 0.2 ELSE 0 END
+      + CASE WHEN regexp_matches(lp, '/({'|'.join(fu.HIGH_VALUE)})') THEN 0.1 ELSE 0 END - CASE WHEN regexp_matches(lp, '/({'|'.join(fu.LOW_VALUE)})') THEN 0.2 ELSE 0 END
+      - CASE WHEN params > 3 THEN 0.1 ELSE 0 END))::DOUBLE, 6) AS score FROM d"""
+)
+def url_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrapes(spark, sf).select("scrape_id", F.round(fu.url_score(U("url"), ["guide", "wiki"]), 6).alias("score"))
+
+
+@query(
+    f"""{_URLS}, k AS (SELECT *, regexp_extract(lower(p), '(\\.[^.]*)$', 1) AS ext, {_KEY} AS key FROM u
+      WHERE lower(n) NOT IN ('kelmora-daily.example') AND NOT regexp_matches(p, '/archiv')),
+    f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY scrape_id) AS rn FROM k WHERE ext = '' OR ext NOT IN ({', '.join(repr(e) for e in fu.BLOCKED_EXTENSIONS)}))
+    SELECT scrape_id, key AS dedup_key FROM f WHERE rn = 1"""
+)
+def url_filter_chain(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scrapes(spark, sf).select("scrape_id", "url")
+    kept = fu.filter_urls(rows, order="scrape_id", blocked_domains=["kelmora-daily.example"], exclude_paths=["/archiv"])
+    return kept.select("scrape_id", fu.dedup_key(U("url")).alias("dedup_key"))
+
+
+@query(
+    f"""WITH u AS (SELECT event_id, url, lower(regexp_replace(regexp_replace({_part('url', 2)}, '^.*@', ''), ':[0-9]*$', '')) AS h, coalesce(resp_headers['content-type'], '') AS ct FROM network_events)
+    SELECT event_id, regexp_matches(h, '^(.*\\.)?({'|'.join(d.replace('.', chr(92) + '.') for d in fu.AD_DOMAINS)})$') AS ad,
+    contains(lower(ct), 'application/pdf') OR ends_with(lower(regexp_replace(url, '/+$', '')), '.pdf') AS pdf FROM u"""
+)
+def url_predicates(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.read_table(spark, sf, "network_events")
+    return rows.select("event_id", fu.is_ad_or_tracker(U("url")).alias("ad"), fu.is_pdf(U("url"), F.col("resp_headers")["content-type"]).alias("pdf"))
+
+
+@query()
+def url_resolved(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of markdown made absolute."""
+    rows = _scrapes(spark, sf).where("markdown is not null").select("scrape_id", "url", F.explode(F.regexp_extract_all(MD, F.lit(ft.LINK), 2)).alias("link"))
+    return rows.select("scrape_id", "link", fu.resolve_url(F.col("url"), F.col("link")).alias("resolved"))
+
+
+@query(
+    r"""SELECT scrape_id, len(regexp_extract_all(text, '[^\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'))::INTEGER AS words,
+    CASE WHEN length(text) = 0 THEN 0 WHEN (length(text) - length(regexp_replace(text, '[{}()]', '', 'g'))) / length(text) > 0.05 THEN floor(length(text) / 3.5) ELSE floor(length(text) / 4.0) END::BIGINT AS tokens,
+    len(regexp_extract_all(lower(text), '[a-z0-9]+'))::INTEGER AS terms, sha256(text) AS hash FROM scrapes WHERE text IS NOT NULL"""
+)
+def text_measures(spark: SparkSession, sf: str) -> DataFrame:
+    t = U(TEXT)
+    return _scrapes(spark, sf).where("text is not null").select("scrape_id", ft.word_count(t).alias("words"), ft.estimate_tokens(t).alias("tokens"), F.size(ft.tokenize(t)).alias("terms"), ft.content_hash(t).alias("hash"))
+
+
+@query(
+    r"""WITH c AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[\t\n\v\f\r ]+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, count(*) AS sentences FROM c WHERE regexp_replace(s, '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g') <> '' GROUP BY doc_id"""
+)
+def text_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.read_table(spark, sf, "documents").where("text is not null")
+    return rows.select("doc_id", F.size(ft.split_sentences(U(TEXT))).cast("long").alias("sentences")).where("sentences > 0")
+
+
+@query(
+    r"""WITH a AS (SELECT scrape_id, regexp_replace(markdown, '(?m)^[\t\n\v\f\r ]*\[.*?\]\(#.*?\)[\t\n\v\f\r ]*$', '', 'g') AS x FROM scrapes WHERE markdown IS NOT NULL),
+    b AS (SELECT scrape_id, regexp_replace(x, '!\[([^\]]*)\]\([^)]+\)', '\1', 'g') AS x FROM a),
+    c AS (SELECT scrape_id, regexp_replace(x, '\n{3,}', chr(10) || chr(10), 'g') AS x FROM b),
+    d AS (SELECT scrape_id, regexp_replace(x, '(?s)<!--.*?-->', '', 'g') AS x FROM c),
+    e AS (SELECT scrape_id, regexp_replace(x, '\[([^\]]*)\]\([\t\n\v\f\r ]*\)', '\1', 'g') AS x FROM d)
+    SELECT scrape_id, regexp_replace(x, '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g') AS cleaned FROM e"""
+)
+def text_clean_for_llm(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrapes(spark, sf).where("markdown is not null").select("scrape_id", ft.clean_for_llm(U(MD)).alias("cleaned"))
+
+
+@query(
+    r"""WITH l AS (SELECT scrape_id, markdown, regexp_extract_all(markdown, '\[([^\]]*)\]\(([^)]+)\)', 2) AS t FROM scrapes WHERE markdown IS NOT NULL)
+    SELECT scrape_id, len(t)::INTEGER AS links, len(list_distinct(t))::INTEGER AS refs FROM l"""
+)
+def text_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and references that the cited form has; the form itself is covered by tests."""
+    cited = _scrapes(spark, sf).where("markdown is not null").select("scrape_id", ft.markdown_with_citations(U(MD)).alias("c"))
+    tail = F.substring_index("c", "\n\n---\n\n**References**\n\n", -1)
+    has = F.contains("c", F.lit("\n\n---\n\n**References**\n\n"))
+    body = F.when(has, F.left("c", F.length("c") - F.length(tail))).otherwise("")
+    return cited.select("scrape_id", F.size(F.regexp_extract_all(body, F.lit(r"\[[^\]]*\]\[(\d+)\]"), 1)).alias("links"), F.when(has, F.size(F.split(tail, "\n"))).otherwise(0).alias("refs"))
+
+
+@query(
+    r"""WITH s AS (SELECT scrape_id, unnest(string_split(regexp_replace(markdown, '(?m)^(#{1,6}[\t\n\v\f\r ])', chr(1) || '\1', 'g'), chr(1))) AS x FROM scrapes WHERE markdown IS NOT NULL)
+    SELECT scrape_id, regexp_replace(x, '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g') AS section FROM s WHERE regexp_replace(x, '[\t\n\v\f\r ]+', '', 'g') <> ''"""
+)
+def text_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrapes(spark, sf).where("markdown is not null").select("scrape_id", F.explode(ft.split_by_headings(U(MD))).alias("section"))
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+') AS ws FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, text, ws, unnest(range(0, CASE WHEN len(ws) = 0 THEN 0 ELSE ceil(greatest(len(ws) - 100, 0) / 80)::BIGINT + 1 END)) AS i FROM w)
+    SELECT doc_id, i::INTEGER AS chunk_no, CASE WHEN len(ws) <= 100 THEN text ELSE array_to_string(ws[i * 80 + 1 : i * 80 + 100], ' ') END AS chunk FROM c"""
+)
+def chunks_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.read_table(spark, sf, "documents").where("text is not null")
+    return rows.select("doc_id", F.posexplode(chunking.sliding_window(U(TEXT), 100, 20)).alias("chunk_no", "chunk"))
+
+
+@query()
+def chunks_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    return src.read_table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(chunking.fixed_length(U(TEXT), 100, 20)).alias("chunk_no", "chunk"))
+
+
+@query()
+def chunks_semantic(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrapes(spark, sf).where("markdown is not null").select("scrape_id", F.posexplode(chunking.semantic(U(MD), 200)).alias("chunk_no", "chunk"))
+
+
+_BM25 = "the central bank and the audit committee"
+
+
+def _bm25_sql(terms: list[str]) -> str:
+    return f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+    s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), q AS (SELECT unnest({terms!r}) AS term),
+    f AS (SELECT doc_id, term, len(w) AS dl, len(list_filter(w, lambda x: x = term)) AS tf FROM t, (SELECT DISTINCT term FROM q)),
+    d AS (SELECT term, count_if(tf > 0) AS df FROM f GROUP BY term), m AS (SELECT term, count(*) AS times FROM q GROUP BY term)
+    SELECT doc_id, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(mean, 1)))), 6) AS score
+    FROM f JOIN d USING (term) JOIN m USING (term), s WHERE df > 0 GROUP BY doc_id HAVING sum(tf) > 0"""
+
+
+@query(_bm25_sql(scoring.query_terms(_BM25)))
+def bm25_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.corpus_scores(src.read_table(spark, sf, "documents"), _BM25).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def fit_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrapes(spark, sf).where("markdown is not null").select("scrape_id", scoring.fit_markdown(U(MD), "market report trial", 3).alias("fit"))
+
+
+@query()
+def page_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagship: stored pages parsed once, main content as markdown, with counts and normalised address."""
+    rows = src.pages(spark, sf).where("html is not null and success")
+    out = pages.response(rows.select("page_id", "url", "html"), formats=("markdown",), llm_ready=True)
+    return out.select("page_id", fu.normalize_url(U("url")).alias("url"), "title", "description", "language", "word_count", "token_count_estimate", F.col("as_markdown").alias("markdown"))
+
+
+@query()
+def page_formats(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.pages(spark, sf).where("html is not null").select("page_id", pages.scrape(U(HTML), ("markdown", "text", "json", "csv", "xml")).alias("p"))
+    return rows.select("page_id", "p.markdown", "p.text", "p.json", "p.csv", "p.xml")
+
+
+def _unescape(x: str) -> str:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+@query(
+    f"""SELECT scrape_id, regexp_replace({_unescape("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '^[\\s]+|[\\s]+$', '', 'g') AS title,
+    {_unescape("regexp_extract(html, '<meta name=\"description\" content=\"([^\"]*)\"', 1)")} AS description, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS language FROM scrapes WHERE html IS NOT NULL"""
+)
+def page_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.metadata(U(HTML)).alias("m"))
+    return rows.select("scrape_id", "m.title", "m.description", "m.language")
+
+
+@query(
+    """SELECT scrape_id, len(list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: h <> '' AND NOT starts_with(h, '#') AND NOT starts_with(h, 'javascript:') AND NOT starts_with(h, 'mailto:')))::INTEGER AS links,
+    len(regexp_extract_all(html, '<img[^>]* src="[^"]+"'))::INTEGER AS images FROM scrapes WHERE html IS NOT NULL"""
+)
+def page_media(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.media(U(HTML), U("url")).alias("m"))
+    return rows.select("scrape_id", F.size("m.links").alias("links"), F.size("m.images").alias("images"))
+
+
+@query()
+def page_tables(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", F.explode(pages.tables(U(HTML))).alias("t"))
+    return rows.select("scrape_id", "t.index", "t.caption", "t.headers", "t.raw_rows", "t.row_count", "t.column_count")
+
+
+@query()
+def page_tables_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.tables_csv(U(HTML)).alias("csv"))
+
+
+@query()
+def page_sections(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", F.posexplode(pages.sections(U(HTML))).alias("section_no", "s"))
+    return rows.select("scrape_id", "section_no", "s.heading", "s.level", F.size("s.content").alias("parts"))
+
+
+@query()
+def page_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.prune(U(HTML)).alias("html"))
+
+
+@query()
+def page_relevant(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.relevant_blocks(U(HTML), "report market", 3).alias("html"))
+
+
+@query()
+def page_scoped(spark: SparkSession, sf: str) -> DataFrame:
+    """Preprocessed, short blocks dropped."""
+    scoped = pages.preprocess(U(HTML), excluded_tags=["nav", "footer"], excluded_selector=".sidebar, .consent-bar", css_selector="article, .post")
+    return _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.drop_short_blocks(scoped, 5).alias("html"))
+
+
+@query(
+    """SELECT scrape_id, nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') IS NOT NULL AS has_heading, len(regexp_extract_all(html, '<h2>'))::INTEGER AS subheadings FROM scrapes WHERE html IS NOT NULL"""
+)
+def extract_css(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.extract(U(HTML), "css", {"h": "h1", "subs": {"selector": "h2", "all": True}})[0].alias("r"))
+    return rows.select("scrape_id", F.col("r")["h"].isNotNull().alias("has_heading"), F.size(F.col("r")["subs"]).alias("subheadings"))
+
+
+@query(
+    """SELECT scrape_id, len(regexp_extract_all(html, '<h2>'))::INTEGER AS subheadings, len(regexp_extract_all(html, '<a href='))::INTEGER AS links FROM scrapes WHERE html IS NOT NULL"""
+)
+def extract_xpath(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.extract(U(HTML), "xpath", {"subs": "//h2", "links": "//a/@href"})[0].alias("r"))
+    return rows.select("scrape_id", *(F.when(F.col("r")[k].isNotNull(), F.size(F.col("r")[k])).otherwise(0).alias(n) for k, n in (("subs", "subheadings"), ("links", "links"))))
+
+
+@query()
+def extract_regex(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", F.explode(pages.extract(U(HTML), "regex", r"(?P<number>\d+) (?P<unit>per cent|weeks|days)")).alias("r"))
+    return rows.select("scrape_id", F.col("r")["number"][0].alias("number"), F.col("r")["unit"][0].alias("unit"))
+
+
+@query()
+def extract_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of the two halves of each text, merged, with their schema."""
+    d = src.read_table(spark, sf, "documents").where("text is not null")
+    half = F.floor(F.length("text") / 2).cast("int")
+
+    def record(t):
+        return F.to_json(F.struct(F.nullif(F.regexp_extract(t, r"(\d{4})", 1), F.lit("")).alias("year"), F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b(\d{2,3})\b"), 1)).alias("numbers")))
+
+    both = F.array(record(F.left("text", half)), record(F.substr("text", half + 1)))
+    merged = d.select("doc_id", merge.merged_json(both).alias("record"))
+    return merged.select("doc_id", "record", merge.schema_json(F.col("record")).alias("schema"))
+
+
+def _challenge_sql() -> str:
+    cases = []
+    for name, codes, prefix, pattern in responses.CHALLENGES:
+        tests = [f"regexp_matches(head, '(?i){pattern.replace(chr(39), chr(39) * 2)}')"]
+        if prefix:
+            tests.append(f"starts_with(server, '{prefix}')")
+        if codes:
+            tests.append(f"status IN ({', '.join(map(str, codes))})")
+        cases.append(f"WHEN {' AND '.join(tests)} THEN '{name}'")
+    return f"""WITH r AS (SELECT scrape_id, metadata.status_code AS status, 'cloudflare' AS server, left(coalesce(html, ''), {responses.SCANNED}) AS head, coalesce(html, '') AS body FROM scrapes),
+    k AS (SELECT scrape_id, CASE {' '.join(cases)} WHEN status IN (403, 429) AND length(trim(body)) < 500 THEN 'silent_block' END AS type FROM r)
+    SELECT scrape_id, type IS NOT NULL AS detected, type FROM k"""
+
+
+@query(_challenge_sql())
+def response_challenges(spark: SparkSession, sf: str) -> DataFrame:
+    headers = F.create_map(F.lit("server"), F.lit("cloudflare"))
+    rows = _scrapes(spark, sf).select("scrape_id", responses.detect_challenge(F.col("metadata.status_code"), headers, U(HTML)).alias("c"))
+    return rows.select("scrape_id", "c.detected", "c.type")
+
+
+@query(
+    r"""SELECT scrape_id, regexp_matches(html, '(?i)<div\s+id=["''](?:root|app|__next|__nuxt)["'']>\s*</div>') OR regexp_matches(html, '(?is)<noscript>.*?enable javascript') OR regexp_matches(html, '(?i)__NEXT_DATA__')
+    OR regexp_matches(html, '(?i)window\.__NUXT__') OR regexp_matches(html, '(?i)<div\s+id=["'']gatsby-')
+    OR length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) < 200 AS needs_scripts FROM scrapes WHERE html IS NOT NULL"""
+)
+def response_needs_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrapes(spark, sf).where("html is not null").select("scrape_id", responses.needs_scripts(U(HTML)).alias("needs_scripts"))
+
+
+@query()
+def response_needs_scripts_by_domain(spark: SparkSession, sf: str) -> DataFrame:
+    return responses.needs_scripts_by_domain(_scrapes(spark, sf).select("scrape_id", "url", "html", "scraped_at")).select("scrape_id", "needs_scripts")
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT * FROM network_events), r AS (SELECT event_id, status, resp_headers['retry-after'] AS v FROM d WHERE kind = 'response')
+    SELECT event_id, CASE WHEN status = 429 THEN try_cast(trim(v) AS DOUBLE) END AS seconds FROM r"""
+)
+def response_retry_after(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.read_table(spark, sf, "network_events").where("kind = 'response'").dropDuplicates(["event_id"])
+    return rows.select("event_id", responses.retry_after(F.col("status"), F.col("resp_headers"), F.col("ts")).alias("seconds"))
+
+
+@query(
+    f"""WITH d AS (SELECT DISTINCT event_id, resp_headers FROM network_events WHERE resp_headers IS NOT NULL)
+    SELECT event_id, len(list_filter(map_keys(resp_headers), lambda k: lower(k) NOT IN ({', '.join(repr(h) for h in responses.REFUSED_HEADERS)})))::INTEGER AS headers FROM d"""
+)
+def response_headers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.read_table(spark, sf, "network_events").where("resp_headers is not null").dropDuplicates(["event_id"])
+    return rows.select("event_id", F.size(F.map_keys(responses.sanitize_headers(F.col("resp_headers")))).alias("headers"))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT event_id, scrape_id, url, method, resource_type, kind, ts, status, resp_headers FROM network_events WHERE scrape_id IS NOT NULL),
+    o AS (SELECT *, last_value(CASE WHEN kind = 'request' THEN {'m': method, 'r': resource_type, 't': ts} END IGNORE NULLS) OVER (PARTITION BY scrape_id, url ORDER BY ts, CASE WHEN kind = 'request' THEN 0 ELSE 1 END, event_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM d)
+    SELECT event_id, scrape_id, url, q.m AS method, q.r AS resource_type, epoch_us(q.t) AS requested_at, status, (epoch_us(ts) - epoch_us(q.t)) / 1000 AS response_time_ms, coalesce(resp_headers['content-type'], '') AS content_type
+    FROM o WHERE kind = 'response' AND q IS NOT NULL"""
+)
+def response_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    from pagemill.functions.time import micros
+
+    return responses.pair_events(src.read_table(spark, sf, "network_events")).withColumn("requested_at", micros("requested_at"))
+
+
+@query("SELECT scrape_id, regexp_matches(url, '^(?i)https?://') AS public FROM scrapes")
+def response_public_urls(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrapes(spark, sf).select("scrape_id", responses.is_public_url(U("url")).alias("public"))
+
+
+@query(
+    """WITH p AS (SELECT page_host AS client, count(*) AS n, sum(response_time_ms) AS ms, count_if(status >= 400) AS e, epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b, count(DISTINCT resource_type) AS k FROM network_events GROUP BY 1)
+    SELECT client, n AS total_requests, round(coalesce(ms, 0), 3) AS total_bandwidth_bytes, e::BIGINT AS total_errors, k::INTEGER AS endpoints, a AS first_seen, b AS last_seen, round(e / greatest(n, 1), 4) AS error_rate FROM p"""
+)
+def usage_by_client(spark: SparkSession, sf: str) -> DataFrame:
+    from pagemill.functions.time import micros
+
+    rows = usage.usage_by_client(src.read_table(spark, sf, "network_events"), "page_host", "resource_type", "ts", F.col("response_time_ms"), F.coalesce(F.col("status") >= 400, F.lit(False)))
+    return rows.select("client", "total_requests", F.round("total_bandwidth_bytes", 3).alias("total_bandwidth_bytes"), "total_errors", F.size("endpoints").alias("endpoints"), micros("first_seen").alias("first_seen"), micros("last_seen").alias("last_seen"), "error_rate")
+
+
+@query(
+    """SELECT count(*) AS total_requests, round(sum(value), 2) AS total_bandwidth_bytes, count_if(event_type = 'error')::BIGINT AS total_errors, count(DISTINCT user_id) AS unique_clients,
+    round(count_if(event_type = 'error') / greatest(count(*), 1), 4) AS error_rate FROM events"""
+)
+def usage_summary(spark: SparkSession, sf: str) -> DataFrame:
+    out = usage.usage_summary(src.read_table(spark, sf, "events"), "user_id", F.col("value"), F.col("event_type") == "error")
+    return out.withColumn("total_bandwidth_bytes", F.round("total_bandwidth_bytes", 2))
+
+
+@query("SELECT user_id AS client, count(*) AS requests FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def usage_top_clients(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.top_clients(src.read_table(spark, sf, "events"), "user_id")
+
+
+@query("SELECT event_type AS endpoint, count(*) AS requests FROM events GROUP BY 1")
+def usage_endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.endpoint_totals(src.read_table(spark, sf, "events"), "event_type")
+
+
+@query(
+    f"""WITH d AS (SELECT nullif(lower(regexp_replace(regexp_replace({_part('url', 2)}, '^.*@', ''), ':[0-9]*$', '')), '') AS domain, success AS ok FROM scrapes)
+    SELECT domain, count_if(ok)::BIGINT AS success, count_if(NOT ok)::BIGINT AS failed, count(*) AS total, round(count_if(ok) / count(*), 3) AS success_rate FROM d WHERE domain IS NOT NULL AND ok IS NOT NULL GROUP BY domain"""
+)
+def usage_domains(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.domain_stats(_scrapes(spark, sf), F.nullif(fu.host(U("url")), F.lit("")), F.col("success"))
+
+
+def _histogram_sql(compat: bool) -> str:
+    part = "sum(n) OVER (ORDER BY position)" if compat else "n"
+    rows = " UNION ALL ".join(f"SELECT {i} AS position, '{b}' AS le, count_if(v <= {b}) AS n FROM x" for i, b in enumerate(usage.BOUNDS))
+    return f"""WITH x AS (SELECT response_time_ms / 1000 AS v FROM network_events WHERE response_time_ms IS NOT NULL), b AS ({rows})
+    SELECT position, le, {part}::BIGINT AS n FROM b UNION ALL SELECT {len(usage.BOUNDS)}, '+Inf', count(*) FROM x"""
+
+
+@query(_histogram_sql(False))
+def usage_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.histogram(src.read_table(spark, sf, "network_events"), F.col("response_time_ms") / 1000)
+
+
+@query(_histogram_sql(True))
+def usage_histogram_compat(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.histogram(src.read_table(spark, sf, "network_events"), F.col("response_time_ms") / 1000, compat=True)
+
+
+@query(
+    """WITH v AS (SELECT proxy_url, latency, row_number() OVER (PARTITION BY proxy_url ORDER BY ts DESC, latency DESC) AS r, count(*) OVER (PARTITION BY proxy_url) AS n FROM proxy_events WHERE latency IS NOT NULL),
+    k AS (SELECT *, CASE WHEN n <= 1000 THEN n ELSE 500 + (n - 1001) % 501 END AS m FROM v), s AS (SELECT proxy_url, any_value(n) AS n, list(latency ORDER BY latency) AS xs FROM k WHERE r <= m GROUP BY proxy_url)
+    SELECT proxy_url, n AS acquires, round(list_avg(xs), 2) AS avg_ms, round(xs[least(floor(len(xs) * 0.95)::BIGINT, len(xs) - 1) + 1], 2) AS p95_ms FROM s"""
+)
+def usage_acquire_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.acquire_stats(src.read_table(spark, sf, "proxy_events"), "proxy_url", "ts", "latency")
+
+
+@query(
+    """SELECT 'requests' AS name, '# HELP mill_requests Stored results' || chr(10) || '# TYPE mill_requests counter' || chr(10) || 'mill_requests ' || count(*) AS text FROM scrapes
+    UNION ALL SELECT 'failed', '# HELP mill_failed Failed fetches' || chr(10) || '# TYPE mill_failed counter' || chr(10) || 'mill_failed ' || count_if(NOT success) FROM scrapes"""
+)
+def usage_prometheus(spark: SparkSession, sf: str) -> DataFrame:
+    row = _scrapes(spark, sf).agg(F.count("*").alias("a"), F.count_if(~F.col("success")).alias("b"))
+    entries = F.array(F.struct(F.lit("requests").alias("name"), F.lit("Stored results").alias("help"), F.col("a").alias("value")), F.struct(F.lit("failed").alias("name"), F.lit("Failed fetches").alias("help"), F.col("b").alias("value")))
+    return usage.prometheus(row.select(F.inline(entries)), "mill_")
+
+
+@query()
+def state_proxies(spark: SparkSession, sf: str) -> DataFrame:
+    return state.proxy_state(src.read_table(spark, sf, "proxy_events"))
+
+
+@query()
+def state_pool(spark: SparkSession, sf: str) -> DataFrame:
+    return state.pool_stats(state_proxies(spark, sf))
+
+
+@query()
+def state_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return state.admitted(src.read_table(spark, sf, "network_events").dropDuplicates(["event_id"]), "page_host", 2, "event_id")
+
+
+@query()
+def state_replays(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.read_table(spark, sf, "network_events").dropDuplicates(["event_id"]).where("kind = 'request'")
+    return state.first_of_day(rows, ["page_host", "method", "url"]).select("event_id", "replayed")
+
+
+@query(
+    """WITH r AS (SELECT job_id, success, scraped_at FROM scrapes WHERE job_id IS NOT NULL)
+    SELECT job_id, arg_max(CASE WHEN success THEN 'completed' ELSE 'failed' END, scraped_at) AS status, epoch_us(max(scraped_at)) AS updated_at FROM r GROUP BY job_id"""
+)
+def state_job_status(spark: SparkSession, sf: str) -> DataFrame:
+    from pagemill.functions.time import micros
+
+    rows = _scrapes(spark, sf).where("job_id is not null").withColumn("status", F.when(F.col("success"), "completed").otherwise("failed"))
+    return state.latest_status(rows, "job_id", "status", "scraped_at").withColumn("updated_at", micros("updated_at"))
+
+
+@query(
+    f"""{_URLS.replace('url, scraped_at', 'url, scraped_at, text')}, t AS (SELECT scrape_id, {_KEY} AS page, scraped_at, sha256(text) AS h FROM u WHERE text IS NOT NULL),
+    l AS (SELECT *, lag(h) OVER (PARTITION BY page ORDER BY scraped_at, scrape_id) AS b FROM t)
+    SELECT scrape_id, b AS previous_hash, h AS current_hash, CASE WHEN b IS NULL THEN 'added' WHEN b = h THEN 'unchanged' ELSE 'modified' END AS change_type FROM l"""
+)
+def changes_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scrapes(spark, sf).select("scrape_id", "text", "scraped_at", fu.dedup_key(U("url")).alias("page"))
+    return changes.snapshots_changes(rows, "page", tie="scrape_id").select("scrape_id", "previous_hash", "current_hash", "change_type")
+
+
+@query()
+def changes_differences(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scrapes(spark, sf).select("scrape_id", "text", "scraped_at", fu.dedup_key(U("url")).alias("page"))
+    return changes.snapshots_changes(rows, "page", tie="scrape_id", with_difference=True).where("change_type = 'modified'").select("scrape_id", "diff_summary")
+
+
+@query(
+    f"""{_URLS.replace('url, scraped_at', 'url, scraped_at, text')}, t AS (SELECT {_KEY} AS page, text, scraped_at FROM u WHERE text IS NOT NULL)
+    SELECT page, arg_max(text, (scraped_at, text)) AS text FROM t GROUP BY page"""
+)
+def changes_latest(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scrapes(spark, sf).select("text", "scraped_at", fu.dedup_key(U("url")).alias("page"))
+    return changes.latest_snapshots(rows, "page").select("page", "text")
+
+
+@query(
+    f"""{_URLS.replace('url, scraped_at', 'url, scraped_at, text')}, t AS (SELECT {_KEY} AS page, text, scraped_at FROM u WHERE text IS NOT NULL),
+    a AS (SELECT page, sha256(arg_max(text, (scraped_at, text))) AS h FROM t WHERE scraped_at < TIMESTAMP '2024-03-01' GROUP BY page),
+    b AS (SELECT page, sha256(arg_max(text, (scraped_at, text))) AS h FROM t WHERE scraped_at >= TIMESTAMP '2024-03-01' GROUP BY page)
+    SELECT coalesce(a.page, b.page) AS page, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'modified' END AS change_type FROM a FULL JOIN b ON a.page = b.page"""
+)
+def changes_compared(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scrapes(spark, sf).select("text", "scraped_at", fu.dedup_key(U("url")).alias("page"))
+    split = F.lit("2024-03-01").cast("timestamp_ntz")
+    before, after = (changes.latest_snapshots(x, "page") for x in (rows.where(F.col("scraped_at") < split), rows.where(F.col("scraped_at") >= split)))
+    return changes.compare_snapshots(before, after, "page").select("page", "change_type")
+
+
+@query()
+def crawl_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl.edges(src.pages(spark, sf))
+
+
+@query()
+def crawl_breadth_first(spark: SparkSession, sf: str) -> DataFrame:
+    seeds = src.read_table(spark, sf, "crawl_jobs").where("url is not null").select(F.col("url").alias("seed"))
+    return crawl.breadth_first(crawl.edges(src.pages(spark, sf)), seeds, max_depth=3)
+
+
+@query()
+def crawl_best_first(spark: SparkSession, sf: str) -> DataFrame:
+    seeds = src.read_table(spark, sf, "crawl_jobs").where("url is not null").select(F.col("url").alias("seed"))
+    return crawl.crawl(crawl.edges(src.pages(spark, sf)), seeds, "best_first", max_pages=50, max_depth=3, keywords=["guide"])
+
+
+@query()
+def crawl_depth_first(spark: SparkSession, sf: str) -> DataFrame:
+    seeds = src.read_table(spark, sf, "crawl_jobs").where("url is not null").select(F.col("url").alias("seed"))
+    return crawl.crawl(crawl.edges(src.pages(spark, sf)), seeds, "dfs", max_pages=50, max_depth=3)
+
+
+@query(
+    f"""WITH s AS (SELECT {_part('url', 2)} AS n, list(DISTINCT lower({_part('url', 1)}) || '://' || {_part('url', 2)} || {_path('url')}) AS urls FROM scrapes GROUP BY 1),
+    e AS (SELECT n, unnest(urls) AS url FROM s WHERE n <> '') SELECT 'https://' || n AS base, url, 'sitemap' AS source FROM e"""
+)
+def crawl_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Site maps written from the stored addresses, read back."""
+    rows = _scrapes(spark, sf).select(fu.netloc(U("url")).alias("n"), fu.sitemap_key(U("url")).alias("url")).where("n <> ''").distinct()
+    entry = F.concat(F.lit("<url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    maps = rows.groupBy(F.concat(F.lit("https://"), F.col("n")).alias("base")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("xml"))
+    pages_ = src.pages(spark, sf).where("false").select(F.col("url").alias("base"), "html")
+    return crawl.discover(maps.withColumn("priority", F.lit(0)), pages_, limit=1_000_000_000)
+
+
+@query()
+def crawl_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds of jobs looked up among the stored pages."""
+    results = src.read_table(spark, sf, "crawl_jobs").select(F.col("job_id").alias("query"), F.lit(1).alias("position"), "url")
+    return crawl.search(results, _scrapes(spark, sf))
+
+
+@query("SELECT job_id, created_at, (SELECT count(*) FROM crawl_jobs) AS total, (SELECT count(*) FROM crawl_jobs) > 10 AS has_next FROM crawl_jobs ORDER BY created_at DESC, job_id LIMIT 5 OFFSET 5")
+def crawl_jobs_page(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.read_table(spark, sf, "crawl_jobs").select("job_id", "created_at", (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("o"))
+    return crawl.page_of(rows, 2, 5, ["o", "job_id"]).drop("o")
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    schema = src.read_table(spark, sf, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name[:-1]}[{name[-1]}].parquet")
+
+
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over what there is and read its last result back from the shared folder."""
+    spark = stream.sparkSession
+    folder = f"{crawl.shared_folder(spark)}/{uuid.uuid4().hex}"
+
+    def sink(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query(
+    """SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS window_start, page_host AS client, count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS errors FROM network_events GROUP BY 1, 2"""
+)
+def stream_usage(spark: SparkSession, sf: str) -> DataFrame:
+    events = _stream(spark, sf, "network_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _drained(streams.usage_windows(events, "ts", "page_host", F.coalesce(F.col("status") >= 400, F.lit(False))), "complete")
+    return out.withColumn("window_start", F.unix_micros("window_start"))
+
+
+@query("SELECT DISTINCT event_id, kind FROM network_events")
+def stream_idempotent(spark: SparkSession, sf: str) -> DataFrame:
+    events = _stream(spark, sf, "network_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _drained(streams.idempotent(events, ["event_id"], "ts", "3650 days").select("event_id", "kind"), "append")
+
+
+@query(
+    """WITH r AS (SELECT job_id, success, scraped_at FROM scrapes WHERE job_id IS NOT NULL)
+    SELECT job_id, arg_max(CASE WHEN success THEN 'completed' ELSE 'failed' END, scraped_at) AS status FROM r GROUP BY job_id"""
+)
+def stream_job_status(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _stream(spark, sf, "scrapes").where("job_id is not null").select("job_id", F.when(F.col("success"), "completed").otherwise("failed").alias("status"), F.col("scraped_at").cast("timestamp").alias("at"))
+    return _drained(streams.job_status(rows, "job_id", "status", "at"), "complete").select("job_id", "status")
