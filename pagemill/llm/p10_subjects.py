@@ -184,6 +184,8 @@ class Model:
 
     def document(self, text: str, title: str | None, url: str | None, source: str | None) -> list[tuple[str, float, float]]:
         """(subject, share of the paragraphs, mean posterior) of the subjects of a document."""
+        if not self.words and not self.pairs:
+            return []
         votes, n = self.votes(text, title, url, source)
         if not n:
             return []

@@ -197,7 +197,7 @@ def fields(records: DataFrame, id_col: str = "scrape_id") -> DataFrame:
 
 def found(records: DataFrame) -> DataFrame:
     """(scrape_id, field) of the affected fields."""
-    return fields(records).where(_affected("value")).select("scrape_id", "field")
+    return fields(records.where("scrape_id is not null")).where(_affected("value")).select("scrape_id", "field")
 
 
 def repaired(records: DataFrame, id_col: str = "scrape_id") -> DataFrame:

@@ -218,4 +218,4 @@ def cases(records: DataFrame, id_col: str = "scrape_id") -> DataFrame:
 
 
 def found(records: DataFrame) -> DataFrame:
-    return cases(records).select("scrape_id").distinct()
+    return cases(records.where("scrape_id is not null")).select("scrape_id").distinct()

@@ -8,7 +8,8 @@ may reach the threshold are verified on the sets themselves.
 
 ``similar_pairs`` gives pairs between class representatives plus membership; ``found`` expands them.
 
-Defined results: a null text, or one with fewer words than a shingle has, is similar to nothing. Rows that repeat an id
+Defined results: a null text, or one with fewer words than a shingle has, is similar to nothing, and so is a row
+without id. Rows that repeat an id
 with the same text count once. Every pair found is verified; of pairs at the threshold exactly, banding misses
 (1 - t^rows)^bands, 0.6% with the defaults at 0.6, fewer above it. A class that holds a third of all rows is one
 representative from the first shuffle on.
@@ -144,6 +145,7 @@ def sketches(records: DataFrame, id_col: str, text_col: str, words: int, rows: i
 
 def similar_pairs(records: DataFrame, id_col: str = "scrape_id", text_col: str = "markdown", threshold: float = THRESHOLD, words: int = WORDS, rows: int = BAND_ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
     """(rep_a, rep_b, similarity) of classes of equal sets, and the membership (rep, id)."""
+    records = records.select(id_col, text_col).where(F.col(id_col).isNotNull())
     sketched = written(sketches(records, id_col, text_col, words, rows, bands))
     reps = sketched.groupBy("fp").agg(F.min("id").alias("rep"))
     members = sketched.select("fp", "id").distinct().join(reps, "fp").select("rep", "id")

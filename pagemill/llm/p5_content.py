@@ -360,4 +360,5 @@ def article(records: DataFrame, away: DataFrame) -> DataFrame:
 
 def found(records: DataFrame) -> DataFrame:
     """(scrape_id, line_no) of records (scrape_id, url, markdown, html)."""
-    return furniture(records.withColumnRenamed("scrape_id", "id")).withColumnRenamed("id", "scrape_id")
+    rows = records.select(F.col("scrape_id").alias("id"), "url", "markdown", "html").where("id is not null")
+    return furniture(rows).withColumnRenamed("id", "scrape_id")

@@ -259,7 +259,7 @@ def passages(records: DataFrame, model: Model) -> DataFrame:
 
 def found(records: DataFrame, left_out: DataFrame) -> DataFrame:
     """(scrape_id, lang) of the records with a missing or wrong label or with several languages; left_out: (scrape_id)."""
-    rows = records.select(F.col("scrape_id").alias("id"), F.col("metadata.language").alias("label"), "text")
+    rows = records.select(F.col("scrape_id").alias("id"), F.col("metadata.language").alias("label"), "text").where("id is not null")
     judged = languages(rows, fit(rows)).join(rows.select("id", normal_label(F.col("label")).alias("label")), "id")
     case = (F.size("languages") > 1) | F.col("label").isNull() | (F.col("label") != F.col("main"))
     named = F.when(F.size("languages") > 1, F.col("languages")).otherwise(F.array("main"))
