@@ -100,7 +100,7 @@ def retry_after(status: Column, headers: Column, now: Column) -> Column:
     """Seconds to wait after a 429: a number, or the time until an HTTP date, at least 0; null otherwise."""
     value = F.coalesce(headers["Retry-After"], headers["retry-after"])
     date = F.try_to_timestamp(F.regexp_extract(value, r"^\w{3}, (\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
-    until = F.greatest(F.lit(0.0), (micros(date) - micros(now)) / 1e6)
+    until = F.when(date.isNotNull(), F.greatest(F.lit(0.0), (micros(date) - micros(now)) / 1e6))
     return F.when(status == 429, F.coalesce(F.trim(value).try_cast("double"), until))
 
 

@@ -77,7 +77,7 @@ def prometheus(counters: DataFrame, prefix: str) -> DataFrame:
     return counters.select("name", text.alias("text"))
 
 
-def acquire_stats(samples: DataFrame, key: str, ts: str, ms: str) -> DataFrame:
+def acquire_stats(samples: DataFrame, key: str, ts: str, ms: str, digits: int = 2) -> DataFrame:
     """(key, acquires, avg_ms, p95_ms): mean and nearest-rank percentile of the latest samples.
 
     Of n samples in all, n up to 1,000 count; beyond that the buffer was cut to its last 500 each time it passed 1,000.
@@ -90,7 +90,7 @@ def acquire_stats(samples: DataFrame, key: str, ts: str, ms: str) -> DataFrame:
     values = F.sort_array(F.transform(F.slice("xs", F.lit(1), size), lambda x: x["v"]))
     rows = n.join(kept, key).select(key, "acquires", values.alias("v"))
     at = F.least(F.floor(F.size("v") * 0.95).cast("int"), F.size("v") - 1)
-    return rows.select(key, "acquires", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v"), 2).alias("avg_ms"), F.round(F.get("v", at), 2).alias("p95_ms"))
+    return rows.select(key, "acquires", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v"), digits).alias("avg_ms"), F.round(F.get("v", at), digits).alias("p95_ms"))
 
 
 def status_rollup(queue_ok: Column, pool_ok: Column) -> Column:

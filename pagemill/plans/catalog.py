@@ -445,10 +445,10 @@ def usage_histogram_compat(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """WITH v AS (SELECT proxy_url, latency, row_number() OVER (PARTITION BY proxy_url ORDER BY ts DESC, latency DESC) AS r, count(*) OVER (PARTITION BY proxy_url) AS n FROM proxy_events WHERE latency IS NOT NULL),
     k AS (SELECT *, CASE WHEN n <= 1000 THEN n ELSE 500 + (n - 1001) % 501 END AS m FROM v), s AS (SELECT proxy_url, any_value(n) AS n, list(latency ORDER BY latency) AS xs FROM k WHERE r <= m GROUP BY proxy_url)
-    SELECT proxy_url, n AS acquires, round(list_avg(xs), 2) AS avg_ms, round(xs[least(floor(len(xs) * 0.95)::BIGINT, len(xs) - 1) + 1], 2) AS p95_ms FROM s"""
+    SELECT proxy_url, n AS acquires, round(list_avg(xs), 4) AS avg_ms, round(xs[least(floor(len(xs) * 0.95)::BIGINT, len(xs) - 1) + 1], 4) AS p95_ms FROM s"""
 )
 def usage_acquire_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return usage.acquire_stats(src.read_table(spark, sf, "proxy_events"), "proxy_url", "ts", "latency")
+    return usage.acquire_stats(src.read_table(spark, sf, "proxy_events"), "proxy_url", "ts", "latency", digits=4)
 
 
 @query(

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagemill.functions.time import micros
 
@@ -28,7 +29,7 @@ def write_results(results: DataFrame, folder: str, job_type: str = "job_type", m
     results.write.mode(mode).partitionBy(job_type).json(folder)
 
 
-def read_results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+def read_results(spark: SparkSession, folder: str, schema: str | StructType) -> DataFrame:
     return spark.read.schema(schema).json(folder)
 
 
