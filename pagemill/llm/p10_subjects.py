@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 LABELLED, UNLABELLED, SAMPLE_CHARS = 150, 200, 20_000
 #: A term is of the lexicon if this share of its weight is of one subject, from this many paragraphs on.
 PURE, SEEN = 0.6, 3
+#: In the first rounds, over hand labels alone, a term need only lean to a subject: else a subject that mostly shares its
+#: documents with others would have no lexicon.
+LEANING, EARLY = 0.4, 2
 QUARTER = 0.25
-ROUNDS = 5
+ROUNDS = 6
 #: Trust in a hand label before anything is known.
 LABEL = 0.8
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -98,13 +101,14 @@ class Model:
         posterior = hand.copy()
         labelled = np.abs(hand - 1.0 / k).max(1) > 1e-9
         use = labelled.copy()  # the first lexicon comes from hand labels alone
-        for _ in range(ROUNDS):
+        for turn in range(ROUNDS):
             count = np.stack([np.bincount(flat, weights=(posterior[:, s] * use)[row], minlength=n) for s in range(k)], 1)
             prior = (posterior * use[:, None]).sum(0) + 1
             prior /= prior.sum()
             share = (count + 2 * prior) / (count.sum(1, keepdims=True) + 2)
             lift = np.log(share / prior)
-            keep = (share.max(1) >= PURE) & (seen >= SEEN)
+            # At first every term may lean to a subject, so that one that shares its documents with others is not lost.
+            keep = (share.max(1) >= (LEANING if turn < EARLY else PURE)) & (seen >= SEEN)
             weight = np.where(keep[:, None], np.clip(lift, -2, 3), 0.0)
             score = np.add.reduceat(weight[flat], starts, axis=0)
             hits = np.add.reduceat(keep[flat].astype(float), starts)
@@ -114,7 +118,7 @@ class Model:
             whole = np.stack([np.bincount(owner, weights=z[:, s]) for s in range(k)], 1) + 0.5
             posterior = z * (whole[owner] / whole[owner].sum(1, keepdims=True)) * hand
             posterior /= posterior.sum(1, keepdims=True)
-            use = labelled | (hits > 1)
+            use = labelled | (hits > 1) if turn >= EARLY else labelled
         names = np.array(list(vocabulary), dtype=object)
         for t in np.flatnonzero(keep):
             first, _, second = names[t].partition(" ")
