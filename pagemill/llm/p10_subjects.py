@@ -91,7 +91,7 @@ class Model:
                 rows.append(np.unique(np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in (*words, *pairs)), np.int64)))
                 hand.append(prior)
                 owner.append(d)
-        if not rows or not any(x[4] for x in docs):
+        if not rows or not k or not any(x[4] for x in docs):
             return
         flat, ends = np.concatenate(rows), np.cumsum([len(r) for r in rows])
         starts = np.concatenate([[0], ends[:-1]])
