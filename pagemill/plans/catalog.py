@@ -619,3 +619,132 @@ def stream_idempotent(spark: SparkSession, sf: str) -> DataFrame:
 def stream_job_status(spark: SparkSession, sf: str) -> DataFrame:
     rows = _stream(spark, sf, "scrapes").where("job_id is not null").select("job_id", F.when(F.col("success"), "completed").otherwise("failed").alias("status"), F.col("scraped_at").cast("timestamp").alias("at"))
     return _drained(streams.job_status(rows, "job_id", "status", "at"), "complete").select("job_id", "status")
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS s FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, list_filter(string_split(s, chr(10) || chr(10)), lambda x: regexp_replace(x, '[\t\n\v\f\r ]+', '', 'g') <> '') AS ps FROM t)
+    SELECT doc_id, '<html><head><title>PDF Document</title></head><body>' || chr(10) || array_to_string(list_transform(ps, lambda x: '<p>' || x || '</p>'), chr(10)) || chr(10) || '</body></html>' AS html FROM p"""
+)
+def text_pdf_to_html(spark: SparkSession, sf: str) -> DataFrame:
+    return src.read_table(spark, sf, "documents").where("text is not null").select("doc_id", ft.pdf_text_to_html(U(TEXT)).alias("html"))
+
+
+@query(
+    """WITH p AS (SELECT scrape_id, '## Web Page Content' || chr(10) || chr(10) || markdown || chr(10) || chr(10) || '## Extraction Task' || chr(10) || chr(10) || 'List all names.' AS prompt FROM scrapes WHERE markdown IS NOT NULL),
+    h AS (SELECT scrape_id, prompt, left(prompt, 3000) AS head FROM p),
+    c AS (SELECT *, length(head) - length(regexp_extract(head, '(?s).*\n\n(.*)$', 1)) - 2 AS pos, contains(head, chr(10) || chr(10)) AS has FROM h)
+    SELECT scrape_id, CASE WHEN length(prompt) <= 3000 THEN prompt ELSE CASE WHEN has AND pos > 1500 THEN left(head, pos) ELSE head END || chr(10) || chr(10) || '[Content truncated]' END AS prompt FROM c"""
+)
+def text_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    prompt = ft.extraction_prompt(U(MD), F.lit("List all names."))
+    return _scrapes(spark, sf).where("markdown is not null").select("scrape_id", ft.truncate_prompt(prompt, 3000, 1500).alias("prompt"))
+
+
+@query()
+def text_cache_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Key of each request, and whether another request has it too."""
+    keyed = _scrapes(spark, sf).select("scrape_id", ft.cache_key(fu.normalize_url(U("url")), {"language": F.col("metadata.language"), "formats": F.lit("markdown")}).alias("key"))
+    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("requests")), "key")
+
+
+@query(
+    f"""{_URLS} SELECT scrape_id, regexp_extract(lower(p), '(\\.[^.]*)$', 1) AS extension, lower(s) IN ('http', 'https') AND n <> '' AND n = 'kelmora-daily.example' AS crawlable FROM u"""
+)
+def url_crawlable(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrapes(spark, sf).select("scrape_id", fu.extension(U("url")).alias("extension"), fu.crawlable(U("url"), F.lit("https://kelmora-daily.example/")).alias("crawlable"))
+
+
+@query(
+    f"""{_URLS}, h AS (SELECT scrape_id, s || '://' || n AS base, p || {_QS} AS path FROM u),
+    r AS (SELECT * FROM (VALUES ('https://kelmora-daily.example', false, '/archiv'), ('https://kelmora-daily.example', true, '/archiv/a'), ('https://dunemil-ra.invalid', false, '/')) v(base, allow, prefix)),
+    f AS (SELECT scrape_id, arg_max(allow, (length(prefix), allow)) AS allow FROM h JOIN r USING (base) WHERE starts_with(path, prefix) GROUP BY scrape_id)
+    SELECT scrape_id, coalesce(allow, true) AS allowed FROM scrapes LEFT JOIN f USING (scrape_id)"""
+)
+def url_robots(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame([("https://kelmora-daily.example", False, "/archiv"), ("https://kelmora-daily.example", True, "/archiv/a"), ("https://dunemil-ra.invalid", False, "/")], "base string, allow boolean, prefix string")
+    return crawl.allowed_by_robots(_scrapes(spark, sf).select("scrape_id", "url"), rules).select("scrape_id", "allowed")
+
+
+@query(
+    r"""SELECT scrape_id, regexp_matches(html, '(?i)display: ?none|visibility: ?hidden|opacity: ?0|left:-9999|top:-9999|position:absolute|aria-hidden="true"') AS hidden_links, regexp_matches(left(html, 10000), '(?i)<meta[^>]*name="(robots|googlebot)"[^>]*noindex') AS noindex FROM scrapes WHERE html IS NOT NULL"""
+)
+def page_noindex(spark: SparkSession, sf: str) -> DataFrame:
+    links = pages.crawl_links(U(HTML), U("url"))
+    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", F.exists(links, lambda x: x["hidden"]).alias("hidden_links"), pages.noindex(U(HTML)).alias("noindex"))
+    return rows
+
+
+@query(
+    f"""SELECT scrape_id, error, len(list_filter({list(responses.PROXY_ERRORS)!r}, lambda p: contains(lower(error), p))) > 0 AS proxy_error FROM scrapes WHERE error IS NOT NULL"""
+)
+def response_proxy_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrapes(spark, sf).where("error is not null").select("scrape_id", "error", responses.is_proxy_error(F.col("error")).alias("proxy_error"))
+
+
+@query(
+    """SELECT scrape_id, CASE WHEN contains(html, 'cType: ''non-interactive''') OR contains(html, 'cType: "non-interactive"') THEN 'non-interactive' WHEN contains(html, 'cType: ''managed''') OR contains(html, 'cType: "managed"') THEN 'managed'
+    WHEN contains(html, 'cType: ''interactive''') OR contains(html, 'cType: "interactive"') THEN 'interactive' WHEN contains(html, 'challenges.cloudflare.com/turnstile') THEN 'embedded_turnstile' END AS kind FROM scrapes WHERE html IS NOT NULL"""
+)
+def response_interactive_kind(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrapes(spark, sf).where("html is not null").select("scrape_id", responses.cloudflare_kind(U(HTML)).alias("kind"))
+
+
+@query()
+def response_image_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """Difference of the bytes of each page's html and markdown, as stand-ins for two captures."""
+    both = _scrapes(spark, sf).where("html is not null and markdown is not null")
+    return both.select("scrape_id", responses.image_difference(F.encode(HTML, "UTF-8"), F.encode(MD, "UTF-8")).alias("percent"))
+
+
+@query(
+    """SELECT job_id, CASE WHEN status = 'failed' THEN 'unhealthy' WHEN total_pages IS NULL THEN 'degraded' ELSE 'ok' END AS health FROM crawl_jobs"""
+)
+def usage_status(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.read_table(spark, sf, "crawl_jobs")
+    return rows.select("job_id", usage.status_rollup(~F.coalesce(F.col("status") == "failed", F.lit(False)), F.col("total_pages").isNotNull()).alias("health"))
+
+
+@query("SELECT job_id, epoch_us(created_at) AS created FROM crawl_jobs WHERE status = 'queued' AND created_at <= TIMESTAMP '2024-06-01'")
+def source_due_schedules(spark: SparkSession, sf: str) -> DataFrame:
+    from pagemill.functions.time import micros
+
+    rows = src.read_table(spark, sf, "crawl_jobs").select("job_id", (F.col("status") == "queued").alias("enabled"), F.col("created_at").alias("next_run"))
+    return src.due(rows, F.lit("2024-06-01").cast("timestamp_ntz")).select("job_id", micros("next_run").alias("created"))
+
+
+@query(
+    """WITH c AS (SELECT url AS key, arg_max(scrape_id, scraped_at) AS response FROM scrapes WHERE success AND epoch_us(TIMESTAMP '2024-09-01') - epoch_us(scraped_at) <= 20000000::BIGINT * 1000000 GROUP BY url)
+    SELECT scrape_id, response FROM scrapes s LEFT JOIN c ON s.url = c.key WHERE response IS NOT NULL"""
+)
+def source_cached(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scrapes(spark, sf)
+    cache = rows.where("success").select(F.col("url").alias("key"), F.col("scrape_id").alias("response"), F.col("scraped_at").alias("stored_at"))
+    asked = rows.select("scrape_id", F.col("url").alias("key"))
+    return src.cached(asked, cache, F.lit("2024-09-01").cast("timestamp_ntz"), 20_000_000).where("response is not null").select("scrape_id", "response")
+
+
+@query("SELECT proxy_url, min(rn) - 1 AS position FROM (SELECT proxy_url, row_number() OVER (ORDER BY proxy_url) AS rn FROM (SELECT DISTINCT proxy_url FROM proxy_events)) GROUP BY 1 HAVING regexp_matches(proxy_url, '^(http|https|socks4|socks5)://')")
+def source_proxies(spark: SparkSession, sf: str) -> DataFrame:
+    """The proxy list of the environment, written from the events' proxies."""
+    names = src.read_table(spark, sf, "proxy_events").where("proxy_url is not null").select("proxy_url").distinct()
+    listed = names.agg(F.array_join(F.array_sort(F.collect_list("proxy_url")), ",").alias("l")).select(F.posexplode(F.split("l", ",")).alias("position", "proxy_url"))
+    return src.known_proxies(listed).select("proxy_url", F.col("position").cast("long").alias("position"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+    SELECT user_id, map_from_entries(list({'k': event_type, 'v': v} ORDER BY event_type))['click'] AS clicks FROM (SELECT user_id, event_type, count(*) AS v FROM e GROUP BY 1, 2) GROUP BY user_id HAVING count_if(event_type = 'click') > 0"""
+)
+def usage_clicks(spark: SparkSession, sf: str) -> DataFrame:
+    """One entry of the endpoint map of each client."""
+    rows = usage.usage_by_client(src.read_table(spark, sf, "events"), "user_id", "event_type", "ts", F.col("value"), F.col("event_type") == "error")
+    return rows.select(F.col("client").alias("user_id"), F.col("endpoints")["click"].alias("clicks")).where("clicks is not null")
+
+
+@query()
+def state_session_cookies(spark: SparkSession, sf: str) -> DataFrame:
+    """Cookies of each page host as of its last response: a merge, later values over earlier ones."""
+    rows = src.read_table(spark, sf, "network_events").where("resp_headers is not null").select("page_host", "ts", "event_id", "resp_headers").dropDuplicates(["event_id"])
+    last = rows.select("page_host", F.explode("resp_headers").alias("name", "value"), "ts", "event_id").groupBy("page_host", "name").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    return last.groupBy("page_host").agg(F.size(state.merge_cookies(F.lit(None).cast("map<string,string>"), F.map_from_entries(F.collect_list(F.struct("name", "value"))))).alias("cookies"))

@@ -50,8 +50,13 @@ def is_job_id(value):
 
 def proxies(spark: SparkSession, listed: str) -> DataFrame:
     """(position, proxy_url) of a comma-separated list: known schemes only, each once, in order."""
-    row = spark.range(1).select(F.posexplode(F.split(F.lit(listed), ",")).alias("position", "raw")).select("position", F.trim("raw").alias("proxy_url"))
-    known = row.where(F.lower(F.regexp_extract("proxy_url", r"^(\w+)://", 1)).isin(*PROXY_SCHEMES))
+    row = spark.range(1).select(F.posexplode(F.split(F.lit(listed), ",")).alias("position", "raw"))
+    return known_proxies(row.select("position", F.trim("raw").alias("proxy_url")))
+
+
+def known_proxies(listed: DataFrame) -> DataFrame:
+    """Of (position, proxy_url), those of known schemes, each at its first position."""
+    known = listed.where(F.lower(F.regexp_extract("proxy_url", r"^(\w+)://", 1)).isin(*PROXY_SCHEMES))
     return known.groupBy("proxy_url").agg(F.min("position").alias("position")).select("position", "proxy_url")
 
 
