@@ -123,7 +123,8 @@ def masked(line: Column) -> Column:
     """Lower case, marks at the end off, addresses and whatever holds a digit a wildcard."""
     x = F.regexp_replace(line, r"\s+", " ")
     x = F.regexp_replace(x, r"^[\s#>*_-]+|(?:\s*\([^()]{0,12}\)|[\s.…»›*_!:]+)+$", "")
-    x = F.regexp_replace(x, r"\S*(?:\d|[^\s.]\.[a-z]{2}|://)\S*", WILD)
+    # From the beginning of a token only, without going back: linear in the line.
+    x = F.regexp_replace(x, r"(?<!\S)[^\s\d.:]*+(?:[.:](?![a-z/])[^\s\d.:]*+)*+(?:\d|\.[a-z]|:/)\S*+", WILD)
     return F.lower(x)
 
 
