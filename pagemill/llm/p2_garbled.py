@@ -95,12 +95,12 @@ _MISPLACED = re.compile(
     r"|(?<=[A-Za-zß-ÿ])[─-▟⌐⌠⌡√∞≈≡≤≥∂∑∏∫◊ΓΣΦΩαδεπστφﬁﬂ]|[─-▟⌐⌠⌡√∞≈≡≤≥∂∑∏∫◊ΓΣΦΩαδεπστφﬁﬂ](?=[A-Za-zß-ÿ])"
     r"|(?<=[A-Za-z])[Ѐ-ӿ]|[Ѐ-ӿ](?=[A-Za-z])"
     r"|(?:(?<=\w )|(?<=\n))[ÐÝûøÞþ¶Û³Õ╗└](?= [^\W\d_]|\n|$)|(?:(?<=[^\W\d_] )|(?<=\d{4} ))½(?= [^\W\d_])"
-    r"|(?:(?<=[a-z] )|(?<=\d{4} ))[ÀÇá](?= [A-Z][a-z])"
+    r"|(?:(?<=[a-z] )|(?<=\d{4} ))[ÀÇá](?= [A-Z][a-z])|(?<=[a-zß-ÿ])[šž](?=[a-zß-ÿ])"
 )
 #: Where something misplaced may stand; this first test is cheap.
-_MAY = re.compile(r"[À-ÖØ-ÞŠŸŽŒ‡ˆ‰†§¶³¾½´¨™¼¢¤¥¦¬±²¹˜•›‹¸ƒ\x80-\x9fΑ-ωЀ-ӿﬁﬂ⌐⌠⌡√∞≈≡≤≥∂∑∏∫◊─-▟]|(?<= )[ûøþá](?= )")
+_MAY = re.compile(r"[À-ÖØ-ÞŠŸŽŒ‡ˆ‰†§¶³¾½´¨™¼¢¤¥¦¬±²¹˜•›‹¸ƒ\x80-\x9fΑ-ωЀ-ӿﬁﬂ⌐⌠⌡√∞≈≡≤≥∂∑∏∫◊─-▟šž]|(?<= )[ûøþá](?= )")
 _LOST = re.compile(r"(?<=[a-zß-ÿ])\?+(?=[a-zß-ÿ])")
-_FIRST = "[" + "".join(sorted({re.escape(f[0]) for f in garbled_forms()})) + REPLACEMENT + "\\?" + r"─-▟⌐⌠⌡√∞≈≡≤≥∂∑∏∫◊Α-ωﬁﬂЀ-ӿ\x80-\x9f‡ˆ‰†§¶³¾½´¨™¼¢¤¥¦¬±²¹˜•›‹¸ƒŠŸŽŒÐÝûøÞþÛÕ]|[a-zß-öø-ÿœ][À-ÖØ-Þ]| [ÀÇá] [A-Z]"
+_FIRST = "[" + "".join(sorted({re.escape(f[0]) for f in garbled_forms()})) + REPLACEMENT + "\\?" + r"─-▟⌐⌠⌡√∞≈≡≤≥∂∑∏∫◊Α-ωﬁﬂЀ-ӿ\x80-\x9f‡ˆ‰†§¶³¾½´¨™¼¢¤¥¦¬±²¹˜•›‹¸ƒŠŸŽŒÐÝûøÞþÛÕšž]|[a-zß-öø-ÿœ][À-ÖØ-Þ]| [ÀÇá] [A-Z]"
 
 
 _BEGINS = re.compile("[" + "".join(sorted({re.escape(f[0]) for f in garbled_forms()})) + REPLACEMENT + "]")
