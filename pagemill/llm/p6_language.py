@@ -78,8 +78,8 @@ def words_of(text: str) -> list[str]:
 
 
 def prose(line: str) -> bool:
-    """Whether a line is long and wordy enough to be judged by itself."""
-    if len(line) < LEAST_CHARS or "\t" in line or line.count(" | ") > 1 or line.count("(") + line.count("{") + line.count("=") > len(line) / 40:
+    """Whether a line is long and wordy enough to be judged by itself; encoded data without spaces is not."""
+    if len(line) < LEAST_CHARS or line.count(" ") * 15 < len(line) or "\t" in line or line.count(" | ") > 1 or line.count("(") + line.count("{") + line.count("=") > len(line) / 40:
         return False
     words = _WORDS.findall(line)
     small = sum(w[0].islower() for w in words)
