@@ -39,4 +39,18 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables that this process has written and not removed.
+_WRITTEN: list[str] = []
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Delete the tables that written() has made, once no result needs them any more; how many there were."""
+    jvm, count = spark.sparkContext._jvm, len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return count

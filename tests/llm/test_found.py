@@ -439,3 +439,11 @@ def test_subjects(spark):
     assert p10_subjects.found(df, labels.limit(0), subjects).count() == 0
     assert p10_subjects.found(df.limit(0), labels, subjects).count() == 0
     assert p10_subjects.found(df, labels, subjects.limit(0)).count() == 0
+
+
+def test_written_tables_can_be_removed(spark):
+    from pagemill.llm import common
+
+    df = common.written(spark.range(3))
+    path = Path(df.inputFiles()[0].removeprefix("file:")).parent
+    assert df.count() == 3 and path.exists() and common.remove_written(spark) >= 1 and not path.exists()
