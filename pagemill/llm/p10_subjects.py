@@ -6,7 +6,7 @@ model learns how accurate each function is from how they agree, and gives every
 document has the subjects of at least a quarter of its paragraphs.
 
 Lexicons and accuracies are fitted on a bounded sample chosen by hash of the id: ``LABELLED`` documents for each language
-and subject, ``UNLABELLED`` for each language. Hand labels may be wrong or lack a subject: they are one more noisy function
+and subject, ``UNLABELLED`` for each language, ``MOST`` in all. Hand labels may be wrong or lack a subject: they are one more noisy function
 in the fit. Everything else covers all documents.
 
 Defined results: null and blank texts, and texts without a paragraph that a lexicon knows, have no subject. The title line
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELLED, UNLABELLED, SAMPLE_CHARS = 150, 200, 20_000
+#: The whole sample is at most so large, whatever languages the table names; each language and subject has its turn.
+MOST = 12_000
 #: A term is of the lexicon if this share of its weight is of one subject, from this many paragraphs on.
 PURE, SEEN = 0.6, 3
 #: In the first rounds, over hand labels alone, a term need only lean to a subject: else a subject that mostly shares its
@@ -211,10 +213,11 @@ def sample(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, un
     known = texts.join(hand, "doc_id")
     by_subject = F.row_number().over(Window.partitionBy("lang", "subject").orderBy(chosen, "doc_id"))
     by_language = F.row_number().over(Window.partitionBy("lang").orderBy(chosen, "doc_id"))
-    ids = known.withColumn("rank", by_subject).where(F.col("rank") <= labelled).select("doc_id")
-    ids = ids.union(texts.withColumn("rank", by_language).where(F.col("rank") <= unlabelled).select("doc_id")).distinct()
+    ids = known.withColumn("rank", by_subject).where(F.col("rank") <= labelled).select("doc_id", "rank")
+    ids = ids.union(texts.withColumn("rank", by_language).where(F.col("rank") <= unlabelled).select("doc_id", "rank"))
+    ids = ids.groupBy("doc_id").agg(F.min("rank").alias("rank")).orderBy("rank", chosen, "doc_id").limit(MOST).select("doc_id")
     hand = hand.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
-    rows = documents.join(F.broadcast(ids), "doc_id").join(hand, "doc_id", "left")  # ids: bounded by the two parameters
+    rows = documents.join(F.broadcast(ids), "doc_id").join(hand, "doc_id", "left")  # at most MOST ids
     rows = rows.select("doc_id", "text", "title", "url", "source", "subjects").orderBy("doc_id").collect()
     return [(r["text"], r["title"], r["url"], r["source"], r["subjects"] or []) for r in rows]
 
