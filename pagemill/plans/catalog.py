@@ -107,7 +107,22 @@ def url_predicates(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", fu.is_ad_or_tracker(U("url")).alias("ad"), fu.is_pdf(U("url"), F.col("resp_headers")["content-type"]).alias("pdf"))
 
 
-@query()
+def _normalized(column: str) -> str:
+    s, n, q, fp = f"lower({_part(column, 1)})", _part(column, 2), _part(column, 4), _part(column, 3)
+    p, params = f"regexp_replace({_path(column)}, '/+$', '')", f"regexp_extract({fp}, '(;[^/]*)$', 1)"
+    return f"""(CASE WHEN {s} <> '' THEN {s} || ':' ELSE '' END || CASE WHEN {n} <> '' THEN '//' || {n} ELSE '' END || CASE WHEN {p} = '' THEN '/' ELSE {p} END
+      || CASE WHEN {params} = ';' THEN '' ELSE {params} END || CASE WHEN {q} <> '' THEN '?' || {q} ELSE '' END)"""
+
+
+def _absolute(base: str, link: str) -> str:
+    """Links of the test pages are absolute or root-relative."""
+    return f"CASE WHEN starts_with({link}, '/') THEN lower({_part(base, 1)}) || '://' || {_part(base, 2)} || {link} ELSE {link} END"
+
+
+@query(
+    f"""WITH l AS (SELECT scrape_id, url, unnest(regexp_extract_all(markdown, '\\[([^\\]]*)\\]\\(([^)]+)\\)', 2)) AS link FROM scrapes WHERE markdown IS NOT NULL)
+    SELECT scrape_id, link, {_absolute('url', 'link')} AS resolved FROM l"""
+)
 def url_resolved(spark: SparkSession, sf: str) -> DataFrame:
     """Links of markdown made absolute."""
     rows = _scrapes(spark, sf).where("markdown is not null").select("scrape_id", "url", F.explode(F.regexp_extract_all(MD, F.lit(ft.LINK), 2)).alias("link"))
@@ -337,18 +352,23 @@ def response_challenges(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("scrape_id", "c.detected", "c.type")
 
 
-@query(
-    r"""SELECT scrape_id, regexp_matches(html, '(?i)<div\s+id=["''](?:root|app|__next|__nuxt)["'']>\s*</div>') OR regexp_matches(html, '(?is)<noscript>.*?enable javascript') OR regexp_matches(html, '(?i)__NEXT_DATA__')
+_NEEDS = r"""(regexp_matches(html, '(?i)<div\s+id=["''](?:root|app|__next|__nuxt)["'']>\s*</div>') OR regexp_matches(html, '(?is)<noscript>.*?enable javascript') OR regexp_matches(html, '(?i)__NEXT_DATA__')
     OR regexp_matches(html, '(?i)window\.__NUXT__') OR regexp_matches(html, '(?i)<div\s+id=["'']gatsby-')
-    OR length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) < 200 AS needs_scripts FROM scrapes WHERE html IS NOT NULL"""
-)
+    OR length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) < 200)"""
+
+
+@query(f"SELECT scrape_id, {_NEEDS} AS needs_scripts FROM scrapes WHERE html IS NOT NULL")
 def response_needs_scripts(spark: SparkSession, sf: str) -> DataFrame:
     return _scrapes(spark, sf).where("html is not null").select("scrape_id", responses.needs_scripts(U(HTML)).alias("needs_scripts"))
 
 
-@query()
+@query(
+    f"""WITH u AS (SELECT scrape_id, url, scraped_at, lower({_part('url', 2)}) AS d, html, {_NEEDS} AS own FROM scrapes),
+    f AS (SELECT d, arg_min(own, (scraped_at, url)) AS needs_scripts FROM u WHERE own IS NOT NULL GROUP BY d)
+    SELECT scrape_id, needs_scripts FROM u JOIN f USING (d)"""
+)
 def response_needs_scripts_by_domain(spark: SparkSession, sf: str) -> DataFrame:
-    return responses.needs_scripts_by_domain(_scrapes(spark, sf).select("scrape_id", "url", "html", "scraped_at")).select("scrape_id", "needs_scripts")
+    return responses.needs_scripts_by_domain(_scrapes(spark, sf).select("scrape_id", "url", "html", "scraped_at")).select("scrape_id", "needs_scripts").where("needs_scripts is not null")
 
 
 @query(
@@ -531,7 +551,11 @@ def changes_compared(spark: SparkSession, sf: str) -> DataFrame:
     return changes.compare_snapshots(before, after, "page").select("page", "change_type")
 
 
-@query()
+@query(
+    f"""WITH h AS (SELECT url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM scrapes WHERE html IS NOT NULL),
+    l AS (SELECT url, unnest(hrefs) AS href, unnest(range(0, len(hrefs))) AS position FROM h), a AS (SELECT url, position::INTEGER AS position, {_absolute('url', 'href')} AS dst FROM l)
+    SELECT {_normalized('url')} AS src, {_normalized('dst')} AS dst, position FROM a WHERE lower({_part('dst', 1)}) IN ('http', 'https')"""
+)
 def crawl_edges(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.edges(src.pages(spark, sf))
 
@@ -567,7 +591,10 @@ def crawl_map(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.discover(maps.withColumn("priority", F.lit(0)), pages_, limit=1_000_000_000)
 
 
-@query()
+@query(
+    f"""WITH k AS (SELECT DISTINCT {_normalized('url')} AS key FROM scrapes)
+    SELECT job_id AS query, 1 AS position, url, {_normalized('url')} IN (SELECT key FROM k) AS found FROM crawl_jobs"""
+)
 def crawl_search(spark: SparkSession, sf: str) -> DataFrame:
     """Seeds of jobs looked up among the stored pages."""
     results = src.read_table(spark, sf, "crawl_jobs").select(F.col("job_id").alias("query"), F.lit(1).alias("position"), "url")
@@ -742,7 +769,7 @@ def usage_clicks(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("client").alias("user_id"), F.col("endpoints")["click"].alias("clicks")).where("clicks is not null")
 
 
-@query()
+@query("WITH k AS (SELECT page_host, unnest(map_keys(resp_headers)) AS name FROM network_events WHERE resp_headers IS NOT NULL) SELECT page_host, count(DISTINCT name)::INTEGER AS cookies FROM k GROUP BY 1")
 def state_session_cookies(spark: SparkSession, sf: str) -> DataFrame:
     """Cookies of each page host as of its last response: a merge, later values over earlier ones."""
     rows = src.read_table(spark, sf, "network_events").where("resp_headers is not null").select("page_host", "ts", "event_id", "resp_headers").dropDuplicates(["event_id"])
