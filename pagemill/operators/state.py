@@ -126,20 +126,26 @@ def admitted(events: DataFrame, key: str, rpm: int, id_col: str, ts: str = "ts")
     return rows.select(key, id_col, "__at").mapInPandas(run, f"{key} {key_type}, {id_col} {id_type}, allowed boolean")
 
 
-def first_of_day(events: DataFrame, keys: list[str], ts: str = "ts", hours: int = 24) -> DataFrame:
-    """events with replayed: an event within hours of the last one that was not itself a replay repeats that one's response.
-
-    The first event of a key opens a span; the next one after its end opens another. Spans of a busy key are found from
-    gaps first: an event more than hours after the one before always opens a span, so each run between gaps is on its own.
-    """
-    at = micros(ts)
-    w = Window.partitionBy(*keys).orderBy(ts)
-    gap = (at - F.lag(at).over(w)) >= hours * 3_600_000_000
-    run = F.sum(F.coalesce(gap.cast("int"), F.lit(0))).over(w)
-    first = F.min(at).over(Window.partitionBy(*keys, "__run"))
-    rows = events.withColumn("__run", run).withColumn("__span", F.floor((at - first) / (hours * 3_600_000_000)))
-    order = F.row_number().over(Window.partitionBy(*keys, "__run", "__span").orderBy(ts))
-    return rows.withColumn("replayed", order > 1).drop("__run", "__span")
+def first_of_day(events: DataFrame, keys: list[str], id_col: str, ts: str = "ts", hours: int = 24) -> DataFrame:
+    """(id, replayed): an event within hours of the last one of its key that was no replay repeats that one's response."""
+    id_type = events.schema[id_col].dataType.simpleString()
+    span = hours * 3_600_000_000
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, opened = None, 0
+        for batch in batches:
+            out = []
+            for key, row, t in zip(batch["__key"], batch["id"], batch["__at"]):
+                fresh = key != at or t - opened >= span
+                if fresh:
+                    at, opened = key, t
+                out.append((row, not fresh))
+            yield pd.DataFrame(out, columns=[id_col, "replayed"])
+
+    # Two 64-bit hashes name a key; events of a key meet in one sorted partition and pass through one by one.
+    key = F.concat_ws("-", F.xxhash64(*keys), F.xxhash64(*reversed(keys), F.lit(1)))
+    rows = events.where(F.col(ts).isNotNull()).select(key.alias("__key"), F.col(id_col).alias("id"), micros(ts).alias("__at"))
+    return rows.repartition("__key").sortWithinPartitions("__key", "__at", "id").mapInPandas(run, f"{id_col} {id_type}, replayed boolean")
 
 
 def latest_status(events: DataFrame, key: str, status: str, ts: str) -> DataFrame:

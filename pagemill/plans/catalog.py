@@ -481,25 +481,59 @@ def usage_prometheus(spark: SparkSession, sf: str) -> DataFrame:
     return usage.prometheus(row.select(F.inline(entries)), "mill_")
 
 
-@query()
+_PROXIES = """WITH RECURSIVE e AS (SELECT proxy_url AS p, epoch_us(ts) / 1e6 AS t, kind, latency, row_number() OVER (PARTITION BY proxy_url ORDER BY epoch_us(ts) / 1e6, kind, latency NULLS FIRST) AS rn
+      FROM proxy_events WHERE ts IS NOT NULL AND proxy_url IS NOT NULL AND kind IN ('ok', 'fail', 'timeout')),
+    s AS (
+      SELECT p, rn, kind = 'ok' AS ok, CASE WHEN kind = 'ok' THEN coalesce(latency, 0.0) ELSE 0.0 END AS speed, t AS began, CASE WHEN kind <> 'ok' THEN t + 60.0 END AS until,
+        (kind = 'ok')::BIGINT AS succeed, (kind = 'timeout')::BIGINT AS timeouts, (kind <> 'ok')::BIGINT AS failures, 0::BIGINT AS reanimated,
+        (kind = 'ok')::BIGINT AS recent_succeed, (kind = 'timeout')::BIGINT AS recent_timeouts, (kind <> 'ok')::BIGINT AS recent_failures FROM e WHERE rn = 1
+      UNION ALL
+      SELECT e.p, e.rn, kind = 'ok', CASE WHEN kind = 'ok' AND latency IS NOT NULL THEN CASE WHEN speed <> 0 THEN 0.7 * speed + 0.3 * latency ELSE latency END ELSE speed END,
+        CASE WHEN t - began >= 300 THEN t ELSE began END, CASE WHEN kind <> 'ok' THEN t + 60.0 END,
+        succeed + (kind = 'ok')::BIGINT, timeouts + (kind = 'timeout')::BIGINT, failures + (kind <> 'ok')::BIGINT, reanimated + (until IS NOT NULL AND t >= until)::BIGINT,
+        CASE WHEN t - began >= 300 THEN 0 ELSE recent_succeed END + (kind = 'ok')::BIGINT, CASE WHEN t - began >= 300 THEN 0 ELSE recent_timeouts END + (kind = 'timeout')::BIGINT,
+        CASE WHEN t - began >= 300 THEN 0 ELSE recent_failures END + (kind <> 'ok')::BIGINT
+      FROM s JOIN e ON e.p = s.p AND e.rn = s.rn + 1),
+    l AS (SELECT p, max(rn) AS rn FROM e GROUP BY p)"""
+
+
+@query(
+    f"""{_PROXIES} SELECT p AS proxy_url, ok, round(speed, 6) AS speed, succeed, timeouts, failures, reanimated, recent_succeed, recent_timeouts, recent_failures, recent_succeed = 0 AND recent_failures >= 5 AS evict FROM s JOIN l USING (p, rn)"""
+)
 def state_proxies(spark: SparkSession, sf: str) -> DataFrame:
-    return state.proxy_state(src.read_table(spark, sf, "proxy_events"))
+    return state.proxy_state(src.read_table(spark, sf, "proxy_events")).withColumn("speed", F.round("speed", 6))
 
 
-@query()
+@query(
+    f"""{_PROXIES} SELECT count(*) AS total, count_if(ok)::BIGINT AS active, count_if(NOT ok)::BIGINT AS evicted, round(coalesce(avg(CASE WHEN ok AND speed > 0 THEN speed END), 0.0), 4) AS avg_speed FROM s JOIN l USING (p, rn)"""
+)
 def state_pool(spark: SparkSession, sf: str) -> DataFrame:
-    return state.pool_stats(state_proxies(spark, sf))
+    return state.pool_stats(state.proxy_state(src.read_table(spark, sf, "proxy_events")))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT page_host AS k, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY page_host ORDER BY epoch_us(ts) / 1e6, event_id) AS rn
+      FROM (SELECT DISTINCT event_id, page_host, ts FROM network_events) WHERE page_host IS NOT NULL AND ts IS NOT NULL),
+    s AS (SELECT k, rn, event_id, t, 1.0::DOUBLE AS level, true AS allowed FROM e WHERE rn = 1
+      UNION ALL
+      SELECT e.k, e.rn, e.event_id, e.t, greatest(0.0, level - (e.t - s.t) * 2 / 60.0) + CASE WHEN greatest(0.0, level - (e.t - s.t) * 2 / 60.0) + 1 <= 2 THEN 1 ELSE 0 END, greatest(0.0, level - (e.t - s.t) * 2 / 60.0) + 1 <= 2
+      FROM s JOIN e ON e.k = s.k AND e.rn = s.rn + 1)
+    SELECT k AS page_host, event_id, allowed FROM s"""
+)
 def state_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return state.admitted(src.read_table(spark, sf, "network_events").dropDuplicates(["event_id"]), "page_host", 2, "event_id")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT coalesce(page_host, '') || '-' || coalesce(method, '') AS k, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY coalesce(page_host, '') || '-' || coalesce(method, '') ORDER BY ts, event_id) AS rn
+      FROM (SELECT DISTINCT event_id, page_host, method, ts FROM network_events WHERE kind = 'request') WHERE ts IS NOT NULL),
+    s AS (SELECT k, rn, event_id, t AS opened, false AS replayed FROM e WHERE rn = 1
+      UNION ALL SELECT e.k, e.rn, e.event_id, CASE WHEN t - opened >= 86400000000 THEN t ELSE opened END, t - opened < 86400000000 FROM s JOIN e ON e.k = s.k AND e.rn = s.rn + 1)
+    SELECT event_id, replayed FROM s"""
+)
 def state_replays(spark: SparkSession, sf: str) -> DataFrame:
     rows = src.read_table(spark, sf, "network_events").dropDuplicates(["event_id"]).where("kind = 'request'")
-    return state.first_of_day(rows, ["page_host", "method", "url"]).select("event_id", "replayed")
+    return state.first_of_day(rows, ["page_host", "method"], "event_id")
 
 
 @query(
@@ -560,7 +594,13 @@ def crawl_edges(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.edges(src.pages(spark, sf))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE h AS (SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM scrapes WHERE html IS NOT NULL), a AS (SELECT url, {_absolute('url', 'href')} AS dst FROM h),
+    e AS (SELECT DISTINCT {_normalized('url')} AS src, {_normalized('dst')} AS dst, {_part('dst', 2)} AS n FROM a WHERE lower({_part('dst', 1)}) IN ('http', 'https')),
+    s AS (SELECT DISTINCT {_normalized('url')} AS seed FROM crawl_jobs WHERE url IS NOT NULL),
+    r AS (SELECT seed, seed AS url, 0 AS depth FROM s UNION SELECT seed, dst, depth + 1 FROM r JOIN e ON r.url = e.src WHERE depth < 3 AND n = {_part('seed', 2)})
+    SELECT seed, url, min(depth)::INTEGER AS depth FROM r GROUP BY ALL"""
+)
 def crawl_breadth_first(spark: SparkSession, sf: str) -> DataFrame:
     seeds = src.read_table(spark, sf, "crawl_jobs").where("url is not null").select(F.col("url").alias("seed"))
     return crawl.breadth_first(crawl.edges(src.pages(spark, sf)), seeds, max_depth=3)

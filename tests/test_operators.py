@@ -111,8 +111,9 @@ def test_limits_and_replays(spark):
     df = spark.createDataFrame([(i, "k", at(i)) for i in range(5)] + [(9, "k", at(120))], "id int, k string, ts timestamp")
     got = {r.id: r.allowed for r in state.admitted(df, "k", 2, "id").collect()}
     assert got == {0: True, 1: True, 2: False, 3: False, 4: False, 9: True}
-    df = spark.createDataFrame([(1, "k", at(0)), (2, "k", at(3600)), (3, "k", at(86_400)), (4, "k", at(90_000))], "id int, k string, ts timestamp")
-    assert {r.id: r.replayed for r in state.first_of_day(df, ["k"]).collect()} == {1: False, 2: True, 3: False, 4: True}
+    hours = {1: 0, 2: 20, 3: 30, 4: 50, 5: 53.9, 6: 54}
+    df = spark.createDataFrame([(i, "k", at(h * 3600)) for i, h in hours.items()] + [(7, "other", at(1))], "id int, k string, ts timestamp")
+    assert {r.id: r.replayed for r in state.first_of_day(df, ["k"], "id").collect()} == {1: False, 2: True, 3: False, 4: True, 5: True, 6: False, 7: False}
     merged = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}), (None, None)], "o map<string,string>, n map<string,string>").select(state.merge_cookies(F.col("o"), F.col("n"))).collect()
     assert [r[0] for r in merged] == [{"a": "1", "b": "3"}, {}]
 
