@@ -41,6 +41,10 @@ def _scrapes(spark: SparkSession, sf: str) -> DataFrame:
     return src.read_table(spark, sf, "scrapes")
 
 
+def _with_html(spark: SparkSession, sf: str) -> DataFrame:
+    return src.spread(_scrapes(spark, sf).select("scrape_id", "url", "html").where("html is not null"))
+
+
 U, HTML, MD, TEXT = F.col, "html", "markdown", "text"
 
 # SQL parts of a url, by the pattern of RFC 3986.
@@ -226,14 +230,14 @@ def fit_markdown(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def page_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: stored pages parsed once, main content as markdown, with counts and normalised address."""
-    rows = src.pages(spark, sf).where("html is not null and success")
+    rows = src.spread(src.pages(spark, sf).select("page_id", "url", "html", "success").where("html is not null and success"))
     out = pages.response(rows.select("page_id", "url", "html"), formats=("markdown",), llm_ready=True)
     return out.select("page_id", fu.normalize_url(U("url")).alias("url"), "title", "description", "language", "word_count", "token_count_estimate", F.col("as_markdown").alias("markdown"))
 
 
 @query()
 def page_formats(spark: SparkSession, sf: str) -> DataFrame:
-    rows = src.pages(spark, sf).where("html is not null").select("page_id", pages.scrape(U(HTML), ("markdown", "text", "json", "csv", "xml")).alias("p"))
+    rows = src.spread(src.pages(spark, sf).select("page_id", "html").where("html is not null")).select("page_id", pages.scrape(U(HTML), ("markdown", "text", "json", "csv", "xml")).alias("p"))
     return rows.select("page_id", "p.markdown", "p.text", "p.json", "p.csv", "p.xml")
 
 
@@ -248,7 +252,7 @@ def _unescape(x: str) -> str:
     {_unescape("regexp_extract(html, '<meta name=\"description\" content=\"([^\"]*)\"', 1)")} AS description, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS language FROM scrapes WHERE html IS NOT NULL"""
 )
 def page_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.metadata(U(HTML)).alias("m"))
+    rows = _with_html(spark, sf).select("scrape_id", pages.metadata(U(HTML)).alias("m"))
     return rows.select("scrape_id", "m.title", "m.description", "m.language")
 
 
@@ -257,49 +261,49 @@ def page_metadata(spark: SparkSession, sf: str) -> DataFrame:
     len(regexp_extract_all(html, '<img[^>]* src="[^"]+"'))::INTEGER AS images FROM scrapes WHERE html IS NOT NULL"""
 )
 def page_media(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.media(U(HTML), U("url")).alias("m"))
+    rows = _with_html(spark, sf).select("scrape_id", pages.media(U(HTML), U("url")).alias("m"))
     return rows.select("scrape_id", F.size("m.links").alias("links"), F.size("m.images").alias("images"))
 
 
 @query()
 def page_tables(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", F.explode(pages.tables(U(HTML))).alias("t"))
+    rows = _with_html(spark, sf).select("scrape_id", F.explode(pages.tables(U(HTML))).alias("t"))
     return rows.select("scrape_id", "t.index", "t.caption", "t.headers", "t.raw_rows", "t.row_count", "t.column_count")
 
 
 @query()
 def page_tables_csv(spark: SparkSession, sf: str) -> DataFrame:
-    return _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.tables_csv(U(HTML)).alias("csv"))
+    return _with_html(spark, sf).select("scrape_id", pages.tables_csv(U(HTML)).alias("csv"))
 
 
 @query()
 def page_sections(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", F.posexplode(pages.sections(U(HTML))).alias("section_no", "s"))
+    rows = _with_html(spark, sf).select("scrape_id", F.posexplode(pages.sections(U(HTML))).alias("section_no", "s"))
     return rows.select("scrape_id", "section_no", "s.heading", "s.level", F.size("s.content").alias("parts"))
 
 
 @query()
 def page_pruned(spark: SparkSession, sf: str) -> DataFrame:
-    return _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.prune(U(HTML)).alias("html"))
+    return _with_html(spark, sf).select("scrape_id", pages.prune(U(HTML)).alias("html"))
 
 
 @query()
 def page_relevant(spark: SparkSession, sf: str) -> DataFrame:
-    return _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.relevant_blocks(U(HTML), "report market", 3).alias("html"))
+    return _with_html(spark, sf).select("scrape_id", pages.relevant_blocks(U(HTML), "report market", 3).alias("html"))
 
 
 @query()
 def page_scoped(spark: SparkSession, sf: str) -> DataFrame:
     """Preprocessed, short blocks dropped."""
     scoped = pages.preprocess(U(HTML), excluded_tags=["nav", "footer"], excluded_selector=".sidebar, .consent-bar", css_selector="article, .post")
-    return _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.drop_short_blocks(scoped, 5).alias("html"))
+    return _with_html(spark, sf).select("scrape_id", pages.drop_short_blocks(scoped, 5).alias("html"))
 
 
 @query(
     """SELECT scrape_id, nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') IS NOT NULL AS has_heading, len(regexp_extract_all(html, '<h2>'))::INTEGER AS subheadings FROM scrapes WHERE html IS NOT NULL"""
 )
 def extract_css(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.extract(U(HTML), "css", {"h": "h1", "subs": {"selector": "h2", "all": True}})[0].alias("r"))
+    rows = _with_html(spark, sf).select("scrape_id", pages.extract(U(HTML), "css", {"h": "h1", "subs": {"selector": "h2", "all": True}})[0].alias("r"))
     return rows.select("scrape_id", F.col("r")["h"].isNotNull().alias("has_heading"), F.size(F.col("r")["subs"]).alias("subheadings"))
 
 
@@ -307,13 +311,13 @@ def extract_css(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT scrape_id, len(regexp_extract_all(html, '<h2>'))::INTEGER AS subheadings, len(regexp_extract_all(html, '<a href='))::INTEGER AS links FROM scrapes WHERE html IS NOT NULL"""
 )
 def extract_xpath(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", pages.extract(U(HTML), "xpath", {"subs": "//h2", "links": "//a/@href"})[0].alias("r"))
+    rows = _with_html(spark, sf).select("scrape_id", pages.extract(U(HTML), "xpath", {"subs": "//h2", "links": "//a/@href"})[0].alias("r"))
     return rows.select("scrape_id", *(F.when(F.col("r")[k].isNotNull(), F.size(F.col("r")[k])).otherwise(0).alias(n) for k, n in (("subs", "subheadings"), ("links", "links"))))
 
 
 @query()
 def extract_regex(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", F.explode(pages.extract(U(HTML), "regex", r"(?P<number>\d+) (?P<unit>per cent|weeks|days)")).alias("r"))
+    rows = _with_html(spark, sf).select("scrape_id", F.explode(pages.extract(U(HTML), "regex", r"(?P<number>\d+) (?P<unit>per cent|weeks|days)")).alias("r"))
     return rows.select("scrape_id", F.col("r")["number"][0].alias("number"), F.col("r")["unit"][0].alias("unit"))
 
 
@@ -359,7 +363,7 @@ _NEEDS = r"""(regexp_matches(html, '(?i)<div\s+id=["''](?:root|app|__next|__nuxt
 
 @query(f"SELECT scrape_id, {_NEEDS} AS needs_scripts FROM scrapes WHERE html IS NOT NULL")
 def response_needs_scripts(spark: SparkSession, sf: str) -> DataFrame:
-    return _scrapes(spark, sf).where("html is not null").select("scrape_id", responses.needs_scripts(U(HTML)).alias("needs_scripts"))
+    return _with_html(spark, sf).select("scrape_id", responses.needs_scripts(U(HTML)).alias("needs_scripts"))
 
 
 @query(
@@ -738,7 +742,7 @@ def url_robots(spark: SparkSession, sf: str) -> DataFrame:
 )
 def page_noindex(spark: SparkSession, sf: str) -> DataFrame:
     links = pages.crawl_links(U(HTML), U("url"))
-    rows = _scrapes(spark, sf).where("html is not null").select("scrape_id", F.exists(links, lambda x: x["hidden"]).alias("hidden_links"), pages.noindex(U(HTML)).alias("noindex"))
+    rows = _with_html(spark, sf).select("scrape_id", F.exists(links, lambda x: x["hidden"]).alias("hidden_links"), pages.noindex(U(HTML)).alias("noindex"))
     return rows
 
 
@@ -754,7 +758,7 @@ def response_proxy_errors(spark: SparkSession, sf: str) -> DataFrame:
     WHEN contains(html, 'cType: ''interactive''') OR contains(html, 'cType: "interactive"') THEN 'interactive' WHEN contains(html, 'challenges.cloudflare.com/turnstile') THEN 'embedded_turnstile' END AS kind FROM scrapes WHERE html IS NOT NULL"""
 )
 def response_interactive_kind(spark: SparkSession, sf: str) -> DataFrame:
-    return _scrapes(spark, sf).where("html is not null").select("scrape_id", responses.cloudflare_kind(U(HTML)).alias("kind"))
+    return _with_html(spark, sf).select("scrape_id", responses.cloudflare_kind(U(HTML)).alias("kind"))
 
 
 @query()

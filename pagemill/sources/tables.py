@@ -18,6 +18,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if its files gave fewer: one small file must not leave pages to one core.
+
+    Tables with more splits than cores, all large ones, stay as they are and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Stored pages: (page_id, url, html, status_code, scraped_at, ingested_at, success)."""
     rows = read_table(spark, folder, "scrapes")
