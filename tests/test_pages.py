@@ -89,7 +89,7 @@ def test_preprocess():
     assert "tail" in page.preprocess(html, ["NAV"]) and "<nav>" not in page.preprocess(html, ["NAV"])
     assert page.preprocess(html, css_selector=".b") == '<html><body><div class="b">y</div></body></html>'
     assert "tail" in page.preprocess(html, css_selector=".none")
-    assert "y" not in page.preprocess(html, excluded_selector=".b")
+    assert ">y<" not in page.preprocess(html, excluded_selector=".b")
 
 
 def test_markdown():
