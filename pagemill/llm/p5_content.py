@@ -6,11 +6,13 @@ The entropy of both over the pages of the host says how much the branch matters:
 both; the article repeats neither. A tree over all hosts, with class names masked, speaks for hosts of few pages. Branches
 of low importance are removed.
 
-Pages kept as markdown only, and lines that match no block, are judged by a linear model of lines, fitted on a bounded
-sample of lines that the tree has labelled (``SAMPLE_PAGES``): words, marks, place in the page.
+Pages kept as markdown only, and lines that match no block, first meet the verdicts that the tree has given the same line
+(its kind, its words) on the host's pages with html, all of them. What no such page holds, or what they disagree about, is
+judged by a linear model of lines, fitted on a bounded sample of lines that the tree has labelled (``SAMPLE_PAGES``): words,
+marks, place in the page.
 
-Defined results: blank lines and lines of null markdown are never given. A page without html is judged by the model alone;
-where no page at all has html there is no sample and nothing is removed. Repeated rows give one row per line.
+Defined results: blank lines and lines of null markdown are never given. Lines without letters meet no verdicts. Where no
+page at all has html there is no verdict and no sample, and nothing is removed. Repeated rows give one row per line.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import host_of, written
@@ -42,6 +44,8 @@ PRIOR, KEEP = 8.0, 0.7
 SAMPLE_PAGES, SAMPLE_CHARS, BITS = 1500, 20_000, 17
 #: Parts that the rows of a host are spread over where they meet its verdicts.
 SALT = 16
+#: Share of a line's places in a host that must agree before their verdict is the line's.
+AGREE = 0.8
 
 
 def key_of(text: str) -> str:
@@ -194,14 +198,16 @@ def aligned(markdown: str, page: str) -> tuple[list[tuple[int, int, int, int, li
 
 def parse(pages: DataFrame) -> DataFrame:
     """(id, host, branches, rest, markdown) of pages (id, host, markdown, html) that have both; markdown only where lines are left over."""
-    schema = f"id {pages.schema['id'].dataType.simpleString()}, host string, branches array<struct<path:long,mask:long,shape:long,content:long,lines:array<int>>>, rest array<int>, markdown string"
+    schema = f"id {pages.schema['id'].dataType.simpleString()}, host string, branches array<struct<path:long,mask:long,shape:long,content:long,lines:array<int>,keys:array<long>>>, rest array<int>, markdown string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for key, host, markdown, page in zip(batch["id"], batch["host"], batch["markdown"], batch["html"]):
                 found, rest = aligned(markdown, page)
-                out.append((key, host, [dict(zip(("path", "mask", "shape", "content", "lines"), b)) for b in found], rest, markdown if rest else None))
+                keys = line_keys(markdown)
+                found = [dict(zip(("path", "mask", "shape", "content", "lines"), b), keys=[keys[no] for no in b[4]]) for b in found]
+                out.append((key, host, found, rest, markdown if rest else None))
             yield pd.DataFrame(out, columns=["id", "host", "branches", "rest", "markdown"])
 
     return pages.select("id", "host", "markdown", "html").mapInPandas(run, schema)
@@ -216,7 +222,7 @@ def _entropy(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def style_tree(parsed: DataFrame) -> DataFrame:
     """(host, path, mask, importance): entropy of presentation and content over the host's pages, with the tree over all hosts as prior."""
-    found = parsed.select("host", F.inline("branches")).drop("lines")
+    found = parsed.select("host", F.inline("branches")).drop("lines", "keys")
     shapes = found.groupBy("host", "path", "mask", "shape").agg(F.count("*").alias("n"))
     contents = found.groupBy("host", "path", "mask", "content").agg(F.count("*").alias("n"))
 
@@ -232,24 +238,37 @@ def style_tree(parsed: DataFrame) -> DataFrame:
 
 
 def labelled(parsed: DataFrame, tree: DataFrame) -> DataFrame:
-    """(id, lines, kept) per branch. A host's rows are spread over SALT parts, its verdicts repeated in each."""
+    """(id, host, lines, keys, kept) per branch. A host's rows are spread over SALT parts, its verdicts repeated in each."""
     found = parsed.select("id", "host", F.inline("branches")).where(F.size("lines") > 0)
-    found = found.select("id", "host", "path", "mask", "lines", F.pmod(F.xxhash64("id"), F.lit(SALT)).alias("part"))
-    verdicts = tree.select("host", "path", "mask", (F.col("importance") >= KEEP).alias("kept"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("part"))
-    return found.join(verdicts, ["host", "path", "mask", "part"]).select("id", "lines", "kept")
+    found = found.select("id", "host", "path", "mask", "lines", "keys", F.pmod(F.xxhash64("id"), F.lit(SALT)).alias("part"))
+    verdicts = tree.select("host", "path", "mask", (F.col("importance") >= KEEP).alias("kept"), _parts())
+    return found.join(verdicts, ["host", "path", "mask", "part"]).select("id", "host", "lines", "keys", "kept")
 
 
-def line_features(markdown: str) -> list[tuple[int, np.ndarray]]:
-    """(line_no, hashed features) of every line that is not blank: its words, its marks, its place."""
-    lines = markdown.split("\n")
-    full = [no for no, x in enumerate(lines) if x.strip()]
-    title = next((no for no in full if lines[no].startswith("# ")), None)
-    kinds, sizes = {}, {}
-    fenced = False
+def _parts() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("part")
+
+
+def settled(judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, line_no, away) of lines (id, host, line_no, key, away): away as the host's labelled lines of that key have it where they agree.
+
+    Counts come together before the shuffle and only keys that are asked for are kept; then rows and verdicts meet as in labelled().
+    """
+    asked = judged.where("key is not null").select("host", "key", F.lit(1).alias("asked"), F.lit(0).alias("own"), F.lit(0).alias("other"))
+    told = labels.select("host", F.explode("keys").alias("key"), "kept").where("key is not null")
+    told = told.select("host", "key", F.lit(0).alias("asked"), F.col("kept").cast("int").alias("own"), (~F.col("kept")).cast("int").alias("other"))
+    counts = asked.union(told).groupBy("host", "key").agg(F.max("asked").alias("asked"), F.sum("own").alias("own"), F.sum("other").alias("other"))
+    agreed = counts.where((F.col("asked") == 1) & (F.greatest("own", "other") >= AGREE * (F.col("own") + F.col("other"))) & (F.col("own") + F.col("other") > 0))
+    verdicts = agreed.select("host", "key", (F.col("other") > F.col("own")).alias("verdict"), _parts())
+    rows = judged.withColumn("part", F.pmod(F.xxhash64("id", "line_no"), F.lit(SALT)))
+    return rows.join(verdicts, ["host", "key", "part"], "left").select("id", "line_no", F.coalesce("verdict", "away").alias("away"))
+
+
+def line_kinds(lines: list[str], full: list[int]) -> dict[int, str]:
+    """Kind of each line of full: heading, item, row of a table, link and so on."""
+    kinds, fenced = {}, False
     for no in full:
         x = lines[no].strip()
-        words = len(_LETTERS.findall(_TARGET.sub("] ", x)))
-        sizes[no] = 0 if words == 0 else 1 if words < 4 else 2 if words < 8 else 3 if words < 16 else 4 if words < 30 else 5
         kind = "text"
         if x.startswith("```"):
             fenced, kind = not fenced, "fence"
@@ -270,6 +289,26 @@ def line_features(markdown: str) -> list[tuple[int, np.ndarray]]:
         if m := re.search(r"^(?:- )?\[[^\]]*\]\((\S*)\)\W*$", x):
             kind += "-out" if "://" in m[1] else "-near" if re.match(r"/\d+-", m[1]) else "-in"
         kinds[no] = kind
+    return kinds
+
+
+def line_keys(markdown: str) -> dict[int, int | None]:
+    """line_no -> hash of kind and words of every line that is not blank; None for a line without letters."""
+    lines = markdown.split("\n")
+    full = [no for no, x in enumerate(lines) if x.strip()]
+    kinds = line_kinds(lines, full)
+    return {no: _hash(f"{kinds[no]} {key}") if (key := key_of(lines[no])) else None for no in full}
+
+
+def line_features(markdown: str) -> list[tuple[int, np.ndarray]]:
+    """(line_no, hashed features) of every line that is not blank: its words, its marks, its place."""
+    lines = markdown.split("\n")
+    full = [no for no, x in enumerate(lines) if x.strip()]
+    title = next((no for no in full if lines[no].startswith("# ")), None)
+    kinds, sizes = line_kinds(lines, full), {}
+    for no in full:
+        words = len(_LETTERS.findall(_TARGET.sub("] ", lines[no].strip())))
+        sizes[no] = 0 if words == 0 else 1 if words < 4 else 2 if words < 8 else 3 if words < 16 else 4 if words < 30 else 5
     long = [no for no in full if sizes[no] >= 4 and kinds[no] == "text"]
     first, last = (long[0], long[-1]) if long else (None, None)
     heading, out = "none", []
@@ -331,23 +370,23 @@ def furniture(records: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame
     sides = sides.groupBy("id").agg(F.flatten(F.collect_list(F.when(~F.col("kept"), F.col("lines")))).alias("away"), F.flatten(F.collect_list(F.when(F.col("kept"), F.col("lines")))).alias("own"))
     texts = pages.select("id", "markdown").join(F.broadcast(sides), "id")  # at most sample_pages rows
     weights = fit_lines([(r["markdown"], r["away"], r["own"]) for r in texts.orderBy("id").dropDuplicates(["id"]).collect()])
-    if weights is None:
-        return removed.distinct()
-    shared = records.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2^BITS numbers
+    shared = None if weights is None else records.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2^BITS numbers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = shared.value
+        w = None if shared is None else shared.value
         for batch in batches:
             out = []
-            for key, markdown, rest in zip(batch["id"], batch["markdown"], batch["rest"]):
-                only = None if rest is None else set(rest)
-                out += [(key, no) for no, f in line_features(markdown) if (only is None or no in only) and w[f].sum() > 0]
-            yield pd.DataFrame(out, columns=["id", "line_no"])
-
-    alone = pages.where("html is null").select("id", "markdown", F.lit(None).cast("array<int>").alias("rest"))
-    left = alone.union(parsed.where("markdown is not null").select("id", "markdown", "rest"))
-    judged = left.mapInPandas(run, f"id {records.schema['id'].dataType.simpleString()}, line_no int")
-    return removed.union(judged).distinct()
+            for key, host, markdown, rest in zip(batch["id"], batch["host"], batch["markdown"], batch["rest"]):
+                only, keys = None if rest is None else set(rest), line_keys(markdown)
+                lines = [(no, False) for no in keys] if w is None else [(no, bool(w[f].sum() > 0)) for no, f in line_features(markdown) if only is None or no in only]
+                out += [(key, host, no, keys[no], away) for no, away in lines if only is None or no in only]
+            frame = pd.DataFrame(out, columns=["id", "host", "line_no", "key", "away"])
+            yield frame.assign(key=pd.array([x[3] for x in out], "Int64"))
+
+    alone = pages.where("html is null").select("id", "host", "markdown", F.lit(None).cast("array<int>").alias("rest"))
+    left = alone.union(parsed.where("markdown is not null").select("id", "host", "markdown", "rest"))
+    judged = left.mapInPandas(run, f"id {records.schema['id'].dataType.simpleString()}, host string, line_no int, key long, away boolean")
+    return removed.union(settled(written(judged), labels).where("away").select("id", "line_no")).distinct()
 
 
 def article(records: DataFrame, away: DataFrame) -> DataFrame:

@@ -243,6 +243,31 @@ def test_content(spark):
     assert all("Share" not in r.article for r in p5_content.article(df, away).collect())
 
 
+def test_content_of_markdown_only_pages(spark):
+    """Furniture of a host that the sample cannot hold, in the shape of a paragraph, is found where the page has no html."""
+    notice = "Readers who leave a letter with the clerk agree that it may be shown in the hall for as long as the hall stands open to them all."
+    records, want = [], []
+    for k in range(60):
+        html, md, away = _page(k, "aa1")
+        if k >= 30:
+            long = f"Paragraph {'abcdefgh'[k % 8] * (k // 8 + 2)} is long. " + "It goes on and on. " * (p5_content.SAMPLE_CHARS // 19 + k)
+            first, title, rest = re.split(r"(?m)(^# .*\n\n)", md)
+            md = f"{first}{title}{long}\n\n{notice}\n\n{rest}"
+            html = html.replace("</h1>", f"</h1><p>{long}</p><div class='hall'><p>{notice}</p></div>", 1)
+        only = k >= 30 and k % 5 == 4
+        records.append({"scrape_id": k, "url": f"https://{'a' if k < 30 else 'b'}.test/{k}", "markdown": md, "html": None if only else html})
+        want += [(k, i) for i, x in enumerate(md.split("\n")) if only and x in ("- [Home](/Home)", "- [News](/News)", notice, "**Share this page**", "All rights reserved")]
+    got = p5_content.found(scrapes(spark, records)).where("scrape_id >= 30 and scrape_id % 5 = 4")
+    assert rows(got) == sorted(want) and want
+
+
+def test_lines_that_hosts_disagree_about(spark):
+    judged = spark.createDataFrame([(1, "a", 0, 7, False), (1, "a", 1, 8, False), (1, "a", 2, 9, True), (1, "a", 3, None, True), (2, "b", 0, 7, False)], "id long, host string, line_no int, key long, away boolean")
+    labels = spark.createDataFrame([("a", [7, 8, None], False), ("a", [8, 9], True)], "host string, keys array<long>, kept boolean")
+    assert rows(p5_content.settled(judged, labels)) == [(1, 0, True), (1, 1, False), (1, 2, False), (1, 3, True), (2, 0, False)]
+    assert rows(p5_content.settled(judged, labels.limit(0))) == rows(judged.select("id", "line_no", "away"))
+
+
 def test_branches_of_broken_html():
     got = p5_content.branches("<body><nav><p>A<p>B</nav><table width=1><tr><td class=x><h1>T</h1><p>one<p>two<ul><li>i<li>j</ul></td></tr></table><table><tr><td>c<td>d<tr><td>e</table>")
     assert [(b.path, b.shape) for b in got] == [("", ["nav", "td", "tr", "tr"]), ("/nav", ["p", "p"]), ("/td class=x", ["h1", "p", "p", "li", "li"])]
