@@ -1,8 +1,9 @@
 """Problem 1: lines that stand in many records of one host.
 
 The state is a line-count table (h1, h2, n): one row per line of a source, with the number of records that hold it.
-``merge`` adds the counts of a new partition and says which lines crossed the threshold with it; ``marked_lines`` finds
-these lines in records and ``rebuild`` rewrites only the records that hold one. A line is named by two 64-bit hashes of
+``merge`` adds the counts of a new partition and says which lines crossed the threshold with it; ``marks_of`` finds, in the
+records of the new partition, every line that is over the threshold by now, in the older ones those that crossed with it;
+``rebuild`` rewrites only the records that hold one. ``loaded`` does so for one partition after the other. A line is named by two 64-bit hashes of
 its source and its words, so neither table nor shuffle carries text.
 
 Defined results: null or blank markdown, and a url without host, give no line. Lines without letters are never marked.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import host_of
+from pagemill.llm.common import host_of, written
 
 THRESHOLD = 5
 
@@ -59,6 +60,22 @@ def marked_lines(records: DataFrame, crossed: DataFrame, id_col: str = "scrape_i
     return lines.join(crossed.select("h1", "h2"), ["h1", "h2"], "left_semi").select(id_col, "line_no")
 
 
+def marks_of(old: DataFrame, new: DataFrame, state: DataFrame, crossed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(id, line_no) that a partition new adds to the marks of the records old; state and crossed are those of its merge."""
+    return marked_lines(new, state.where(F.col("n") >= threshold)).union(marked_lines(old, crossed))
+
+
+def loaded(partitions: list[DataFrame], threshold: int = THRESHOLD) -> DataFrame:
+    """(scrape_id, line_no) of the marks after the partitions have come one after the other; equal to found() over all of them."""
+    state, old, marks = None, partitions[0].limit(0), None
+    for new in partitions:
+        state, crossed = (written(x) for x in merge(state, line_counts(new), threshold))
+        added = written(marks_of(old, new, state, crossed, threshold))
+        marks = added if marks is None else marks.union(added)
+        old = old.union(new)
+    return marks
+
+
 def rebuild(records: DataFrame, marks: DataFrame, id_col: str = "scrape_id", markdown: str = "markdown") -> DataFrame:
     """Only the records with a marked line, their markdown without these lines; other columns as they were."""
     drop = marks.groupBy(F.col(id_col).alias("__id")).agg(F.collect_set("line_no").alias("__drop"))

@@ -21,6 +21,13 @@ def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
     return p1_lines.rebuild(records, p1_lines.found(records)).select("scrape_id", "markdown")
 
 
+def p1_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """p1_clean, the table coming as four deltas."""
+    records = table(spark, sf, "scrapes").select("scrape_id", "url", "markdown")
+    part = F.pmod(F.xxhash64("scrape_id"), F.lit(4))
+    return p1_lines.rebuild(records, p1_lines.loaded([records.where(part == k) for k in range(4)])).select("scrape_id", "markdown")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_garbled.found(table(spark, sf, "scrapes").select("scrape_id", "text", "metadata"))
 
@@ -115,7 +122,7 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)
-    more = (p1_clean, p2_restored, p3_cases, p4_groups, p5_article, p6_passages, p7_pieces, p8_decoded, p9_shares, p9_mix_documents, p10_composition)
+    more = (p1_clean, p1_loaded, p2_restored, p3_cases, p4_groups, p5_article, p6_passages, p7_pieces, p8_decoded, p9_shares, p9_mix_documents, p10_composition)
     return {f.__name__: f for f in (*found, *more)}
 
 
@@ -135,7 +142,7 @@ _SIZE = "CAST(floor(CASE WHEN length(markdown) - length(regexp_replace(markdown,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    sql = {
         "p1_found": f"{_LINES} SELECT scrape_id, CAST(line_no AS INTEGER) AS line_no FROM keyed JOIN often USING (host, k)",
         "p1_clean": f"""{_LINES},
     hit AS (SELECT DISTINCT scrape_id, line_no FROM keyed JOIN often USING (host, k))
@@ -152,3 +159,4 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": f"SELECT profile, scrape_id FROM scrapes, chunk_profiles WHERE {_SIZE} > max_tokens",
         "p8_decoded": "SELECT doc_id FROM documents WHERE false",
     }
+    return sql | {"p1_loaded": sql["p1_clean"]}

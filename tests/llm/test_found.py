@@ -67,6 +67,15 @@ def test_lines_incrementally(spark):
     assert rebuilt.count() == 8 and {r.markdown for r in rebuilt.collect()} == {f"Own {'x' * i}" for i in range(1, 9)} and "key" in rebuilt.columns
 
 
+def test_lines_of_partitions(spark):
+    """A partition that comes after a line has crossed holds it too; lines cross with the second and the third one."""
+    records = [{"scrape_id": i, "url": "https://a.test/", "markdown": f"Same line\nOwn {'x' * i}" + "\nLate line" * (i > 6)} for i in range(1, 13)]
+    df = scrapes(spark, records)
+    parts = [df.where(f"scrape_id between {a} and {b}") for a, b in ((1, 3), (4, 8), (9, 12))]
+    assert rows(p1_lines.loaded(parts)) == rows(p1_lines.found(df)) == sorted([(i, 0) for i in range(1, 13)] + [(i, 2) for i in range(7, 13)])
+    assert p1_lines.loaded([df.limit(0)]).count() == 0
+
+
 # Problem 2
 
 
