@@ -146,14 +146,15 @@ class Leaf:
         self.templates: list[tuple[list[str], str | None]] = []
 
     def place(self, tokens: list[str]) -> tuple[list[str], str | None]:
+        own = verdict(tokens)
         for template, kind in self.templates:
             same = sum(a == b or a == WILD for a, b in zip(template, tokens))
-            if same >= AGREE * len(tokens) and (kind is None or same == len(tokens) or verdict(tokens) == kind):
+            if same >= AGREE * len(tokens) and (own == kind or own is None and same == len(tokens)):
                 for i, (a, b) in enumerate(zip(template, tokens)):
                     if a != b:
                         template[i] = WILD
                 return template, kind
-        self.templates.append((list(tokens), verdict(tokens)))
+        self.templates.append((list(tokens), own))
         return self.templates[-1]
 
 

@@ -150,6 +150,13 @@ def test_templates(spark):
     assert p3_residue.found(scrapes(spark, [])).count() == 0
 
 
+def test_messages_beside_other_templates(spark):
+    """A message keeps its verdict beside lines of its leaf that have none, and gives it to none of them."""
+    texts = ["This site needs cookies to work", "This site needs maps to work", "This site needs scripts to work"]
+    df = scrapes(spark, [{"scrape_id": i, "text": LONG + "\n" + t} for i, t in enumerate(texts)])
+    assert rows(p3_residue.cases(df)) == [(2, "scripts")]
+
+
 # Problem 4
 
 
