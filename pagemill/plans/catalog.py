@@ -712,6 +712,18 @@ def text_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return _scrapes(spark, sf).where("markdown is not null").select("scrape_id", ft.truncate_prompt(prompt, 3000, 1500).alias("prompt"))
 
 
+@query(
+    """WITH p AS (SELECT scrape_id, '## Web Page Content' || chr(10) || chr(10) || markdown || chr(10) || chr(10) || '## Extraction Task' || chr(10) || chr(10) || 'List all names.' AS prompt FROM scrapes WHERE markdown IS NOT NULL),
+    h AS (SELECT scrape_id, prompt, left(prompt, 100000) AS head FROM p),
+    c AS (SELECT *, length(head) - length(regexp_extract(head, '(?s).*\n\n(.*)$', 1)) - 2 AS pos, contains(head, chr(10) || chr(10)) AS has FROM h)
+    SELECT scrape_id, CASE WHEN length(prompt) <= 100000 THEN prompt ELSE CASE WHEN has AND pos > 50000 THEN left(head, pos) ELSE head END || chr(10) || chr(10) || '[Content truncated]' END AS prompt FROM c"""
+)
+def text_prompts_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """text_prompts with the operator's own limits."""
+    prompt = ft.extraction_prompt(U(MD), F.lit("List all names."))
+    return _scrapes(spark, sf).where("markdown is not null").select("scrape_id", ft.truncate_prompt(prompt).alias("prompt"))
+
+
 @query()
 def text_cache_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Key of each request, and whether another request has it too."""

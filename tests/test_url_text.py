@@ -82,6 +82,17 @@ def test_pdf_and_prompt(spark):
     assert one(spark, "short", lambda c: ft.truncate_prompt(c, 100, 50)) == "short"
 
 
+def test_prompts_of_the_default_limits(spark, tmp_path):
+    from pagemill.plans import catalog
+
+    texts = ["a" * 5_000 + "\n\n" + "b" * 5_000, "a" * 60_000 + "\n\n" + "b" * 60_000, "a" * 20_000 + "\n\n" + "b" * 100_000]
+    spark.createDataFrame(list(enumerate(texts)), "scrape_id long, markdown string").write.parquet(f"{tmp_path}/scrapes.parquet")
+    got = [r.prompt for r in catalog.queries()["text_prompts_whole"](spark, str(tmp_path)).orderBy("scrape_id").collect()]
+    head, mark = "## Web Page Content\n\n", "\n\n[Content truncated]"
+    assert got[0] == f"{head}{texts[0]}\n\n## Extraction Task\n\nList all names."
+    assert got[1] == head + "a" * 60_000 + mark and got[2] == (head + texts[2])[:100_000] + mark
+
+
 def _fixed(text, size, overlap):
     out, open_ = [], []
     for s in (x.strip() for x in re.split(r"(?<=[.!?])\s+(?=[A-Z])", text)):
