@@ -1,8 +1,8 @@
 """Problem 2: text decoded with the wrong character encoding.
 
-For every pair of encodings (bytes of one read as the other) the garbled form of each expected character is computed
-once; an Aho-Corasick automaton finds all of them in one pass and only matched spans are replaced, longest match first,
-until nothing changes (text garbled twice has both forms). Texts without a possible first character of a garbled form
+For UTF-8 read as each of the encodings in SINGLE the garbled form of each expected character is computed once (the
+pairs in CROSSED are found by the places of their characters instead); an Aho-Corasick automaton finds all of them in one
+pass and only matched spans are replaced, longest match first, until nothing changes (text garbled twice has both forms). Texts without a possible first character of a garbled form
 never reach Python.
 
 Lossy damage has no original: replacement characters and question marks inside words are reported and left as they are.
