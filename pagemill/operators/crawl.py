@@ -7,18 +7,16 @@ best first are sequential by nature: each site is replayed on its own, in one ta
 from __future__ import annotations
 
 import heapq
-import os
-import tempfile
-import uuid
 from collections import deque
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import url as fu
 from pagemill.operators import pages as op
+from pagemill.sources.scratch import written
 
 STRATEGIES = ("bfs", "dfs", "best_first")
 
@@ -30,35 +28,19 @@ def edges(stored: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return found.select(fu.normalize_url(F.col("page")).alias("src"), fu.normalize_url(F.col("link.href")).alias("dst"), "position").where(fu.scheme(F.col("dst")).isin("http", "https"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; one of this machine only where the session names none and is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "pagemill-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def breadth_first(links: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pages: int | None = None) -> DataFrame:
     """(seed, url, depth): pages in reach of each seed (seed) within its netloc, each at its least depth.
 
-    max_pages keeps the first pages by depth and url for each seed.
+    max_pages keeps the first pages by depth and url for each seed. The links within a site are written once, so that no
+    level parses a page again.
     """
-    frontier = _written(seeds.select(fu.normalize_url(F.col("seed")).alias("seed")).distinct().select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth")))
+    links = written(links.where(fu.is_same_domain(F.col("src"), F.col("dst"))).select("src", "dst").distinct())
+    frontier = written(seeds.select(fu.normalize_url(F.col("seed")).alias("seed")).distinct().select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth")))
     visited = frontier
     for depth in range(1, max_depth + 1):
-        step = frontier.join(links, frontier.url == links.src).where(fu.is_same_domain(F.col("dst"), F.col("seed")))
+        step = frontier.join(links, frontier.url == links.src)
         step = step.select("seed", F.col("dst").alias("url")).distinct().join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
-        frontier = _written(step.withColumn("depth", F.lit(depth)))
+        frontier = written(step.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         visited = visited.union(frontier)
@@ -70,29 +52,13 @@ def breadth_first(links: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pa
     return visited.withColumn("rank", rank).where(F.col("rank") <= max_pages).drop("rank")
 
 
-def _score(url: str, keywords: tuple[str, ...]) -> float:
-    import re
-    from urllib.parse import urlsplit
-
-    try:
-        parts = urlsplit(url)
-    except ValueError:
-        return 0.0
-    path, value = parts.path.lower(), 0.5
-    depth = path.count("/")
-    value += 0.15 if depth <= 2 else -0.15 if depth >= 5 else 0.0
-    value += 0.2 if any(k in url.lower() for k in keywords) else 0.0
-    value += 0.1 if re.search("/(" + "|".join(fu.HIGH_VALUE) + ")", path) else 0.0
-    value -= 0.2 if re.search("/(" + "|".join(fu.LOW_VALUE) + ")", path) else 0.0
-    value -= 0.1 if parts.query and parts.query.count("&") + 1 > 3 else 0.0
-    return max(0.0, min(1.0, value))
-
-
-def replay(links: pd.DataFrame, seed: str, strategy: str, max_pages: int, max_depth: int, keywords: tuple[str, ...] = (), most_open: int = 5000) -> list[tuple[str, int]]:
-    """(url, depth) in order of visit over links (src, dst, position) of one site."""
+def replay(links: pd.DataFrame, seed: str, strategy: str, max_pages: int, max_depth: int, most_open: int = 5000) -> list[tuple[str, int]]:
+    """(url, depth) in order of visit over links (src, dst, position, worth) of one site; best_first takes the greatest worth."""
     nexts: dict[str, list[str]] = {}
-    for src, dst in links.sort_values(["src", "position"])[["src", "dst"]].itertuples(index=False):
+    worth: dict[str, float] = {}
+    for src, dst, value in links.sort_values(["src", "position"])[["src", "dst", "worth"]].itertuples(index=False):
         nexts.setdefault(src, []).append(dst)
+        worth[dst] = value
     queue: deque[tuple[str, int]] = deque()
     heap: list[tuple[float, int, str, int]] = []
     count = 0
@@ -100,7 +66,7 @@ def replay(links: pd.DataFrame, seed: str, strategy: str, max_pages: int, max_de
     def put(url: str, depth: int) -> None:
         nonlocal count
         if strategy == "best_first":
-            heapq.heappush(heap, (-_score(url, keywords), count, url, depth))
+            heapq.heappush(heap, (-worth.get(url, 0.0), count, url, depth))
         else:
             queue.append((url, depth))
         count += 1
@@ -130,13 +96,13 @@ def crawl(links: DataFrame, seeds: DataFrame, strategy: str = "bfs", max_pages:
     """(seed, seq, url, depth) of each seed's crawl in order of visit."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown crawl strategy: {strategy}")
-    words = tuple(k.lower() for k in keywords)
+    words = tuple(keywords)
 
     def site(key: tuple, own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        rows = [(s, i, u, d) for s in sorted(set(start["seed"])) for i, (u, d) in enumerate(replay(own, s, strategy, max_pages, max_depth, words))]
+        rows = [(s, i, u, d) for s in sorted(set(start["seed"])) for i, (u, d) in enumerate(replay(own, s, strategy, max_pages, max_depth))]
         return pd.DataFrame(rows, columns=["seed", "seq", "url", "depth"])
 
-    own = links.where(fu.is_same_domain(F.col("src"), F.col("dst"))).withColumn("site", fu.netloc(F.col("src")))
+    own = links.where(fu.is_same_domain(F.col("src"), F.col("dst"))).withColumn("site", fu.netloc(F.col("src"))).withColumn("worth", fu.url_score(F.col("dst"), words))
     start = seeds.select(fu.normalize_url(F.col("seed")).alias("seed")).withColumn("site", fu.netloc(F.col("seed")))
     # Only sites that have a seed are gathered, each in one task.
     own = own.join(start.select("site").distinct(), "site", "left_semi")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pagemill.functions import text as ft
 from pagemill.functions import url as fu
 from pagemill.operators import changes, chunking, crawl, merge, pages, responses, scoring, state, usage
 from pagemill.sources import tables as src
+from pagemill.sources.scratch import new_path
 from pagemill.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -659,7 +659,7 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what there is and read its last result back from the shared folder."""
     spark = stream.sparkSession
-    folder = f"{crawl.shared_folder(spark)}/{uuid.uuid4().hex}"
+    folder = new_path(spark)
 
     def sink(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
