@@ -26,48 +26,41 @@ def _pack(pieces: Column, size: int, overlap: int, separator: str, alone: bool)
     """Fold of pieces into chunks of at most size words; a longer piece is a chunk of its own.
 
     With overlap, a chunk begins with the last pieces of the one before, as many as fit into overlap words. With alone, a
-    piece that begins with # begins a chunk. The fold carries places only, and looks back over no more than the open chunk
-    when it closes one: linear in the text.
+    piece that begins with # begins a chunk. A step looks at no more than the open chunk.
     """
     counted = F.transform(pieces, lambda p: F.struct(p.alias("t"), word_count(p).alias("n")))
+    empty = F.filter(counted, lambda _: F.lit(False))
+    start = F.struct(F.array().cast("array<string>").alias("done"), empty.alias("open"), F.lit(0).alias("n"))
 
-    def back(xs: Column, begin: Column, end: Column) -> Column:
-        """struct<k, n, on>: how many of the last of xs[begin:end] fit into overlap words, and their words."""
-        start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+    def join(xs: Column) -> Column:
+        return F.array_join(F.transform(xs, lambda x: x["t"]), separator)
+
+    def kept(xs: Column) -> Column:
         if not overlap:
-            return start
+            return F.filter(xs, lambda _: F.lit(False))
 
         def more(acc: Column, x: Column) -> Column:
             fits = acc["on"] & (acc["n"] + x["n"] <= overlap)
-            return F.struct((acc["k"] + fits.cast("int")).alias("k"), (acc["n"] + F.when(fits, x["n"]).otherwise(0)).alias("n"), fits.alias("on"))
-
-        return F.aggregate(F.reverse(F.slice(xs, begin + 1, end - begin)), start, more)
-
-    def cuts(xs: Column) -> Column:
-        none = F.filter(F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))), lambda _: F.lit(False))
-        start = F.struct(none.alias("done"), F.lit(0).alias("a"), F.lit(0).alias("i"), F.lit(0).alias("n"))
-
-        def step(acc: Column, piece: Column) -> Column:
-            full = acc["n"] + piece["n"] > size
-            if alone:
-                full = full | F.startswith(piece["t"], F.lit("#"))
-            after = F.struct(acc["done"].alias("done"), acc["a"].alias("a"), (acc["i"] + 1).alias("i"), (acc["n"] + piece["n"]).alias("n"))
-
-            def closed(kept: Column) -> Column:
-                done = F.array_append(acc["done"], F.struct(acc["a"].alias("a"), acc["i"].alias("b")))
-                return F.struct(done.alias("done"), (acc["i"] - kept["k"]).alias("a"), (acc["i"] + 1).alias("i"), (kept["n"] + piece["n"]).alias("n"))
-
-            return F.when(full & (acc["i"] > acc["a"]), let(back(xs, acc["a"], acc["i"]), closed)).otherwise(after)
-
-        def finish(acc: Column) -> Column:
-            return F.when(acc["i"] > acc["a"], F.array_append(acc["done"], F.struct(acc["a"].alias("a"), acc["i"].alias("b")))).otherwise(acc["done"])
-
-        return F.aggregate(xs, start, step, finish)
-
-    def chunks(xs: Column) -> Column:
-        return F.transform(cuts(xs), lambda c: F.array_join(F.transform(F.slice(xs, c["a"] + 1, c["b"] - c["a"]), lambda x: x["t"]), separator))
-
-    return let(counted, chunks)
+            return F.struct((acc["k"] + fits.cast("int")).alias("k"), (acc["n"] + x["n"]).alias("n"), fits.alias("on"))
+
+        k = F.aggregate(F.reverse(xs), F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("on")), more)["k"]
+        return F.slice(xs, F.size(xs) - k + 1, k)
+
+    def step(acc: Column, piece: Column) -> Column:
+        full = (acc["n"] + piece["n"] > size) & (F.size(acc["open"]) > 0)
+        if alone:
+            full = full | (F.startswith(piece["t"], F.lit("#")) & (F.size(acc["open"]) > 0))
+        rest = F.when(full, kept(acc["open"])).otherwise(acc["open"])
+        return F.struct(
+            F.when(full, F.array_append(acc["done"], join(acc["open"]))).otherwise(acc["done"]).alias("done"),
+            F.array_append(rest, piece).alias("open"),
+            (F.when(full, F.aggregate(kept(acc["open"]), F.lit(0), lambda a, y: a + y["n"])).otherwise(acc["n"]) + piece["n"]).alias("n"),
+        )
+
+    def finish(acc: Column) -> Column:
+        return F.when(F.size(acc["open"]) > 0, F.array_append(acc["done"], join(acc["open"]))).otherwise(acc["done"])
+
+    return F.aggregate(counted, start, step, finish)
 
 
 def fixed_length(text: Column, size: int = 1000, overlap: int = 0) -> Column:

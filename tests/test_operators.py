@@ -151,12 +151,12 @@ def test_crawls(spark):
         crawl.crawl(links, seeds, "random")
 
 
-def test_best_first_score_is_the_expression(spark):
-    from pagemill.functions.url import url_score
-
+def test_best_first_takes_the_greatest_worth(spark):
     urls = ["https://a.test/blog/x", "https://a.test/a/b/c/d/e", "https://a.test/login?a&b&c&d", "https://a.test/TAG/kw"]
-    got = spark.createDataFrame([(u,) for u in urls], "u string").select(url_score(F.col("u"), ["kw"])).collect()
-    assert [r[0] for r in got] == [pytest.approx(crawl._score(u, ("kw",))) for u in urls]
+    links = spark.createDataFrame([("https://a.test/", u, i) for i, u in enumerate(reversed(urls))], "src string, dst string, position int")
+    seeds = spark.createDataFrame([("https://a.test/",)], "seed string")
+    got = crawl.crawl(links, seeds, "best_first", max_pages=10, keywords=["KW"]).orderBy("seq").collect()
+    assert [r.url for r in got] == ["https://a.test/", "https://a.test/blog/x", "https://a.test/TAG/kw", "https://a.test/login?a&b&c&d", "https://a.test/a/b/c/d/e"]
 
 
 def test_site_maps_and_robots(spark):
