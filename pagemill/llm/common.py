@@ -1,14 +1,14 @@
-"""Helpers shared by the corpus operators: tables, hosts, written intermediate results."""
+"""Helpers shared by the corpus operators: tables, hosts; written intermediate results are those of the core."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.sources.scratch import discard, remove_written, shared_folder, written
+
+__all__ = ("HOST_PATTERN", "discard", "host_of", "meet", "remove_written", "shared_folder", "table", "written")
+
 #: Optional scheme, optional user info, then the host without its port.
 HOST_PATTERN = r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]*)"
 
@@ -23,34 +23,21 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "pagemill-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+#: Bound of the number of keys whose rows are not shuffled by meet(): those with more than this share of the whole weight.
+MOST_HOT = 10_000
 
-#: Tables that this process has written and not removed.
-_WRITTEN: list[str] = []
 
+def meet(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, how: str = "inner", least: float = 0) -> DataFrame:
+    """rows joined with side, which has one row per key and, in weight, about how many rows have it.
 
-def remove_written(spark: SparkSession) -> int:
-    """Delete the tables that written() has made, once no result needs them any more; how many there were."""
-    jvm, count = spark.sparkContext._jvm, len(_WRITTEN)
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return count
+    Keys with more than 1/MOST_HOT of the whole weight, fewer than MOST_HOT therefore, are broadcast and their rows stay
+    where they lie; only rows of other keys are shuffled, so no task gets a hot key. how: inner or left. Keys of a weight
+    below least meet nothing.
+    """
+    bound = (side.agg(F.sum(weight)).first()[0] or 0) / MOST_HOT
+    columns = [c for c in side.columns if c not in (*keys, weight)]
+    side = side.where(F.col(weight) >= least)
+    hot = side.where(F.col(weight) > bound).drop(weight).withColumn("__hot", F.lit(True))
+    near = rows.join(F.broadcast(hot), keys, "left")  # fewer than MOST_HOT rows
+    rest = near.where("__hot is null").drop("__hot", *columns).join(side.where(F.col(weight) <= bound).drop(weight), keys, how)
+    return near.where("__hot").drop("__hot").unionByName(rest)

@@ -10,7 +10,7 @@ may reach the threshold are verified on the sets themselves.
 
 Defined results: a null text, or one with fewer words than a shingle has, is similar to nothing, and so is a row
 without id. Rows that repeat an id
-with the same text count once. Every pair found is verified; of pairs at the threshold exactly, banding misses
+with the same text count once; of an id with several texts, the one whose set has the least fingerprint counts. Every pair found is verified; of pairs at the threshold exactly, banding misses
 (1 - t^rows)^bands, 0.6% with the defaults at 0.6, fewer above it. A class that holds a third of all rows is one
 representative from the first shuffle on.
 """
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import written
+from pagemill.llm.common import discard, meet, written
 
 WORDS = 3
 THRESHOLD = 0.6
@@ -135,8 +135,7 @@ def sketches(records: DataFrame, id_col: str, text_col: str, words: int, rows: i
                 h = salt.copy()
                 for column in k.reshape(bands, rows).T.astype(np.uint64):
                     h = _mix(h * np.uint64(31) + column)
-                fp = _mix(np.array([s.sum(), np.bitwise_xor.reduce(_mix(s))], np.uint64)).astype(np.int64)
-                out.append((key, len(s), f"{fp[0]:x}.{fp[1]:x}", k.tobytes(), h.astype(np.int64)))
+                out.append((key, len(s), fingerprint(s), k.tobytes(), h.astype(np.int64)))
             yield pd.DataFrame(out, columns=["id", "n", "fp", "registers", "bands"])
 
     texts = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
@@ -147,8 +146,9 @@ def similar_pairs(records: DataFrame, id_col: str = "scrape_id", text_col: str =
     """(rep_a, rep_b, similarity) of classes of equal sets, and the membership (rep, id)."""
     records = records.select(id_col, text_col).where(F.col(id_col).isNotNull())
     sketched = written(sketches(records, id_col, text_col, words, rows, bands))
-    reps = sketched.groupBy("fp").agg(F.min("id").alias("rep"))
-    members = sketched.select("fp", "id").distinct().join(reps, "fp").select("rep", "id")
+    ids = sketched.groupBy("id").agg(F.min("fp").alias("fp"))
+    reps = ids.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    members = meet(ids, reps, ["fp"], "n").select("rep", "id")
     # Of a class, one row goes on: the one whose id is the representative. (n, registers, bands follow from the set.)
     only = written(sketched.join(reps, (sketched.fp == reps.fp) & (sketched.id == reps.rep), "left_semi").dropDuplicates(["id"]))
     keys = only.select("id", "n", F.explode("bands").alias("key"))
@@ -169,21 +169,29 @@ def similar_pairs(records: DataFrame, id_col: str = "scrape_id", text_col: str =
     near = written(met.where(likely("na", "ra", "nb", "rb") >= threshold - slack).select("a", "b"))
     needed = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
     sets = shingle_sets(records.join(needed, records[id_col] == needed["id"], "left_semi"), id_col, text_col, words)
+    sets = sets.join(only.select("id", "fp"), ["id", "fp"], "left_semi").dropDuplicates(["id"]).select("id", "shingles")
     near = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     pairs = near.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), (common / (F.size("sa") + F.size("sb") - common)).alias("similarity"))
     return pairs.where(F.col("similarity") >= threshold), members
 
 
+def fingerprint(s: np.ndarray) -> str:
+    """Name of a set of hashes: equal sets have equal names."""
+    fp = _mix(np.array([s.sum(), np.bitwise_xor.reduce(_mix(s))], np.uint64)).astype(np.int64)
+    return f"{fp[0]:x}.{fp[1]:x}"
+
+
 def shingle_sets(records: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """(id, shingles) of the whole texts, each id once."""
+    """(id, fp, shingles) of the whole texts."""
 
-    @F.pandas_udf("array<long>")
-    def sets(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("fp string, shingles array<long>")
+    def sets(texts: pd.Series) -> pd.DataFrame:
         shingles = Shingler(words)
-        return pd.Series([shingles(t).astype(np.int64) for t in texts])
+        found = [shingles(t) for t in texts]
+        return pd.DataFrame({"fp": [fingerprint(s) if len(s) else None for s in found], "shingles": [s.astype(np.int64) for s in found]})
 
-    return records.dropDuplicates([id_col]).select(F.col(id_col).alias("id"), sets(text_col).alias("shingles"))
+    return records.select(F.col(id_col).alias("id"), sets(text_col).alias("s")).select("id", "s.fp", "s.shingles")
 
 
 def groups(pairs: DataFrame, members: DataFrame, rounds: int = 40) -> DataFrame:
@@ -194,12 +202,14 @@ def groups(pairs: DataFrame, members: DataFrame, rounds: int = 40) -> DataFrame:
     """
     edges = written(pairs.select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")).union(pairs.select("rep_b", "rep_a")))
     labels = written(members.select(F.col("rep").alias("x")).distinct().withColumn("label", F.col("x")))
+    before = None
     for _ in range(rounds):
         least = edges.join(labels.toDF("y", "other"), "y").groupBy("x").agg(F.min("other").alias("other"))
         hooked = labels.join(least, "x", "left").select("x", F.least("label", F.coalesce("other", "label")).alias("label"), F.col("label").alias("old"))
         jumped = hooked.join(hooked.select(F.col("x").alias("label"), F.col("label").alias("far")), "label", "left")
         new = written(jumped.select("x", F.least("label", F.coalesce("far", "label")).alias("label"), "old"))
-        labels = new.select("x", "label")
+        discard(labels, before)
+        labels, before = new.select("x", "label"), new
         if new.where("label <> old").isEmpty():
             break
     else:

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import host_of, written
@@ -40,8 +40,9 @@ BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dt dd caption figcapti
 LISTS = frozenset("ul ol dl table tbody thead tfoot".split())
 #: Weight of the tree over all hosts, in pages; importance from which on a branch is kept.
 PRIOR, KEEP = 8.0, 0.7
-#: Pages and longest page of the sample that the model of lines is fitted on; dimensions of that model.
-SAMPLE_PAGES, SAMPLE_CHARS, BITS = 1500, 20_000, 17
+#: Most pages of the sample that the model of lines is fitted on, and characters from which on it takes no further page, whatever
+#: the size of a page; dimensions of that model.
+SAMPLE_PAGES, SAMPLE_CHARS, BITS = 1500, 30_000_000, 17
 #: Parts that the rows of a host are spread over where they meet its verdicts.
 SALT = 16
 #: Share of a line's places in a host that must agree before their verdict is the line's.
@@ -365,7 +366,9 @@ def furniture(records: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame
     labels = written(labelled(parsed, style_tree(parsed)))
     removed = labels.where("not kept").select("id", F.explode("lines").alias("line_no"))
 
-    chosen = pages.where(F.length("markdown").between(1, SAMPLE_CHARS) & F.col("html").isNotNull()).select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample_pages)
+    chosen = pages.where((F.length("markdown") > 0) & F.col("html").isNotNull()).select("id", F.xxhash64("id").alias("h"), F.length("markdown").alias("size"))
+    before = F.sum("size").over(Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1))  # over at most sample_pages rows
+    chosen = chosen.orderBy("h", "id").limit(sample_pages).withColumn("before", before).where(F.coalesce("before", F.lit(0)) < SAMPLE_CHARS)
     sides = labels.join(F.broadcast(chosen.select("id")), "id", "left_semi")  # at most sample_pages ids
     sides = sides.groupBy("id").agg(F.flatten(F.collect_list(F.when(~F.col("kept"), F.col("lines")))).alias("away"), F.flatten(F.collect_list(F.when(F.col("kept"), F.col("lines")))).alias("own"))
     texts = pages.select("id", "markdown").join(F.broadcast(sides), "id")  # at most sample_pages rows

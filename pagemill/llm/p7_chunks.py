@@ -7,8 +7,10 @@ there is one; a run without boundary is cut hard.
 
 Defined results: null or empty text has no pieces; a text within the limit is one piece, equal to it; every piece is a
 span text[start:end] with its size at most max_tokens; pieces cover the text in order without gaps; each profile row gives
-its own pieces (a repeated row gives them again). An overlap of half of max_tokens or more is cut to just under half, so that pieces advance;
-max_tokens below 1 counts as 1. Texts are handled whole, row by row.
+its own pieces (a repeated row gives them again). Every piece but the first begins with at least overlap_tokens of the one
+before; only where brackets lie so densely at the end of a piece that this much and one more character would be over the
+limit, the overlap is left out. An overlap of max_tokens or more is refused; max_tokens below 1 counts as 1, a negative
+overlap as 0. Texts are handled whole, row by row.
 """
 
 from __future__ import annotations
@@ -51,8 +53,10 @@ def pieces(text: str, max_tokens: int, overlap_tokens: int) -> list[tuple[int, i
     ends = [([m.end() for m in pattern.finditer(text)], share) for pattern, share in BOUNDARIES]
     words = ends[-1][0]
     longest, dense = 4 * limit + 3, int(3.5 * limit)  # the longest span within the limit with few brackets, and with many
-    back = max(0, min(overlap_tokens, (limit - 1) // 2))
-    out, start = [], 0
+    back = max(0, overlap_tokens)
+    if back >= limit:
+        raise ValueError(f"an overlap of {overlap_tokens} tokens does not fit into pieces of {max_tokens}")
+    out, start, last = [], 0, 0
     while True:
         if size(start, n) <= limit:
             out.append((start, n))
@@ -60,26 +64,30 @@ def pieces(text: str, max_tokens: int, overlap_tokens: int) -> list[tuple[int, i
         hard = min(n, start + longest)
         if size(start, hard) > limit:
             hard = start + max(1, dense)
+        if hard <= last:
+            start = last
+            continue
         cut = hard
         for places, share in ends:
+            # A piece goes beyond the one before, and is more than its overlap with the next one.
+            low = max(last, start + share * (hard - start))
             k = bisect_right(places, hard) - 1
-            while k >= 0 and places[k] > start + share * (hard - start):
-                if size(start, places[k]) <= limit:
-                    break
+            while k >= 0 and places[k] > low and size(start, places[k]) > limit:
                 k -= 1
-            if k >= 0 and places[k] > start + share * (hard - start):
+            if k >= 0 and places[k] > low and size(start, places[k]) > back:
                 cut = places[k]
                 break
         out.append((start, cut))
-        nxt = cut
+        nxt = last = cut
         if back:
             # Step back so that the span before the cut is at least the overlap, from a word start where one is near.
             low = max(start + 1, cut - 4 * back)
             while low > start + 1 and size(low, cut) < back:
                 low -= 1
             k = bisect_right(words, low) - 1
-            nxt = words[k] if k >= 0 and words[k] > start and cut - words[k] < (cut - low) * 1.5 + 8 else low
-        start = nxt if nxt > start else cut
+            near = k >= 0 and words[k] > start and cut - words[k] < (cut - low) * 1.5 + 8 and size(words[k], cut) <= back + (limit - back) // 2
+            nxt = words[k] if near else low
+        start = nxt
 
 
 def chunk(records: DataFrame, profiles: DataFrame, id_col: str = "scrape_id", text_col: str = "markdown", with_text: bool = True) -> DataFrame:
@@ -90,6 +98,8 @@ def chunk(records: DataFrame, profiles: DataFrame, id_col: str = "scrape_id", te
     rows = [(r[0], int(r[1]), int(r[2] or 0)) for r in profiles.select("profile", "max_tokens", "overlap_tokens").where("max_tokens is not null").limit(1001).collect()]
     if len(rows) > 1000:
         raise ValueError("a table of chunk profiles holds at most 1,000 rows")
+    if bad := [r[0] for r in rows if r[2] >= max(1, r[1])]:
+        raise ValueError(f"profiles with an overlap of max_tokens or more: {bad}")
     id_type = records.schema[id_col].dataType.simpleString()
     schema = f"profile string, __id {id_type}, n_pieces int, piece_no int, start int, end int, tokens int" + (", piece string" if with_text else "")
 

@@ -7,7 +7,8 @@
 Only dictionaries, never one row per word of a text, are shuffled. ``decode`` goes back through an id-to-piece join.
 
 Defined results: null and empty texts have an empty list; special tokens are ordinary text; a repeated row is encoded
-again; ids of one text stand in the order of the text. A word in very many blocks is spread over tasks by ``salt``.
+again; ids of one text stand in the order of the text. A word in more blocks than ``BLOCKS_A_TASK`` goes to as many tasks
+as there are such numbers of blocks, so that no word makes a task too large; it is encoded once in each of them.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: Code points of text in a block; bounds the memory of a task, whatever the number of rows.
 BLOCK_CHARS = 3_000_000
 BLOCK_ROWS = 20_000
+#: Rows that one word may bring to one task.
+BLOCKS_A_TASK = 20_000
 
 
 @lru_cache(maxsize=2)
@@ -39,7 +42,8 @@ def encoding(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("public", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    # The split is done before: to the tokenizer each word is one piece.
+    return tiktoken.Encoding("public", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
 def _split(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataFrame:
@@ -92,31 +96,29 @@ def _split(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> Dat
 
 
 def _encode_words(words: DataFrame, path: str, salt: int) -> DataFrame:
-    """(block, code, ids) from (block, word, code): all copies of a word in one task, which encodes it once."""
+    """(block, code, ids) from (block, word, code): all copies of a word meet in one task, or in salt ones, one after the other, and it is encoded once there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, last = encoding(path)._encode_single_piece, None
-        known: dict[str, list[int]] = {}
+        encode, last, ids = encoding(path).encode_ordinary, None, []
         for batch in batches:
             coded = batch.column(1).dictionary_encode()
-            ids = []
+            lists = []
             for word in coded.dictionary.to_pylist():
-                last = known.get(word)
-                if last is None:
-                    last = known[word] = piece(word)
-                ids.append(last)
-            if len(known) > 500_000:
-                known = {}
-            lists = pa.array(ids, pa.list_(pa.int32())).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["block", "code", "ids"])
+                if word != last:
+                    last, ids = word, encode(word)
+                lists.append(ids)
+            taken = pa.array(lists, pa.list_(pa.int32())).take(coded.indices)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), taken], ["block", "code", "ids"])
 
-    spread = words.repartition("word", F.pmod(F.col("block"), F.lit(salt))) if salt > 1 else words.repartition("word")
-    return spread.select("block", "word", "code").mapInArrow(run, "block long, code int, ids array<int>")
+    part = [F.pmod(F.xxhash64("block"), F.lit(salt))] if salt > 1 else []
+    return words.repartition("word", *part).sortWithinPartitions("word").select("block", "word", "code").mapInArrow(run, "block long, code int, ids array<int>")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", block_chars: int = BLOCK_CHARS, salt: int = 1, lengths_only: bool = False) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", block_chars: int = BLOCK_CHARS, salt: int | None = None, lengths_only: bool = False) -> DataFrame:
     """(id, ids) of every row, or (id, n_tokens) with lengths_only."""
     split = written(_split(docs, id_col, text_col, block_chars))
+    if salt is None:
+        salt = 1 + split.select("block").distinct().count() // BLOCKS_A_TASK
     pieces = _encode_words(split.where("word is not null"), path, salt)
     texts = split.where("word is null").select("block", "id", "codes")
     id_type = docs.schema[id_col].dataType.simpleString()

@@ -12,13 +12,14 @@ from pagemill.llm.common import table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p1_lines.found(table(spark, sf, "scrapes").select("scrape_id", "url", "markdown"))
+    """The table loaded in order of ingestion, delta after delta."""
+    return p1_lines.found(table(spark, sf, "scrapes").select("scrape_id", "url", "markdown", "ingested_at"), when="ingested_at")
 
 
 def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Records that held a repeated line, rebuilt without it."""
     records = table(spark, sf, "scrapes").select("scrape_id", "url", "markdown")
-    return p1_lines.rebuild(records, p1_lines.found(records)).select("scrape_id", "markdown")
+    return p1_lines.rebuild(records, p1_found(spark, sf)).select("scrape_id", "markdown")
 
 
 def p1_loaded(spark: SparkSession, sf: str) -> DataFrame:

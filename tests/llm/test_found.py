@@ -76,6 +76,16 @@ def test_lines_of_partitions(spark):
     assert p1_lines.loaded([df.limit(0)]).count() == 0
 
 
+def test_lines_in_order_of_ingestion(spark):
+    times = ["2024-01-03", None, "2024-05-01", "2024-11-30", "2023-02-01", "2024-05-02"]
+    df = scrapes(spark, [{"scrape_id": i, "url": "https://a.test/", "markdown": f"Same line\nOwn {'x' * i}\nSame line"} for i in range(12)])
+    df = df.join(spark.createDataFrame([(i, times[i % 6]) for i in range(12)], "scrape_id long, t string"), "scrape_id").withColumn("ingested_at", F.col("t").cast("timestamp_ntz"))
+    parts = p1_lines.partitions_of(df)
+    assert len(parts) > 2 and sum(x.count() for x in parts) == 12
+    assert rows(p1_lines.found(df, when="ingested_at")) == rows(p1_lines.found(df)) == sorted((i, k) for i in range(12) for k in (0, 2))
+    assert p1_lines.found(df.limit(0), when="ingested_at").count() == 0
+
+
 # Problem 2
 
 
@@ -260,13 +270,13 @@ def test_content(spark):
 
 
 def test_content_of_markdown_only_pages(spark):
-    """Furniture of a host that the sample cannot hold, in the shape of a paragraph, is found where the page has no html."""
+    """Furniture in the shape of a paragraph is found where the page has no html, in long pages too."""
     notice = "Readers who leave a letter with the clerk agree that it may be shown in the hall for as long as the hall stands open to them all."
     records, want = [], []
     for k in range(60):
         html, md, away = _page(k, "aa1")
         if k >= 30:
-            long = f"Paragraph {'abcdefgh'[k % 8] * (k // 8 + 2)} is long. " + "It goes on and on. " * (p5_content.SAMPLE_CHARS // 19 + k)
+            long = f"Paragraph {'abcdefgh'[k % 8] * (k // 8 + 2)} is long. " + "It goes on and on. " * (1100 + k)
             first, title, rest = re.split(r"(?m)(^# .*\n\n)", md)
             md = f"{first}{title}{long}\n\n{notice}\n\n{rest}"
             html = html.replace("</h1>", f"</h1><p>{long}</p><div class='hall'><p>{notice}</p></div>", 1)
@@ -357,8 +367,9 @@ def test_languages_held_out(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab .!?\n{}()#é𝄞", max_size=400), st.integers(1, 40), st.integers(0, 30))
+@given(st.text(alphabet="ab .!?\n{}()#é𝄞", max_size=400), st.integers(1, 40), st.integers(0, 39))
 def test_pieces(text, limit, overlap):
+    overlap %= limit
     spans = p7_chunks.pieces(text, limit, overlap)
 
     def size(x):
@@ -371,8 +382,8 @@ def test_pieces(text, limit, overlap):
     assert spans[0][0] == 0 and spans[-1][1] == len(text)
     for (a, b), (c, d) in zip(spans, spans[1:]):
         assert a < c <= b < d
-        if overlap and c < b:
-            assert size(text[c:b]) >= min(overlap, (limit - 1) // 2) or c == a + 1
+        if overlap:
+            assert size(text[c:b]) >= overlap or c == a + 1 or c == b and set("{}()") & set(text)
     assert (len(spans) > 1) == (size(text) > limit)
 
 
@@ -387,6 +398,15 @@ def test_chunks(spark):
     assert p7_chunks.found(df.limit(0), profiles).count() == 0 and p7_chunks.found(df, profiles.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("overlap", [60, 99])
+def test_large_overlaps_are_kept(overlap):
+    text = "A sentence of some words here. " * 60
+    spans = p7_chunks.pieces(text, 100, overlap)
+    assert all((b - c) // 4 >= overlap for (_, b), (c, _) in zip(spans, spans[1:])) and spans[-1][1] == len(text)
+    with pytest.raises(ValueError):
+        p7_chunks.pieces(text, 100, 100)
+
+
 # Problem 8
 
 needs_tokenizer = pytest.mark.skipif(not TOKENIZER.exists(), reason="no tokenizer files")
@@ -429,6 +449,18 @@ def test_fill_reaches_the_best_sum_near_the_share(lengths, budget):
     assert best - total <= n.max()
 
 
+def test_fill_with_many_lengths_stays_small():
+    import tracemalloc
+
+    n = np.arange(1, 50_001)
+    tracemalloc.start()
+    take = p9_mix.fill(n, np.ones(50_000, np.int64), 500_000_017)
+    assert (n * take).sum() == 500_000_017 and tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+    even = p9_mix.fill(n[1::2] * 1, np.full(25_000, 3), 999_999_999)
+    assert (n[1::2] * even).sum() == 999_999_998
+
+
 def test_mix(spark):
     docs = [(i, f"s{i % 3}", 5 + i % 7) for i in range(300)] + [(900, None, 50), (901, "other", 50), (902, "s0", 0)]
     sized = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
