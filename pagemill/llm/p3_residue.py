@@ -1,15 +1,25 @@
 """Problem 3: template residue, filler text, error messages and demands for scripts.
 
-Messages: every distinct masked line (numbers, references and addresses become a wildcard) goes once through a
-fixed-depth prefix tree (line length, then its first three tokens; lines of a leaf that agree in enough places share a
-template). A template is classified once, when it is made; the verdict goes to its lines and from them to the records.
-A line is a message only as a whole, so that an article about errors is none.
+Every line of every record, whatever its length, is masked (numbers, references and addresses become a wildcard) and counted
+over all records: how many hold it, on how many hosts, with an error status, and with no prose beside it. Lines are then
+mined in a fixed-depth prefix tree (number of tokens, then the first three): lines with wording evidence that agree in
+enough places share a template, and a line without evidence joins a template only if it differs from it in wildcard places
+alone, so that a verdict reaches other fillings of a slot but no other sentence. A template is classified once:
+
+* a short line of a known wording (``MESSAGES``, the labelled seed) is a message;
+* a long line of a known wording, or a line of ``GENERAL`` wording (what HTTP reason phrases and error pages say), is one if
+  half of the records that hold it have no prose beside it (or, of a known wording, an error status or a second copy);
+* a line of any wording, in any language, is one if several hosts have it only with an error status and no prose beside it.
+
+The verdict goes to the lines of the template and from them to the records. A line is a message only as a whole, so that an
+article about errors is none.
 
 Slots and filler are looked for inside ordinary records: a placeholder that no quotation, back tick or markup surrounds,
 or a line made of the words of the usual dummy text.
 
 Defined results: the content is text, or html without its tags where text is null or empty. A noscript element counts only
-where html has no other text to speak of. Rows without content are never a case. Repeated rows give one row per id.
+where html has no other line of prose. Rows without content are never a case. Repeated rows give one row per id; metadata or
+url may be missing. A content that is nothing but an HTTP error code is an error message.
 """
 
 from __future__ import annotations
@@ -17,17 +27,21 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from http import HTTPStatus
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Tokens of a line that can be a message; longer lines are paragraphs.
+from pagemill.llm.common import host_of, meet, written
+
+#: Tokens up to which a line of a known wording needs no support by its counts.
 LONGEST = 30
 DEPTH, AGREE = 3, 0.6
-#: Visible characters beside a noscript element from which on a page has content of its own.
-ENOUGH = 200
+#: Words from which on a line is prose.
+PROSE = 12
+#: Records and hosts from which on a line of unknown wording is a message if all of them, or nearly, answered with an error.
+SEVERAL, HOSTS, NEARLY = 3, 2, 0.9
 WILD = "<*>"
 
 #: Message kinds by wording; each pattern is tried at the beginning of a masked lower-case line.
@@ -80,6 +94,29 @@ MESSAGES = {
 }
 _KINDS = [(kind, re.compile("|".join(f"(?:{p})" for p in patterns))) for kind, patterns in MESSAGES.items()]
 
+_SORRY = r"(?:(?:sorry|we're sorry|we are sorry|oops|whoops|uh[- ]oh|error|warning|attention|achtung|fehler|entschuldigung|désolé|erreur|lo sentimos|atención|spiacenti|errore|lamentamos|erro|fout|helaas)[,!:.]* )?"
+_REASONS = "|".join(sorted({re.escape(x.phrase.lower()) for x in HTTPStatus if x >= 400}))
+#: What error pages say in general.
+GENERAL = {
+    "failed": (
+        rf"(?:http |error |status )?(?:<\*> )?(?:{_REASONS})\b",
+        r"(?:an? )?(?:\w+ )?error (?:has )?occurred|(?:uncaught|unhandled) (?:exception|error)|fatal error|(?:the )?(?:connection|request|server) (?:has )?(?:timed out|was refused|was reset)",
+        r"we (?:could ?n[o']t|can ?n[o']t|were unable to|are unable to) (?:find|load|display|process|open|reach|complete)|(?:this|the|your) (?:page|request|site|service|server|resource|content) (?:could not|cannot|can't|couldn't) be|(?:this|the) (?:page|site|service|server|resource) is (?:temporarily |currently )?(?:unavailable|not available|down)",
+        r"(?:ein|es ist ein) (?:\w+ )?fehler (?:ist )?aufgetreten|(?:diese|die) (?:seite|anfrage) (?:konnte|kann) (?:leider )?nicht|(?:der )?dienst (?:ist )?nicht verfügbar",
+        r"une erreur (?:\w+ )?(?:est survenue|s'est produite)|impossible d(?:e |')(?:trouver|charger|afficher)|(?:le )?service (?:est )?(?:temporairement )?indisponible",
+        r"(?:se ha producido|ha ocurrido|ocurrió) un error|no (?:se pudo|hemos podido|pudimos) (?:encontrar|cargar|mostrar)|(?:el )?servicio no (?:está )?disponible",
+        r"si è verificato un errore|impossibile (?:trovare|caricare|visualizzare)|(?:il )?servizio (?:è )?non disponibile|ocorreu um erro|não foi possível (?:encontrar|carregar|mostrar)|(?:o )?serviço (?:está )?indisponível",
+        r"er is een (?:\w+ )?fout opgetreden|(?:deze|de) pagina (?:kan|kon) niet|(?:de )?dienst (?:is )?niet beschikbaar",
+    ),
+    "denied": (
+        r"(?:you|your (?:ip|address|account|request|access)) (?:have|has|was|were|is|are) (?:been )?(?:temporarily |permanently )?(?:blocked|denied|banned|suspended|limited)|too many (?:requests|attempts|redirects)|rate limit",
+        r"(?:please )?(?:complete|solve|pass) (?:the|this|a) (?:security check|captcha|challenge)|(?:please )?(?:verify|confirm|prove) (?:that )?you are (?:a )?(?:human|not a robot)|are you (?:a )?(?:human|robot)",
+        r"zu viele anfragen|sie wurden (?:gesperrt|blockiert)|trop de requêtes|vous avez été bloqué|demasiadas (?:solicitudes|peticiones)|(?:ha|has) sido bloquead|troppe richieste|sei stato bloccat|(?:demasiados|muitos) pedidos|muitas solicitações|foi bloquead|te veel (?:verzoeken|aanvragen)|u bent geblokkeerd",
+    ),
+}
+_GENERAL = [(kind, re.compile(_SORRY + "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")) for kind, patterns in GENERAL.items()]
+_CODE = re.compile(r"\s*(?:http |error |status )?[45]\d\d[.!]?\s*", re.I)
+
 #: The usual dummy text.
 DUMMY = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
@@ -97,7 +134,7 @@ _SHUT = "`\"'”“»’‘›"
 
 
 def visible(page: str) -> str:
-    """Text of html, a line per block; a noscript element only where there is hardly anything else."""
+    """Text of html, a line per block; a noscript element only where no other line is prose."""
     page = re.sub(r"(?is)<(script|style|template)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<head\b.*?(?:</head\s*>|(?=<body\b))", " ", page)
 
     def text(part: str) -> str:
@@ -106,76 +143,185 @@ def visible(page: str) -> str:
         return "\n".join(x for line in entities.unescape(part).split("\n") if (x := " ".join(line.split())))
 
     without = text(re.sub(r"(?is)<noscript\b.*?(?:</noscript\s*>|\Z)", " ", page))
-    return without if len(without) >= ENOUGH else text(page)
-
+    return without if any(line.count(" ") + 1 >= PROSE for line in without.split("\n")) else text(page)
 
-@F.pandas_udf(T.StringType())
-def _visible(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda p: visible(p) if p else None)
 
+_LEAD, _TAIL = re.compile(r"^[\s#>*_-]+"), re.compile(r"(?:\s*\([^()]{0,12}\)|[\s.…»›*_!:]+)\Z")
+_SLOTTED = re.compile(r"[^\s\d.:]*+(?:[.:](?![a-z/])[^\s\d.:]*+)*+(?:\d|\.[a-z]|:/)")
 
-def content(text: Column, html: Column) -> Column:
-    """text, or the visible text of html where it is null or empty; only then html reaches Python."""
-    return F.coalesce(F.when(text != "", text), _visible(F.when(text.isNull() | (text == ""), html)))
 
+class Mask:
+    """Tokens of a line in lower case, marks at the ends off, addresses and whatever holds a digit a wildcard; each token is masked once."""
 
-def masked(line: Column) -> Column:
-    """Lower case, marks at the end off, addresses and whatever holds a digit a wildcard."""
-    x = F.regexp_replace(line, r"\s+", " ")
-    x = F.regexp_replace(x, r"^[\s#>*_-]+|(?:\s*\([^()]{0,12}\)|[\s.…»›*_!:]+)+$", "")
-    # From the beginning of a token only, without going back: linear in the line.
-    x = F.regexp_replace(x, r"(?<!\S)[^\s\d.:]*+(?:[.:](?![a-z/])[^\s\d.:]*+)*+(?:\d|\.[a-z]|:/)\S*+", WILD)
-    return F.lower(x)
-
-
-def lines(records: DataFrame, id_col: str) -> DataFrame:
-    """(id, line) of the masked lines that can be messages."""
-    split = records.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.split("content", "\n"))).alias("raw"))
-    return split.where((F.length("raw") > 5) & (F.length("raw") < 400)).select("id", masked(F.col("raw")).alias("line")).where(F.size(F.split("line", " ")) <= LONGEST)
+    def __init__(self) -> None:
+        self.known: dict[str, str] = {}
+
+    def __call__(self, line: str) -> list[str]:
+        line = _LEAD.sub("", " ".join(line.split()))
+        while line and (line[-1] in " .…»›*_!:)") and (m := _TAIL.search(line, max(0, len(line) - 200))):
+            line = line[: m.start()]
+        if len(self.known) > 300_000:
+            self.known.clear()
+        known, out = self.known, []
+        for token in line.split(" "):
+            x = known.get(token)
+            if x is None:
+                x = known[token] = WILD if _SLOTTED.match(token) else token.lower()
+            out.append(x)
+        return out
+
+
+def evidence(tokens: list[str]) -> tuple[str | None, bool]:
+    """(kind, sure) by the wording of a masked line; what is not sure needs the support of its counts."""
+    line = " ".join(tokens)
+    if kind := next((kind for kind, pattern in _KINDS if pattern.match(line)), None):
+        return kind, len(tokens) <= LONGEST
+    return next((kind for kind, pattern in _GENERAL if pattern.match(line)), None), False
+
+
+def verdict(tokens: list[str]) -> str | None:
+    """Kind of a line of a known wording."""
+    return next((kind for kind, pattern in _KINDS if pattern.match(" ".join(tokens))), None)
+
+
+def scan(records: DataFrame, id_col: str) -> DataFrame:
+    """One pass over the records: (id, residue) rows of records with slots, filler or an error code, and a row for each distinct line.
+
+    Rows of lines: line (hash), leaf (hash of number of tokens and first tokens), kind and sure of the evidence, whether the
+    wording is a seed's, host (hash), error (status from 400 on), alone (no prose beside it), text (masked; null where this
+    task has given the text of the line before).
+    """
+    fields = {f.name for f in records.schema["metadata"].dataType.fields} if "metadata" in records.columns and hasattr(records.schema["metadata"].dataType, "fields") else set()
+    status = F.col("metadata.status_code") if "status_code" in fields else F.lit(None).cast("int")
+    host = host_of(F.col("url")) if "url" in records.columns else F.lit(None).cast("string")
+    rows = records.select(F.col(id_col).alias("id"), "text", F.when(F.col("text").isNull() | (F.col("text") == ""), F.col("html")).alias("html"), F.xxhash64(host).alias("host"), F.coalesce(status >= 400, F.lit(False)).alias("error"))
+    rows = rows.where((F.col("text") != "") | (F.col("html") != ""))
+    schema = f"id {records.schema[id_col].dataType.simpleString()}, residue string, line long, leaf long, kind string, sure boolean, host long, error boolean, alone boolean, text string"
+    names = ["id", "residue", "line", "leaf", "kind", "sure", "host", "error", "alone", "text"]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_64_intdigest
 
-def verdict(template: list[str]) -> str | None:
-    line = " ".join(template)
-    return next((kind for kind, pattern in _KINDS if pattern.match(line)), None)
+        mask, seen = Mask(), {}
+        for batch in batches:
+            out = []
+            for key, text, page, host, error in zip(batch["id"], batch["text"], batch["html"], batch["host"], batch["error"]):
+                content = text or visible(page)
+                if not content or content.isspace():
+                    continue
+                if residue := residue_of(content):
+                    out.append((key, residue, None, None, None, None, None, None, None, None))
+                found: dict[int, tuple] = {}
+                prose = 0
+                for line in dict.fromkeys(content.split("\n")):
+                    tokens = mask(line)
+                    if not tokens[0]:
+                        continue
+                    whole = " ".join(tokens)
+                    h = xxh3_64_intdigest(whole.encode()) - (1 << 63)
+                    if h in found:
+                        continue
+                    is_prose = len(tokens) >= PROSE
+                    prose += is_prose
+                    known = seen.get(h)
+                    if known is None:
+                        if len(seen) > 300_000:
+                            seen.clear()
+                        leaf = xxh3_64_intdigest(f"{len(tokens)} {' '.join(tokens[:DEPTH])}".encode()) - (1 << 63)
+                        known = seen[h] = (leaf, *evidence(tokens))
+                        found[h] = (*known, is_prose, whole)
+                    else:
+                        found[h] = (*known, is_prose, None)
+                out += [(key, None, h, leaf, kind, sure, host, error, prose - is_prose == 0, whole) for h, (leaf, kind, sure, is_prose, whole) in found.items()]
+            frame = pd.DataFrame(out, columns=names)
+            yield frame.assign(**{c: pd.array(frame[c].to_list(), "Int64") for c in ("line", "leaf", "host")}, **{c: pd.array(frame[c].to_list(), "boolean") for c in ("sure", "error", "alone")})
+
+    return rows.mapInPandas(run, schema)
+
+
+def counted(lines: DataFrame) -> DataFrame:
+    """(line, leaf, kind, sure, n, hosts, errors, alone) of every distinct line; no text is shuffled."""
+    first = [F.first(c).alias(c) for c in ("leaf", "kind", "sure")]
+    fine = lines.groupBy("line", "host").agg(*first, F.count("*").alias("n"), F.sum(F.col("error").cast("long")).alias("errors"), F.sum(F.col("alone").cast("long")).alias("alone"))
+    return fine.groupBy("line").agg(*first, F.sum("n").alias("n"), F.count("host").alias("hosts"), F.sum("errors").alias("errors"), F.sum("alone").alias("alone"))
+
+
+class Template:
+    __slots__ = ("tokens", "kind", "sure", "members", "n", "errors", "alone")
+
+    def __init__(self, tokens: list[str], kind: str):
+        self.tokens, self.kind, self.sure, self.members, self.n, self.errors, self.alone = list(tokens), kind, False, 0, 0, 0, 0
+
+    def agrees(self, tokens: list[str]) -> int:
+        return sum(a == b or a == WILD for a, b in zip(self.tokens, tokens))
+
+    def add(self, tokens: list[str], sure: bool, n: int, errors: int, alone: int) -> None:
+        self.tokens = [a if a == b else WILD for a, b in zip(self.tokens, tokens)]
+        self.sure, self.members = self.sure or sure, self.members + 1
+        self.n, self.errors, self.alone = self.n + n, self.errors + errors, self.alone + alone
+
+    def verdict(self) -> str | None:
+        """Kind of the template's lines: by their wording, or by it and their counts."""
+        seed = verdict(self.tokens) is not None
+        support = 2 * self.alone >= self.n or seed and (2 * self.errors >= self.n or self.n > 1)
+        return self.kind if self.sure or support else None
 
 
 class Leaf:
-    """Templates of one leaf of the tree: lines of equal length and first tokens."""
+    """Templates of one leaf of the tree: lines with evidence, of equal length and first tokens. There are as many as wordings of messages."""
 
     def __init__(self) -> None:
-        self.templates: list[tuple[list[str], str | None]] = []
-
-    def place(self, tokens: list[str]) -> tuple[list[str], str | None]:
-        own = verdict(tokens)
-        for template, kind in self.templates:
-            same = sum(a == b or a == WILD for a, b in zip(template, tokens))
-            if same >= AGREE * len(tokens) and (own == kind or own is None and same == len(tokens)):
-                for i, (a, b) in enumerate(zip(template, tokens)):
-                    if a != b:
-                        template[i] = WILD
-                return template, kind
-        self.templates.append((list(tokens), own))
-        return self.templates[-1]
-
-
-def mine(distinct: DataFrame) -> DataFrame:
-    """(line, n, template, verdict) of every distinct masked line; lines of a leaf meet in one task and pass through one by one."""
-    token = F.split("line", " ")
-    keyed = distinct.withColumn("leaf", F.concat_ws(" ", F.size(token), F.slice(token, 1, DEPTH)))
+        self.templates: list[Template] = []
+
+    def place(self, tokens: list[str], kind: str | None, sure: bool, n: int, errors: int, alone: int) -> Template | None:
+        """The template that the line joins; lines with evidence come first. None for a line that is of no template."""
+        if kind is None:
+            return next((t for t in self.templates if t.agrees(tokens) == len(tokens)), None)
+        found = next((t for t in self.templates if t.kind == kind and t.agrees(tokens) >= AGREE * len(tokens)), None)
+        if found is None:
+            self.templates.append(found := Template(tokens, kind))
+        found.add(tokens, sure, n, errors, alone)
+        return found
+
+
+def mine(distinct: DataFrame, texts: DataFrame) -> DataFrame:
+    """(line, verdict) of the lines that are messages; distinct as counted() gives it, texts (line, text).
+
+    Only leaves that hold a line with evidence are mined. A leaf goes through one task: its lines with evidence are kept as
+    templates, the others pass by.
+    """
+    leaves = distinct.where("kind is not null").select("leaf").distinct()
+    wanted = distinct.join(leaves, "leaf", "left_semi")
+    text = texts.where("text is not null").join(wanted.select("line"), "line", "left_semi").groupBy("line").agg(F.first("text").alias("text"))
+    ordered = wanted.join(text, "line").repartition("leaf").sortWithinPartitions("leaf", F.col("kind").isNull(), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, leaf = None, Leaf()
+        at, leaf, held = None, Leaf(), []
+
+        def close() -> list[tuple[int, str]]:
+            out = [(line, kind) for line, t in held if (kind := t.verdict())]
+            held.clear()
+            return out
+
         for batch in batches:
             out = []
-            for key, line, n in zip(batch["leaf"], batch["line"], batch["n"]):
+            for key, line, text, kind, sure, n, errors, alone in zip(*(batch[c] for c in ("leaf", "line", "text", "kind", "sure", "n", "errors", "alone"))):
                 if key != at:
+                    out += close()
                     at, leaf = key, Leaf()
-                template, kind = leaf.place(line.split(" "))
-                out.append((line, n, " ".join(template), kind))
-            yield pd.DataFrame(out, columns=["line", "n", "template", "verdict"])
+                t = leaf.place(text.split(" "), kind, bool(sure), n, errors, alone)
+                if kind is not None:
+                    held.append((line, t))
+                    continue
+                out += close()  # the leaf's templates are complete
+                if t is not None and (v := t.verdict()):
+                    out.append((line, v))
+            yield pd.DataFrame(out, columns=["line", "verdict"])
+        yield pd.DataFrame(close(), columns=["line", "verdict"])
 
-    ordered = keyed.repartition("leaf").sortWithinPartitions("leaf", "line")
-    return ordered.select("leaf", "line", "n").mapInPandas(run, "line string, n long, template string, verdict string")
+    mined = ordered.select("leaf", "line", "text", "kind", "sure", "n", "errors", "alone").mapInPandas(run, "line long, verdict string")
+    unknown = distinct.where((F.col("n") >= SEVERAL) & (F.col("hosts") >= HOSTS) & (F.col("errors") >= NEARLY * F.col("n")) & (F.col("alone") >= NEARLY * F.col("n")))
+    return mined.union(unknown.select("line", F.coalesce("kind", F.lit("failed")).alias("verdict"))).groupBy("line").agg(F.min("verdict").alias("verdict"))
 
 
 def slots(text: str) -> list[str]:
@@ -203,19 +349,28 @@ def filler(text: str) -> bool:
     return False
 
 
-@F.pandas_udf(T.StringType())
-def _residue(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: "slot" if slots(t) else "filler" if filler(t) else None)
+_MAY_INSIDE = re.compile(_MAY_SLOT)
+_MAY_FILLER = re.compile(_RARE, re.I)
+
+
+def residue_of(content: str) -> str | None:
+    """Residue inside a record."""
+    if _MAY_INSIDE.search(content) and slots(content):
+        return "slot"
+    if _MAY_FILLER.search(content) and filler(content):
+        return "filler"
+    return "failed" if _CODE.fullmatch(content) else None
 
 
 def cases(records: DataFrame, id_col: str = "scrape_id") -> DataFrame:
-    """(id, kind) of the records with residue, one row for each kind."""
-    rows = records.select(F.col(id_col), content(F.col("text"), F.col("html")).alias("content")).where("content is not null")
-    found = lines(rows, id_col)
-    templates = mine(found.groupBy("line").agg(F.count("*").alias("n")))
-    messages = found.join(templates.where("verdict is not null").select("line", "verdict"), "line").select(F.col("id").alias(id_col), F.col("verdict").alias("kind"))
-    inside = rows.where(F.col("content").rlike(_MAY_SLOT) | F.col("content").rlike("(?i)" + _RARE))
-    inside = inside.select(id_col, _residue("content").alias("kind")).where("kind is not null")
+    """(id, kind) of the records with residue, one row for each kind. metadata.status_code and url are used where there are any."""
+    scanned = written(scan(records, id_col))
+    lines = scanned.where("line is not null")
+    distinct = written(counted(lines))
+    verdicts = written(mine(distinct, lines.select("line", "text")))
+    held = distinct.join(verdicts, "line").select("line", "verdict", "n")
+    messages = meet(lines.select("id", "line"), held, ["line"], "n").select(F.col("id").alias(id_col), F.col("verdict").alias("kind"))
+    inside = scanned.where("residue is not null").select(F.col("id").alias(id_col), F.col("residue").alias("kind"))
     return messages.union(inside).distinct()
 
 

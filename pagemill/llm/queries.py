@@ -38,11 +38,11 @@ def p2_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p3_residue.found(table(spark, sf, "scrapes").select("scrape_id", "text", "html"))
+    return p3_residue.found(table(spark, sf, "scrapes").select("scrape_id", "url", "metadata", "text", "html"))
 
 
 def p3_cases(spark: SparkSession, sf: str) -> DataFrame:
-    return p3_residue.cases(table(spark, sf, "scrapes").select("scrape_id", "text", "html"))
+    return p3_residue.cases(table(spark, sf, "scrapes").select("scrape_id", "url", "metadata", "text", "html"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +65,7 @@ def p5_article(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     scrapes = table(spark, sf, "scrapes")
-    return p6_language.found(scrapes.select("scrape_id", "metadata", "text"), p3_residue.found(scrapes.select("scrape_id", "text", "html")))
+    return p6_language.found(scrapes.select("scrape_id", "metadata", "text"), p3_residue.found(scrapes.select("scrape_id", "url", "metadata", "text", "html")))
 
 
 def p6_passages(spark: SparkSession, sf: str) -> DataFrame:
