@@ -5,9 +5,12 @@ the section (title or heading) the paragraph stands under, the address (words of
 model learns how accurate each function is from how they agree, and gives every paragraph a posterior over subjects; a
 document has the subjects of at least a quarter of its paragraphs.
 
-Lexicons and accuracies are fitted on a bounded sample chosen by hash of the id: ``LABELLED`` documents for each language
-and subject, ``UNLABELLED`` for each language, ``MOST`` in all. Hand labels may be wrong or lack a subject: they are one more noisy function
-in the fit. Everything else covers all documents.
+The lexicons are fitted, by one task of an executor, on a bounded sample chosen by hash of the id: ``LABELLED`` documents
+for each language and subject, ``UNLABELLED`` for each language, ``MOST`` in all and as long as they hold less than
+``SAMPLE_CHARS`` characters. Hand labels may be wrong or lack a subject: they are one more noisy function in the fit, whose
+accuracy is learned there. Everything else covers all documents: votes are written once, the subject of a source is that of
+most paragraphs of all its documents, and the latent model's prior and its accuracies, one for each function and subject,
+come from the counts of all patterns of votes.
 
 Defined results: null and blank texts, and texts without a paragraph that a lexicon knows, have no subject. The title line
 (a first line that is a heading or equals the title) is no paragraph. A document may have up to four subjects; ties all
@@ -16,6 +19,7 @@ count. Repeated rows give one row for each id and subject; without labels there
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,9 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LABELLED, UNLABELLED, SAMPLE_CHARS = 150, 200, 20_000
-#: The whole sample is at most so large, whatever languages the table names; each language and subject has its turn.
-MOST = 12_000
+from pagemill.llm.common import meet, written
+
+LABELLED, UNLABELLED = 150, 200
+#: The whole sample is at most so large, whatever languages the table names and however long texts are; each language and subject has its turn.
+MOST, SAMPLE_CHARS = 12_000, 30_000_000
 #: A term is of the lexicon if this share of its weight is of one subject, from this many paragraphs on.
 PURE, SEEN = 0.6, 3
 #: In the first rounds, over hand labels alone, a term need only lean to a subject: else a subject that mostly shares its
@@ -35,8 +41,10 @@ PURE, SEEN = 0.6, 3
 LEANING, EARLY = 0.4, 2
 QUARTER = 0.25
 ROUNDS = 6
-#: Trust in a hand label before anything is known.
-LABEL = 0.8
+#: Trust in a hand label before anything is known, and bounds of what is learned.
+LABEL, LEAST_LABEL, MOST_LABEL = 0.8, 0.6, 0.95
+#: Paragraphs of a source from which on it votes.
+OF_SOURCE = 20
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 FUNCTIONS = ("words", "pairs", "section", "address", "source")
 
@@ -65,43 +73,44 @@ def terms(text: str) -> tuple[list[str], list[str]]:
 
 
 class Model:
-    """Lexicons, source votes, and the accuracies of the functions."""
+    """Lexicons."""
 
     def __init__(self, subjects: list[str], docs: list[tuple]):
         """docs: (text, title, url, source, subjects by hand)."""
         self.subjects = sorted(subjects)
         self.place = {s: i for i, s in enumerate(self.subjects)}
-        k = len(self.subjects)
         self.words: dict[str, np.ndarray] = {}
         self.pairs: dict[str, dict[str, np.ndarray]] = {}
-        self.sources: dict[str, int] = {}
-        self.accuracy = np.full(len(FUNCTIONS), 0.7)
-        self.prior = np.full(k, 1.0 / max(1, k))
         self._fit(docs)
 
     def _fit(self, docs: list[tuple]) -> None:
         k = len(self.subjects)
-        hand, vocabulary, rows, owner = [], {}, [], []
-        for d, (text, title, _, _, labels) in enumerate(docs):
-            known = [self.place[s] for s in labels if s in self.place]
-            prior = np.full(k, 1.0 / max(1, k))
-            if known:
-                prior[:] = (1 - LABEL) / max(1, k - len(known))
-                prior[known] = LABEL / len(known)
+        given, vocabulary, rows, owner = [], {}, [], []
+        for d, (text, title, labels) in enumerate(docs):
+            known = np.zeros(k)
+            known[[self.place[s] for s in labels if s in self.place]] = 1
             for p in paragraphs(text, title)[0]:
                 words, pairs = terms(p)
                 rows.append(np.unique(np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in (*words, *pairs)), np.int64)))
-                hand.append(prior)
+                given.append(known)
                 owner.append(d)
-        if not rows or not k or not any(x[4] for x in docs):
+        if not rows or not k or not any(x[2] for x in docs):
             return
         flat, ends = np.concatenate(rows), np.cumsum([len(r) for r in rows])
         starts = np.concatenate([[0], ends[:-1]])
         row = np.repeat(np.arange(len(rows)), np.diff(np.concatenate([[0], ends])))
-        n, hand, owner = len(vocabulary), np.array(hand), np.array(owner)
+        n, given, owner = len(vocabulary), np.array(given), np.array(owner)
+        named, trust = given.sum(1, keepdims=True), LABEL
+        labelled = named[:, 0] > 0
+
+        def believed() -> np.ndarray:
+            """Subjects of each paragraph by its document's hand labels, at the trust they have so far."""
+            told = np.where(given > 0, trust / np.maximum(named, 1), (1 - trust) / np.maximum(k - named, 1))
+            return np.where(named > 0, told, 1.0 / k)
+
+        hand = believed()
         seen = np.bincount(flat, minlength=n)
         posterior = hand.copy()
-        labelled = np.abs(hand - 1.0 / k).max(1) > 1e-9
         use = labelled.copy()  # the first lexicon comes from hand labels alone
         for turn in range(ROUNDS):
             count = np.stack([np.bincount(flat, weights=(posterior[:, s] * use)[row], minlength=n) for s in range(k)], 1)
@@ -118,7 +127,12 @@ class Model:
             z = np.exp(np.clip(score - score.max(1, keepdims=True), -30, 0)) * np.where(hits[:, None] > 0, 1, 1.0 / k)
             z /= z.sum(1, keepdims=True)
             whole = np.stack([np.bincount(owner, weights=z[:, s]) for s in range(k)], 1) + 0.5
-            posterior = z * (whole[owner] / whole[owner].sum(1, keepdims=True)) * hand
+            posterior = z * (whole[owner] / whole[owner].sum(1, keepdims=True))
+            alone = posterior / posterior.sum(1, keepdims=True)
+            if turn >= EARLY and (spoke := labelled & (hits > 1)).any():
+                trust = float(np.clip((alone * given)[spoke].sum() / spoke.sum(), LEAST_LABEL, MOST_LABEL))
+                hand = believed()
+            posterior = posterior * hand
             posterior /= posterior.sum(1, keepdims=True)
             use = labelled | (hits > 1) if turn >= EARLY else labelled
         names = np.array(list(vocabulary), dtype=object)
@@ -128,35 +142,6 @@ class Model:
                 self.pairs.setdefault(first, {})[second] = weight[t].astype(np.float32)
             else:
                 self.words[first] = weight[t].astype(np.float32)
-        self.prior = prior
-        by = Counter((docs[o][3], int(s)) for o, s in zip(owner, posterior.argmax(1)) if docs[o][3])
-        total = Counter()
-        for (source, _), c in by.items():
-            total[source] += c
-        self.sources = {source: s for (source, s), c in by.items() if c > 0.5 * total[source] and total[source] >= 20}
-        self._learn([self.votes(*d[:4])[0] for d in docs])
-
-    def _learn(self, votes: list[np.ndarray]) -> None:
-        """Accuracies by expectation and maximisation; a function that abstains says nothing."""
-        v = np.concatenate([x for x in votes if len(x)] or [np.zeros((0, len(FUNCTIONS)), int)])
-        v = v[(v >= 0).any(1)]
-        if not len(v):
-            return
-        for _ in range(10):
-            p = self.posterior(v)
-            for f in range(len(FUNCTIONS)):
-                spoke = v[:, f] >= 0
-                right = p[spoke, v[spoke, f]].sum()
-                self.accuracy[f] = min(0.98, (right + 7) / (spoke.sum() + 10))
-
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        k = len(self.subjects)
-        log = np.tile(np.log(self.prior), (len(votes), 1))
-        for f, a in enumerate(self.accuracy):
-            spoke = np.flatnonzero(votes[:, f] >= 0)
-            log[spoke, votes[spoke, f]] += np.log(a * max(1, k - 1) / (1 - a))
-        p = np.exp(log - log.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
 
     def _best(self, hits: list[np.ndarray]) -> int:
         if not hits:
@@ -173,42 +158,64 @@ class Model:
         known = self.pairs
         return self._best([x for a, b in zip(words, words[1:]) if (d := known.get(a)) and (x := d.get(b)) is not None])
 
-    def votes(self, text: str, title: str | None, url: str | None, source: str | None) -> tuple[np.ndarray, int]:
-        """(votes of each function on each paragraph, number of paragraphs)."""
+    def votes(self, text: str, title: str | None, url: str | None) -> np.ndarray:
+        """Votes of each function but the source on each paragraph; -1 where it abstains."""
         parts, over = paragraphs(text, title)
         address = self._single(_WORDS.findall((url or "").split("://")[-1].partition("/")[2].lower()))
-        of_source = self.sources.get(source, -1) if source else -1
         headings: dict[str, int] = {}
-        out = np.full((len(parts), len(FUNCTIONS)), -1, np.int64)
+        out = np.full((len(parts), len(FUNCTIONS) - 1), -1, np.int16)
         for i, (p, h) in enumerate(zip(parts, over)):
             words = _WORDS.findall(p.lower())
             if h not in headings:
                 head = _WORDS.findall(h.lower())
                 headings[h] = x if (x := self._double(head)) >= 0 else self._single(head)
-            out[i] = self._single(words), self._double(words), headings[h], address, of_source
-        return out, len(parts)
+            out[i] = self._single(words), self._double(words), headings[h], address
+        return out
+
+
+class Latent:
+    """The latent model: prior of the subjects, accuracy of each function on each subject, learned from counts of vote patterns."""
+
+    def __init__(self, k: int, votes: np.ndarray, counts: np.ndarray):
+        """votes: a row per pattern; counts: paragraphs that have it. Expectation and maximisation; who abstains says nothing."""
+        self.k, self.prior, self.accuracy = k, np.full(k, 1.0 / max(1, k)), np.full((len(FUNCTIONS), k), 0.7)
+        spoken = (votes >= 0).any(1)
+        votes, counts = votes[spoken], counts[spoken].astype(float)
+        for _ in range(20 if len(votes) else 0):
+            p = self.posterior(votes) * counts[:, None]
+            self.prior = (p.sum(0) + 1) / (p.sum() + k)
+            for f in range(len(FUNCTIONS)):
+                on = np.flatnonzero(votes[:, f] >= 0)
+                said = votes[on, f]
+                right = np.bincount(said, weights=p[on, said], minlength=k)
+                times = np.bincount(said, weights=counts[on], minlength=k)
+                self.accuracy[f] = np.clip((right + 7) / (times + 10), 0.05, 0.98)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        log = np.tile(np.log(self.prior), (len(votes), 1))
+        weight = np.log(self.accuracy * max(1, self.k - 1) / (1 - self.accuracy))
+        for f in range(len(FUNCTIONS)):
+            on = np.flatnonzero(votes[:, f] >= 0)
+            log[on, votes[on, f]] += weight[f, votes[on, f]]
+        p = np.exp(log - log.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
-    def document(self, text: str, title: str | None, url: str | None, source: str | None) -> list[tuple[str, float, float]]:
+    def document(self, votes: np.ndarray) -> list[tuple[int, float, float]]:
         """(subject, share of the paragraphs, mean posterior) of the subjects of a document."""
-        if not self.words and not self.pairs:
-            return []
-        votes, n = self.votes(text, title, url, source)
-        if not n:
-            return []
         p = self.posterior(votes)
         about = np.where((votes[:, :2] >= 0).any(1), p.argmax(1), -1)
-        out = []
-        for s in np.unique(about[about >= 0]):
-            own = about == s
-            if own.sum() >= QUARTER * n:
-                out.append((self.subjects[s], float(own.sum() / n), float(p[own, s].mean())))
-        return out
+        found = ((s, about == s) for s in np.unique(about[about >= 0]))
+        return [(int(s), float(own.mean()), float(p[own, s].mean())) for s, own in found if own.sum() >= QUARTER * len(votes)]
+
 
+def _table(data: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(data, np.int16).reshape(-1, columns)
 
-def sample(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> list[tuple]:
-    """At most labelled documents per language and subject and unlabelled ones per language, each with its hand labels."""
+
+def sample(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
+    """(doc_id, text, title, subjects): at most labelled documents per language and subject and unlabelled ones per language, each with its hand labels."""
     chosen = F.xxhash64("doc_id")
-    texts = documents.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
+    texts = documents.where(F.length("text") > 0).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
     hand = labels.where("doc_id is not null and subject is not null").select("doc_id", "subject").distinct()
     known = texts.join(hand, "doc_id")
     by_subject = F.row_number().over(Window.partitionBy("lang", "subject").orderBy(chosen, "doc_id"))
@@ -218,31 +225,97 @@ def sample(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, un
     ids = ids.groupBy("doc_id").agg(F.min("rank").alias("rank")).orderBy("rank", chosen, "doc_id").limit(MOST).select("doc_id")
     hand = hand.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     rows = documents.join(F.broadcast(ids), "doc_id").join(hand, "doc_id", "left")  # at most MOST ids
-    rows = rows.select("doc_id", "text", "title", "url", "source", "subjects").orderBy("doc_id").collect()
-    return [(r["text"], r["title"], r["url"], r["source"], r["subjects"] or []) for r in rows]
+    size = F.sum(F.length("text").cast("long")).over(Window.orderBy(chosen, "doc_id").rowsBetween(Window.unboundedPreceding, -1))  # over at most MOST rows
+    return rows.withColumn("before", F.coalesce(size, F.lit(0))).where(F.col("before") < SAMPLE_CHARS).select("doc_id", "text", "title", "subjects")
 
 
-def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    names = [r[0] for r in subjects.select("subject").where("subject is not null").distinct().limit(1001).collect()]
+def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> tuple[list[str], bytes]:
+    """Names of the subjects and the lexicons, made by one task from the sample; only they come to the driver."""
+    names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().limit(1001).collect())
     if len(names) > 1000:
         raise ValueError("a table of subjects holds at most 1,000 rows")
-    return Model(names, sample(documents, labels, labelled, unlabelled))
+
+    def one(_: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("doc_id")
+        docs = [(text, title, [] if labels is None else list(labels)) for text, title, labels in zip(group["text"], group["title"], group["subjects"])]
+        return pd.DataFrame({"model": [pickle.dumps(Model(names, docs))]})
+
+    made = sample(documents, labels, labelled, unlabelled).withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(one, "model binary").first()  # the sample is bounded
+    return names, bytes(made[0]) if made else pickle.dumps(Model(names, []))
+
+
+def votes_of(documents: DataFrame, lexicons: bytes) -> DataFrame:
+    """(doc_id, source, votes) of every document with a paragraph."""
+    shared = documents.sparkSession.sparkContext.broadcast(lexicons)  # lexicons of the bounded sample
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = pickle.loads(shared.value)
+        for batch in batches:
+            out = ((key, source, model.votes(*doc).tobytes()) for key, source, *doc in zip(*(batch[c] for c in ("doc_id", "source", "text", "title", "url"))))
+            yield pd.DataFrame([x for x in out if x[2]], columns=["doc_id", "source", "votes"])
+
+    rows = documents.select("doc_id", "source", "text", "title", "url").where(F.length(F.trim("text")) > 0)
+    return rows.mapInPandas(run, f"doc_id {id_type}, source string, votes binary")
+
+
+def source_votes(votes: DataFrame) -> DataFrame:
+    """(source, vote, n): the subject of more than half of a source's paragraphs by the lexicons, over all its documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for source, data in zip(batch["source"], batch["votes"]):
+                v = _table(data, len(FUNCTIONS) - 1)
+                own = np.where(v[:, 0] >= 0, v[:, 0], v[:, 1])
+                for s, n in zip(*np.unique(own[own >= 0], return_counts=True)):
+                    seen[source, int(s)] += int(n)
+            yield pd.DataFrame([(source, s, n) for (source, s), n in seen.items()], columns=["source", "vote", "n"])
+
+    counts = votes.where("source is not null").select("source", "votes").mapInPandas(run, "source string, vote int, n long").groupBy("source", "vote").agg(F.sum("n").alias("n"))
+    most = counts.groupBy("source").agg(F.max(F.struct("n", (-F.col("vote")).alias("v"))).alias("m"), F.sum("n").alias("n"))
+    return most.where((F.col("n") >= OF_SOURCE) & (2 * F.col("m.n") > F.col("n"))).select("source", (-F.col("m.v")).alias("vote"), "n")
+
+
+def learn(voted: DataFrame, k: int) -> Latent:
+    """The latent model of (votes, vote) of all documents; to the driver come the counts of patterns, at most (k + 1)^functions whatever the data."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            all_votes = _joined(batch)
+            if len(all_votes):
+                patterns, n = np.unique(np.concatenate(all_votes), axis=0, return_counts=True)
+                yield pd.DataFrame({"pattern": [x.tobytes() for x in patterns], "n": n})
+
+    rows = voted.select("votes", "vote").mapInPandas(run, "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    patterns = np.concatenate([_table(bytes(r["pattern"]), len(FUNCTIONS)) for r in rows]) if rows else np.zeros((0, len(FUNCTIONS)), np.int16)
+    return Latent(k, patterns, np.array([r["n"] for r in rows]))
+
+
+def _joined(batch: pd.DataFrame) -> list[np.ndarray]:
+    """Votes of each document with that of its source as last column."""
+    out = []
+    for data, vote in zip(batch["votes"], batch["vote"]):
+        v = _table(data, len(FUNCTIONS) - 1)
+        out.append(np.concatenate([v, np.full((len(v), 1), vote, np.int16)], 1))
+    return out
 
 
-def subjects_of(documents: DataFrame, model: Model) -> DataFrame:
+def subjects_of(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """(doc_id, subject, share, confidence)."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # lexicons of the bounded sample
+    names, lexicons = fit(documents, labels, subjects)
+    votes = written(votes_of(documents, lexicons))
+    voted = meet(votes, written(source_votes(votes)), ["source"], "n", "left").select("doc_id", "votes", F.coalesce("vote", F.lit(-1)).alias("vote"))
+    latent = learn(voted, len(names))
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
         for batch in batches:
-            out = [(key, *x) for key, *doc in zip(*(batch[c] for c in ("doc_id", "text", "title", "url", "source"))) for x in model.document(*doc)]
+            out = [(key, names[s], share, sure) for key, v in zip(batch["doc_id"], _joined(batch)) for s, share, sure in latent.document(v)]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "share", "confidence"])
 
-    rows = documents.select("doc_id", "text", "title", "url", "source").where(F.length(F.trim("text")) > 0)
-    return rows.mapInPandas(run, f"doc_id {id_type}, subject string, share double, confidence double")
+    return voted.mapInPandas(run, f"doc_id {id_type}, subject string, share double, confidence double")
 
 
 def found(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
-    return subjects_of(documents, fit(documents, labels, subjects)).select("doc_id", "subject").distinct()
+    return subjects_of(documents, labels, subjects).select("doc_id", "subject").distinct()
