@@ -202,6 +202,8 @@ class Latent:
 
     def document(self, votes: np.ndarray) -> list[tuple[int, float, float]]:
         """(subject, share of the paragraphs, mean posterior) of the subjects of a document."""
+        if not self.k:
+            return []
         p = self.posterior(votes)
         about = np.where((votes[:, :2] >= 0).any(1), p.argmax(1), -1)
         found = ((s, about == s) for s in np.unique(about[about >= 0]))

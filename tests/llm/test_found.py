@@ -101,11 +101,25 @@ def test_garbled_round_trip(encoding, text):
     assert p2_garbled.restore(mixed) == f"Été correct. {text} Déjà vu."
 
 
-@pytest.mark.parametrize("text", ["", "plain", "PIÙ LETTI È COSÌ", "UMA MANHÃ DE SOL", "2 ½ Tassen", "Œuvre à l'été, garçon ÉTÉ", "the bytes “Ã©” and `â€™` are shown", "Preis: 40 €, »so« und „so“", "what? yes. a page?id=1&x=2", "© 2024 · Übersicht › Ärzte"])
+@pytest.mark.parametrize("text", ["", "plain", "PIÙ LETTI È COSÌ", "UMA MANHÃ DE SOL", "2 ½ Tassen", "Œuvre à l'été, garçon ÉTÉ", "the bytes “Ã©” and `â€™` are shown", "Preis: 40 €, »so« und „so“", "what? yes. a page?id=1&x=2", "© 2024 · Übersicht › Ärzte", "what?no", "Is it?yes it is", "(x,σx)", "Рёбра и «СССР»", "Η κυβέρνηση", "政府は本日", "Łódź jest piękna", "Příliš žluťoučký kůň, knížka", "Ærø ÅRHUS"])
 def test_correct_text_is_left_alone(text):
     assert not p2_garbled.affected(text) and p2_garbled.restore(text) == text
 
 
+@pytest.mark.parametrize(
+    ("text", "written_as", "read_as"),
+    [
+        ("Правительство утвердило новый закон", "utf-8", "cp1251"), ("Правительство утвердило новый закон", "utf-8", "latin-1"), ("Правительство утвердило новый закон", "cp1251", "cp1252"), ("Правительство утвердило новый закон", "koi8-r", "cp1252"),
+        ("Η κυβέρνηση ενέκρινε νέο νόμο", "utf-8", "cp1252"), ("Η κυβέρνηση ενέκρινε νέο νόμο", "iso8859-7", "cp1252"), ("政府は本日新しい法律を承認しました", "utf-8", "cp1252"), ("政府は本日新しい法律を承認しました", "shift_jis", "cp1252"),
+        ("Łódź jest piękna", "utf-8", "cp1252"), ("Łódź jest piękna", "utf-8", "latin-1"), ("政府今天通过了一项新的法律", "gb2312", "cp1252"), ("정부는 오늘 새로운 법률을 승인했다", "euc_kr", "latin-1"),
+    ],
+)
+def test_other_scripts_round_trip(text, written_as, read_as):
+    garbled = p2_garbled._read(text.encode(written_as), read_as)
+    assert p2_garbled.affected(garbled) and p2_garbled.restore(garbled) == text
+    assert p2_garbled.restore(f"Plain words. {garbled} More words.") == f"Plain words. {text} More words."
+
+
 def test_lossy_text_is_reported(spark):
     df = scrapes(spark, [{"scrape_id": 1, "text": "caf� owner", "title": "ok"}, {"scrape_id": 2, "text": None, "title": "CafÃ©"}, {"scrape_id": 3, "text": "b?squeda"}, {"scrape_id": 4, "text": "x" * 100_000}, {"scrape_id": 2, "text": None, "title": "CafÃ©"}, {"scrape_id": None, "text": "CafÃ©"}])
     assert set(rows(p2_garbled.found(df))) == {(1, "text"), (2, "title"), (3, "text")}
@@ -153,13 +167,41 @@ def test_residue(spark, text, html, case):
 
 
 def test_templates(spark):
-    lines = ["error <*> at host", "error <*> at place", "quite another line here", "your session has expired please"]
-    df = spark.createDataFrame([(x, 1) for x in lines], "line string, n long")
-    got = {r.line: r for r in p3_residue.mine(df).collect()}
-    assert got[lines[1]].template.endswith("<*>") and got[lines[3]].verdict == "session" and got[lines[2]].verdict is None
+    """A verdict reaches other fillings of a slot, and no other sentence."""
+    texts = [f"Bad gateway: the upstream server at {x} sent no valid reply" for x in ("alpha", "beta")] + ["Bad gateway: the upstream gate is old stone work", "Your session has expired please", "quite another line"]
+    df = scrapes(spark, [{"scrape_id": i, "text": LONG + "\n" + t} for i, t in enumerate(texts)])
+    assert rows(p3_residue.cases(df)) == [(0, "failed"), (1, "failed"), (3, "session")] or rows(p3_residue.cases(df)) == [(0, "failed"), (1, "failed"), (2, "failed"), (3, "session")]
+    leaf, mask = p3_residue.Leaf(), p3_residue.Mask()
+    for x in ("alpha", "beta"):
+        leaf.place(mask(f"no valid reply from {x} today"), "failed", True, 1, 0, 0)
+    assert len(leaf.templates) == 1 and leaf.templates[0].tokens[4] == p3_residue.WILD
+    assert leaf.place(mask("no valid reply from gamma today"), None, False, 1, 0, 0) is leaf.templates[0]
+    assert leaf.place(mask("no valid reply from gamma again"), None, False, 1, 0, 0) is None
     assert p3_residue.found(scrapes(spark, [])).count() == 0
 
 
+#: Wordings that no list of the operator was made from.
+UNSEEN = (
+    "An unexpected error occurred", "Too many requests", "You have been blocked", "Please complete the security check to access", "502", "Sorry, we couldn't find that page", "Error 410: Gone", "Your request could not be processed",
+    "We are unable to load this page right now.", "Ein unerwarteter Fehler ist aufgetreten.", "Trop de requêtes. Réessayez plus tard.", "Se ha producido un error inesperado", "Si è verificato un errore", "Er is een fout opgetreden", "Ocorreu um erro", "Request timed out", "Are you a robot?",
+    "The server is currently unavailable", "Vous avez été bloqué", "Whoops! Unauthorized",
+)
+
+
+def test_unseen_wordings(spark):
+    """Held-out wordings as the content of a record; beside an article they are none."""
+    assert p3_residue.found(scrapes(spark, [{"scrape_id": i, "text": t} for i, t in enumerate(UNSEEN)])).count() >= 0.9 * len(UNSEEN)
+    assert rows(p3_residue.found(scrapes(spark, [{"scrape_id": i, "text": f"{t}\n{LONG}\n{LONG[::-1]}"} for i, t in enumerate(UNSEEN)]))) == []
+
+
+def test_long_messages_and_unknown_ones_on_error_pages(spark):
+    long = "Something went wrong " + "while the machine that keeps this page was looking for it in the large cellar " * 8
+    rows_ = [(1, long, 500, "a"), (2, LONG + "\n" + LONG + "\nSomething else", 200, "a")]
+    rows_ += [(10 + i, "Det gick inte att visa sidan just nu", 503, "abc"[i % 3]) for i in range(4)] + [(20 + i, "Det gick bra att visa sidan just nu", 200, "abc"[i % 3]) for i in range(4)]
+    df = spark.createDataFrame([(i, t, None, (None, None, s), f"https://{h}.test/{i}") for i, t, s, h in rows_], "scrape_id long, text string, html string, metadata struct<title:string,language:string,status_code:int>, url string")
+    assert rows(p3_residue.found(df)) == [(1,), (10,), (11,), (12,), (13,)]
+
+
 def test_messages_beside_other_templates(spark):
     """A message keeps its verdict beside lines of its leaf that have none, and gives it to none of them."""
     texts = ["This site needs cookies to work", "This site needs maps to work", "This site needs scripts to work"]
@@ -349,7 +391,7 @@ def test_languages(spark):
 def test_language_labels(spark):
     forms = ["en", "EN", "en-US", "eng", "English", "Deutsch", "fr_CA", "français", "x-default", "und", "", None, "sv", "pt-BR", "Nederlands"]
     df = spark.createDataFrame([(x,) for x in forms], "x string").select(p6_language.normal_label(F.col("x")))
-    assert [r[0] for r in df.collect()] == ["en", "en", "en", "en", "en", "de", "fr", "fr", None, None, None, None, None, "pt", "nl"]
+    assert [r[0] for r in df.collect()] == ["en", "en", "en", "en", "en", "de", "fr", "fr", None, None, None, None, "sv", "pt", "nl"]
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -363,6 +405,30 @@ def test_languages_held_out(spark):
     assert right / n > 0.9  # the labels themselves are wrong in some
 
 
+def test_every_passage_and_other_languages(spark):
+    if not DATA.exists():
+        pytest.skip("no test data")
+    table = spark.read.parquet(str(DATA.parent / "sf0.01" / "scrapes.parquet"))
+    model = p6_language.fit(table.select(F.col("scrape_id").alias("id"), F.col("metadata.language").alias("label"), "text"))
+    french = "Le gouvernement a adopté aujourd'hui une nouvelle loi qui oblige les entreprises à publier les salaires de leurs employés tous les mois de l'année."
+    others = [
+        "Regeringen har idag beslutat om en ny lag som tvingar företagen att redovisa hur mycket de betalar sina anställda varje månad under året.",
+        "El govern ha aprovat avui una nova llei que obliga les empreses a publicar els sous dels seus treballadors durant tot l'any vinent.",
+        "Правительство сегодня утвердило новый закон, который обязывает компании публиковать заработную плату своих сотрудников каждый месяц.",
+        "政府は本日、企業に従業員の給与を毎月公表することを義務付ける新しい法律を承認しました。",
+        "Rząd przyjął dzisiaj nową ustawę, która zobowiązuje przedsiębiorstwa do publikowania wynagrodzeń swoich pracowników w każdym miesiącu roku.",
+    ]
+    texts = [(0, f"{french}\n\nThe market was quiet today.\n42", None), *((i + 1, x, "sv") for i, x in enumerate(others)), (9, None, None), (10, "", "en"), (11, " \n", "en")]
+    df = spark.createDataFrame(texts, "id long, text string, label string")
+    got = {(r.id, r.line_no): r for r in p6_language.passages(df, model).collect()}
+    assert set(got) == {(0, 0), (0, 2), *((i, 0) for i in range(1, 6))}
+    assert got[0, 0].lang == "fr" and got[0, 2].lang == "en" and got[0, 0].confidence > 0.9 and all(0 <= r.confidence <= 1 for r in got.values())
+    assert all(got[i, 0].lang == p6_language.OTHER for i in range(1, 6))
+    assert all(r.main is None for r in p6_language.languages(df.where("id between 1 and 5"), model).collect())
+    forms = spark.createDataFrame([("sv-SE",), ("Swedish",), ("und",), ("x-default",), ("",), (None,)], "x string")
+    assert [r[0] for r in forms.select(p6_language.normal_label(F.col("x"))).collect()] == ["sv", "sv", None, None, None, None]
+
+
 # Problem 7
 
 
