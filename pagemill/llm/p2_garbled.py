@@ -202,10 +202,9 @@ def runs(text: str) -> list[tuple[int, int, str]]:
                 i += n
             if letters:
                 if not _quoted(text, a, i) and (not single or all(c.isalpha() or c in "×÷" for c in text[a:i])):
-                    if written_as == "utf-8" or not any(x < i and a < y for x, y in sure):  # a form that needs no run goes before
-                        parts.append((a, i, "".join(letters)))
+                    parts.append((a, i, "".join(letters)))
         # Short runs count beside a long one only.
-        kept = [len(x) >= least for _, _, x in parts]
+        kept = [len(x) >= least and (not single or len(set(x)) > 2) for _, _, x in parts]
         for order in (range(1, len(parts)), range(len(parts) - 2, -1, -1)):
             for j in order:
                 other = j - order.step
@@ -213,6 +212,8 @@ def runs(text: str) -> list[tuple[int, int, str]]:
                 kept[j] = kept[j] or kept[other] and b[0] - a[1] <= 2 and not any(c.isalpha() for c in text[a[1] : b[0]])
         out = [x for x, y in zip(parts, kept) if y]
         covered = sum(b - a for a, b, _ in out)
+        if written_as != "utf-8" and 2 * sum(min(b, y) - max(a, x) for a, b, _ in out for x, y in sure if a < y and x < b) > covered:
+            continue  # forms that need no run explain it
         # Encodings of one alphabet cover the same: letters that are frequent in its languages decide.
         letters = "".join(x for _, _, x in out)
         score = covered, sum(c in FREQUENT for c in letters) / max(1, len(letters))
