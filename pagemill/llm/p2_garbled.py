@@ -164,7 +164,7 @@ def _runs():
         for script in scripts:
             for code in range(SCRIPTS[script][0], SCRIPTS[script][1] + 1):
                 data = _bytes(chr(code), written_as)
-                form = _read(data, read_as) if data else None
+                form = _read(data, read_as) if data and len(data) < 4 else None  # some codecs spell out what they lack
                 if form and form != chr(code) and not form.isascii():
                     table[form] = chr(code)
         tables.append((table, sorted({len(f) for f in table}, reverse=True)))
@@ -198,7 +198,7 @@ def runs(text: str) -> list[tuple[int, int, str]]:
             if a < i:
                 continue
             i, letters = a, []
-            while i < size and (n := next((n for n in sizes if text[i : i + n] in table), 0)):
+            while i < size and (n := next((n for n in sizes if i + n <= size and text[i : i + n] in table), 0)):
                 letters.append(table[text[i : i + n]])
                 i += n
             if letters:
