@@ -220,6 +220,8 @@ def runs(text: str) -> list[tuple[int, int, str]]:
         score = covered, sum(c in FREQUENT for c in letters) / max(1, len(letters))
         if single and (len(letters) < LETTERS or score[1] < 0.5):
             continue  # accented letters in a row
+        if not single and written_as != "utf-8" and score[1] < 0.1:
+            continue  # high and low characters by turns
         if out and score > best[0]:
             best = score, out
     return best[1]

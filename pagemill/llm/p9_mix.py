@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import written
+
 BUCKETS = 64
 
 
@@ -119,7 +121,7 @@ def plan(hist: DataFrame, targets: DataFrame, budget: int | None = None) -> Data
 
 def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 0) -> DataFrame:
     """(doc_id, source, n_tokens, uses) of the documents in the mix; uses at most max_uses."""
-    hist = histogram(sized, targets, seed)
+    hist = written(histogram(sized, targets, seed))
     plans = plan(hist, targets, budget)
     # Buckets are taken whole in their order; only within the last one documents are ranked.
     upto = F.sum("n").over(Window.partitionBy("source", "n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -133,7 +135,7 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
 
 def reached(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 0) -> DataFrame:
     """(source, share, got, short) per listed source: what the plan takes of it; short where it is all there is and not its share."""
-    hist = histogram(sized, targets, seed)
+    hist = written(histogram(sized, targets, seed))
     plans = plan(hist, targets, budget)
     n = hist.groupBy("source", "n_tokens").agg(F.sum("n").alias("n")).join(plans, ["source", "n_tokens"])
     got = n.groupBy("source").agg(F.sum(F.col("n_tokens") * (F.col("n") * F.col("full_uses") + F.col("extra"))).alias("got"))
