@@ -45,7 +45,7 @@ CENTRAL = "".join(c for c in map(chr, range(0x100, 0x17F)) if c.isalpha() and c
 #: First and last code points of other scripts.
 SCRIPTS = {"greek": (0x386, 0x3CE), "cyrillic": (0x401, 0x45F), "kana": (0x3041, 0x30FC), "han": (0x4E00, 0x9FA5), "hangul": (0xAC00, 0xD7A3)}
 #: Encodings of RUNS with one byte for a letter, and letters that their runs must have together, half of them frequent ones.
-LETTERS = 8
+LETTERS = 10
 ONE_BYTE = ("cp1251", "koi8-r", "cp866", "iso8859-5", "iso8859-7")
 #: Frequent letters of Cyrillic, Greek, Japanese, Chinese and Korean texts.
 FREQUENT = frozenset("оеаинтсрвлкмдпуя" "αοιετσνηυρκπμλως" "のにはをたがでてとしいなるれさっもらかこりま" "的一是不了人在有我他这中大来上国个到说们为子和地出道也时年得就要下以生会自过家学对可里后小多天能好都没日于" "이다는의에을를가한고로은지하정사리기도부법오새승인")
@@ -218,7 +218,7 @@ def runs(text: str) -> list[tuple[int, int, str]]:
         # Encodings of one alphabet cover the same: letters that are frequent in its languages decide.
         letters = "".join(x for _, _, x in out)
         score = covered, sum(c in FREQUENT for c in letters) / max(1, len(letters))
-        if single and (len(letters) < LETTERS or score[1] < 0.5):
+        if single and (len(letters) < LETTERS or len(set(letters.lower())) < LETTERS // 2 or score[1] < 0.5):
             continue  # accented letters in a row
         if not single and written_as != "utf-8" and score[1] < 0.1:
             continue  # high and low characters by turns
