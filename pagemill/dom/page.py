@@ -186,7 +186,8 @@ class _Markdown:
 
     DROPPED = ("script", "style", "noscript", "svg", "template")
     WRAPPED = {"strong": "**{}**", "b": "**{}**", "em": "*{}*", "i": "*{}*", "code": "`{}`"}
-    BLOCKS = frozenset("p div section article main header footer ul ol table thead tbody tfoot blockquote figure figcaption dl dt dd form fieldset details summary nav aside address body html".split())
+    # Fixed values (and tr, which has a rule of its own).
+    BLOCKS = ("p", "div", "section", "article", "main", "blockquote", "ul", "ol", "table", "thead", "tbody", "tfoot", "dl", "figure", "figcaption", "details", "summary")
 
     def __init__(self) -> None:
         self.out: list[str] = []
@@ -415,6 +416,11 @@ def crawl_links(html: str, base_url: str) -> list[tuple[str, bool]]:
     return out
 
 
+def followed_links(html: str, base_url: str) -> list[str]:
+    """Absolute addresses of the visible links of a page that may be indexed, one parse for both."""
+    return [] if noindex(html) else [u for u, unseen in crawl_links(html, base_url) if not unseen]
+
+
 def noindex(html: str) -> bool:
     """A robots or googlebot meta tag within the first 10,000 characters forbids indexing."""
     return any(m.attrs.get("name", "").lower() in ("robots", "googlebot") and "noindex" in m.attrs.get("content", "").lower() for m in parse(html[:10_000]).find_all("meta"))
@@ -458,17 +464,40 @@ def regex_text(html: str) -> str:
     return parse(html).joined("\n")
 
 
+#: Seconds that one pattern may take on one page.
+REGEX_SECONDS = 5
+
+
+def _finder(pattern: str):
+    """finditer of a pattern with a time limit; TimeoutError beyond it."""
+    import regex
+
+    compiled = regex.compile(pattern, regex.MULTILINE | regex.DOTALL)
+    return lambda text: compiled.finditer(text, timeout=REGEX_SECONDS)
+
+
+def _groups(m) -> str | tuple:
+    return m[0] if not m.groups() else m.groups("")[0] if len(m.groups()) == 1 else m.groups("")
+
+
 def regex_record(html: str, patterns: dict[str, str]) -> dict:
+    """What each pattern finds; nothing where it takes too long."""
     text, out = regex_text(html), {}
     for name, pattern in patterns.items():
-        found = re.findall(pattern, text, re.MULTILINE | re.DOTALL)
+        try:
+            found = [_groups(m) for m in _finder(pattern)(text)]
+        except TimeoutError:
+            found = []
         out[name] = None if not found else found[0] if len(found) == 1 else found
     return out
 
 
 def regex_records(html: str, pattern: str) -> list[dict]:
-    """A record per match: named groups, else all groups, else the match."""
+    """A record per match: named groups, else all groups, else the match. A pattern that takes too long gives what it found until then."""
     rows = []
-    for m in re.finditer(pattern, regex_text(html), re.MULTILINE | re.DOTALL):
-        rows.append(m.groupdict() or {"match": list(m.groups()) if m.groups() else m[0]})
+    try:
+        for m in _finder(pattern)(regex_text(html)):
+            rows.append(m.groupdict() or {"match": list(m.groups()) if m.groups() else m[0]})
+    except TimeoutError:
+        pass
     return rows or [{}]

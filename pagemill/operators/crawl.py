@@ -22,10 +22,10 @@ STRATEGIES = ("bfs", "dfs", "best_first")
 
 
 def edges(stored: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst, position) of visible links of pages that may be followed."""
-    rows = stored.where(F.col(html).isNotNull()).select(F.col(url).alias("page"), op.noindex(F.col(html)).alias("closed"), op.crawl_links(F.col(html), F.col(url)).alias("links"))
-    found = rows.where(~F.col("closed")).select("page", F.posexplode("links").alias("position", "link")).where(~F.col("link.hidden"))
-    return found.select(fu.normalize_url(F.col("page")).alias("src"), fu.normalize_url(F.col("link.href")).alias("dst"), "position").where(fu.scheme(F.col("dst")).isin("http", "https"))
+    """(src, dst, position) of visible links of pages that may be followed; position counts these."""
+    links = op.followed_links(F.col(html), F.col(url))
+    found = stored.where(F.col(html).isNotNull()).select(F.col(url).alias("page"), F.posexplode(links).alias("position", "link"))
+    return found.select(fu.normalize_url(F.col("page")).alias("src"), fu.normalize_url(F.col("link")).alias("dst"), "position").where(fu.scheme(F.col("dst")).isin("http", "https"))
 
 
 def breadth_first(links: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pages: int | None = None) -> DataFrame:

@@ -1,7 +1,8 @@
 """Operators on stored pages: one Arrow function parses each page and returns only what is asked for.
 
 They are scalar functions on purpose: filters on other columns stay below them and reach the scan, columns that nobody
-asks for are never read. Null html gives null; broken html gives what could be read.
+asks for are never read. Null html gives null; broken html gives what could be read. A page on which a function raises gives
+null and does not fail the job; ``scrape`` and ``response`` say in ``error`` what was raised.
 """
 
 from __future__ import annotations
@@ -29,10 +30,16 @@ TABLE_TYPE = "array<struct<index:int,caption:string,headers:array<string>,rows:a
 
 
 def _function(f: Callable[..., Any], returns: str, *columns: Column) -> Column:
-    """f over rows as an Arrow function; null in the first column gives null."""
+    """f over rows as an Arrow function; null in the first column, or a page that raises, gives null."""
+
+    def safe(*row: Any) -> Any:
+        try:
+            return f(*row)
+        except Exception:  # one page must not fail the others
+            return None
 
     def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([None if row[0] is None else f(*row) for row in zip(*series)], index=series[0].index, dtype=object)
+        return pd.Series([None if row[0] is None else safe(*row) for row in zip(*series)], index=series[0].index, dtype=object)
 
     def one(a: pd.Series) -> pd.Series:
         return run(a)
@@ -44,11 +51,18 @@ def _function(f: Callable[..., Any], returns: str, *columns: Column) -> Column:
 
 
 def _record(f: Callable[..., dict], fields: list[tuple[str, str]], *columns: Column) -> Column:
-    """f over rows, its dict as a struct."""
+    """f over rows, its dict as a struct; a page that raises has error only, if that is a field."""
+
+    def safe(*row: Any) -> dict:
+        try:
+            return f(*row)
+        except Exception as e:  # one page must not fail the others
+            return {"error": f"{type(e).__name__}: {e}"}
+
     schema = T._parse_datatype_string("struct<" + ",".join(f"{n}:{t}" for n, t in fields) + ">")
 
     def run(*series: pd.Series) -> pd.DataFrame:
-        rows = [{} if row[0] is None else f(*row) for row in zip(*series)]
+        rows = [{} if row[0] is None else safe(*row) for row in zip(*series)]
         return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n, _ in fields})
 
     if len(columns) == 1:
@@ -76,7 +90,7 @@ def scrape(
     html: Column, formats: Iterable[str] = ("markdown",), excluded_tags: list[str] | None = None, excluded_selector: str | None = None, css_selector: str | None = None,
     word_count_threshold: int | None = None, content_filter: str | None = None, content_filter_query: str | None = None,
 ) -> Column:
-    """struct<title, description, language, content_html, and one field per format>, of the page's main content."""
+    """struct<title, description, language, content_html, one field per format, error>, of the page's main content."""
     formats = list(dict.fromkeys(formats))
     if unknown := set(formats) - set(FORMATS):
         raise ValueError(f"unknown formats: {sorted(unknown)}")
@@ -89,7 +103,7 @@ def scrape(
         out = {"title": title, "description": description, "language": language, "content_html": content}
         return out | {f: FORMATS[f](content) if content else "" for f in formats}
 
-    return _record(run, [(n, "string") for n in dict.fromkeys(("title", "description", "language", "content_html", *formats))], html)
+    return _record(run, [(n, "string") for n in dict.fromkeys(("title", "description", "language", "content_html", *formats, "error"))], html)
 
 
 def convert(html: Column, to: str) -> Column:
@@ -151,6 +165,11 @@ def crawl_links(html: Column, base_url: Column) -> Column:
     return _function(lambda h, b: [{"href": u, "hidden": x} for u, x in page.crawl_links(h, b)], "array<struct<href:string,hidden:boolean>>", html, base_url)
 
 
+def followed_links(html: Column, base_url: Column) -> Column:
+    """array<string>: visible links of a page that may be indexed."""
+    return _function(page.followed_links, "array<string>", html, base_url)
+
+
 def noindex(html: Column) -> Column:
     return _function(page.noindex, "boolean", F.substring(html, 1, 10_000))
 
@@ -190,12 +209,12 @@ def extract(html: Column, strategy: str, config: Any) -> Column:
 
 
 def response(pages: DataFrame, html: str = "html", url: str = "url", formats: Iterable[str] = ("markdown",), llm_ready: bool = False, citations: bool = False, **options: Any) -> DataFrame:
-    """pages with title, description, language, a column per format, word_count and token_count_estimate of the main content."""
+    """pages with title, description, language, error, a column per format, word_count and token_count_estimate of the main content."""
     formats = list(dict.fromkeys(formats))
     wanted = formats if {"markdown", "text"} & set(formats) else [*formats, "text"]
     counted = next(f for f in reversed(wanted) if f in ("markdown", "text"))
     out = pages.withColumn("__page", scrape(F.col(html), wanted, **options))
-    out = out.select("*", F.col("__page.title").alias("title"), F.col("__page.description").alias("description"), F.col("__page.language").alias("language"), *(F.col(f"__page.{f}").alias(f"as_{f}") for f in formats), F.col(f"__page.{counted}").alias("__counted"))
+    out = out.select("*", F.col("__page.title").alias("title"), F.col("__page.description").alias("description"), F.col("__page.language").alias("language"), F.col("__page.error").alias("error"), *(F.col(f"__page.{f}").alias(f"as_{f}") for f in formats), F.col(f"__page.{counted}").alias("__counted"))
     out = out.withColumn("word_count", fx.word_count(F.col("__counted"))).withColumn("token_count_estimate", fx.estimate_tokens(F.col("__counted")))
     if "markdown" in formats and citations:
         out = out.withColumn("as_markdown", fx.markdown_with_citations(F.col("as_markdown")))

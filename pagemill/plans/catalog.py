@@ -195,12 +195,32 @@ def chunks_sliding(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode(chunking.sliding_window(U(TEXT), 100, 20)).alias("chunk_no", "chunk"))
 
 
-@query()
+_WS = r"[^\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _pack_sql(key: str, pieces: str, size: int, overlap: int, separator: str, alone: bool) -> str:
+    """pieces: SQL of (key, ps) with the pieces of each text."""
+    full = f"(s.n + ns[s.i + 1] > {size}" + (" OR starts_with(ps[s.i + 1], '#')" if alone else "") + ")"
+    begin = f"s.a + len(list_filter(range(s.a, s.i), lambda j: list_sum(ns[j + 1 : s.i]) > {overlap}))" if overlap else "s.i"
+    return rf"""WITH RECURSIVE p AS ({pieces}), c AS (SELECT {key}, ps, list_transform(ps, lambda x: len(regexp_extract_all(x, '{_WS}'))) AS ns FROM p WHERE len(ps) > 0),
+    s AS (SELECT {key}, 0::BIGINT AS a, 1::BIGINT AS i, ns[1]::BIGINT AS n, NULL::BIGINT AS x, NULL::BIGINT AS y FROM c
+      UNION ALL
+      SELECT s.{key}, CASE WHEN f THEN b ELSE s.a END, s.i + 1, CASE WHEN f THEN coalesce(list_sum(ns[b + 1 : s.i]), 0) ELSE s.n END::BIGINT + ns[s.i + 1], CASE WHEN f THEN s.a END, CASE WHEN f THEN s.i END
+      FROM (SELECT s.*, ps, ns, {full} AS f, ({begin})::BIGINT AS b FROM s JOIN c USING ({key}) WHERE s.i < len(ps)) s),
+    r AS (SELECT {key}, x AS a, y AS b FROM s WHERE x IS NOT NULL UNION ALL SELECT {key}, a, i FROM s JOIN c USING ({key}) WHERE i = len(ps))
+    SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY b, a) - 1)::INTEGER AS chunk_no, array_to_string(ps[a + 1 : b], {separator}) AS chunk FROM r JOIN c USING ({key})"""
+
+
+_SENTENCES = r"""SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\t\n\v\f\r ]+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g')), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL"""
+_PARAGRAPHS = r"""SELECT scrape_id, list_filter(list_transform(string_split_regex(regexp_replace(markdown, '(?m)^(#{1,6}[\t\n\v\f\r ])', chr(1) || '\1', 'g'), '\n[\t\n\v\f\r ]*\n|\x01'), lambda x: regexp_replace(x, '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g')), lambda x: x <> '') AS ps FROM scrapes WHERE markdown IS NOT NULL"""
+
+
+@query(_pack_sql("doc_id", _SENTENCES, 100, 20, "' '", False))
 def chunks_fixed(spark: SparkSession, sf: str) -> DataFrame:
     return src.read_table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(chunking.fixed_length(U(TEXT), 100, 20)).alias("chunk_no", "chunk"))
 
 
-@query()
+@query(_pack_sql("scrape_id", _PARAGRAPHS, 200, 0, "chr(10) || chr(10)", True))
 def chunks_semantic(spark: SparkSession, sf: str) -> DataFrame:
     return _scrapes(spark, sf).where("markdown is not null").select("scrape_id", F.posexplode(chunking.semantic(U(MD), 200)).alias("chunk_no", "chunk"))
 
@@ -222,7 +242,19 @@ def bm25_documents(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.corpus_scores(src.read_table(spark, sf, "documents"), _BM25).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+def _fit_sql(terms: list[str], top_k: int) -> str:
+    return rf"""WITH x AS (SELECT scrape_id, unnest(string_split(regexp_replace(markdown, '(?m)^(#{{1,6}}[\t\n\v\f\r ])', chr(1) || '\1', 'g'), chr(1))) AS x, unnest(range(0, len(string_split(regexp_replace(markdown, '(?m)^(#{{1,6}}[\t\n\v\f\r ])', chr(1) || '\1', 'g'), chr(1))))) AS i FROM scrapes WHERE markdown IS NOT NULL),
+    s AS (SELECT scrape_id, i, regexp_replace(x, '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g') AS t FROM x WHERE regexp_replace(x, '[\t\n\v\f\r ]+', '', 'g') <> ''),
+    w AS (SELECT scrape_id, i, t, regexp_extract_all(lower(t), '[a-z0-9]+') AS ws FROM s), q AS (SELECT unnest({terms!r}) AS term),
+    f AS (SELECT scrape_id, i, term, len(ws) AS dl, len(list_filter(ws, lambda y: y = term)) AS tf FROM w, q),
+    g AS (SELECT *, count(*) OVER (PARTITION BY scrape_id, term) AS n, avg(dl) OVER (PARTITION BY scrape_id, term) AS mean, count_if(tf > 0) OVER (PARTITION BY scrape_id, term) AS df FROM f),
+    r AS (SELECT scrape_id, i, any_value(n) AS n, sum(CASE WHEN df = 0 THEN 0 ELSE ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(mean, 1))) END) AS score FROM g GROUP BY scrape_id, i),
+    k AS (SELECT r.*, row_number() OVER (PARTITION BY scrape_id ORDER BY round(score, 10) DESC, i) AS place FROM r WHERE score > 0 AND n > 1),
+    b AS (SELECT k.scrape_id, string_agg(w.t, chr(10) || chr(10) ORDER BY place) AS fit FROM k JOIN w ON w.scrape_id = k.scrape_id AND w.i = k.i WHERE place <= {top_k} GROUP BY k.scrape_id)
+    SELECT scrape_id, coalesce(fit, markdown) AS fit FROM scrapes LEFT JOIN b USING (scrape_id) WHERE markdown IS NOT NULL"""
+
+
+@query(_fit_sql(["market", "report", "trial"], 3))
 def fit_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return _scrapes(spark, sf).where("markdown is not null").select("scrape_id", scoring.fit_markdown(U(MD), "market report trial", 3).alias("fit"))
 
@@ -315,13 +347,27 @@ def extract_xpath(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("scrape_id", *(F.when(F.col("r")[k].isNotNull(), F.size(F.col("r")[k])).otherwise(0).alias(n) for k, n in (("subs", "subheadings"), ("links", "links"))))
 
 
-@query()
+_PLAIN = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', chr(10), 'g')"
+
+
+@query(
+    rf"""WITH m AS (SELECT scrape_id, regexp_extract_all({_PLAIN}, '\d+ (?:per cent|weeks|days)') AS ms FROM scrapes WHERE html IS NOT NULL),
+    e AS (SELECT scrape_id, unnest(CASE WHEN len(ms) = 0 THEN [NULL] ELSE ms END) AS m FROM m) SELECT scrape_id, nullif(regexp_extract(m, '^(\d+) ', 1), '') AS number, nullif(regexp_extract(m, ' (.*)$', 1), '') AS unit FROM e"""
+)
 def extract_regex(spark: SparkSession, sf: str) -> DataFrame:
     rows = _with_html(spark, sf).select("scrape_id", F.explode(pages.extract(U(HTML), "regex", r"(?P<number>\d+) (?P<unit>per cent|weeks|days)")).alias("r"))
     return rows.select("scrape_id", F.col("r")["number"][0].alias("number"), F.col("r")["unit"][0].alias("unit"))
 
 
-@query()
+@query(
+    r"""WITH h AS (SELECT doc_id, left(text, (length(text) // 2)::BIGINT) AS a, substr(text, length(text) // 2 + 1) AS b FROM documents WHERE text IS NOT NULL),
+    v AS (SELECT doc_id, coalesce(nullif(regexp_extract(a, '(\d{4})', 1), ''), nullif(regexp_extract(b, '(\d{4})', 1), '')) AS year,
+      regexp_extract_all(a, '\b(\d{2,3})\b', 1) AS x, regexp_extract_all(b, '\b(\d{2,3})\b', 1) AS y FROM h),
+    f AS (SELECT doc_id, year, list_concat(list_filter(x, lambda v, i: NOT list_contains(x[: i - 1], v)), list_filter(y, lambda v, i: NOT list_contains(y[: i - 1], v))) AS ns FROM v),
+    d AS (SELECT doc_id, year, list_filter(ns, lambda x, i: NOT list_contains(ns[i + 1 :], x)) AS ns FROM f)
+    SELECT doc_id, '{"numbers": [' || array_to_string(list_transform(ns, lambda x: '"' || x || '"'), ', ') || ']' || CASE WHEN year IS NULL THEN '' ELSE ', "year": "' || year || '"' END || '}' AS record,
+    '{"type": "object", "properties": {"numbers": {"type": "array", "items": {"type": "string"}}' || CASE WHEN year IS NULL THEN '' ELSE ', "year": {"type": "string"}' END || '}, "required": ["numbers"' || CASE WHEN year IS NULL THEN '' ELSE ', "year"' END || '], "additionalProperties": false}' AS schema FROM d"""
+)
 def extract_merged(spark: SparkSession, sf: str) -> DataFrame:
     """Records of the two halves of each text, merged, with their schema."""
     d = src.read_table(spark, sf, "documents").where("text is not null")
@@ -622,6 +668,145 @@ def crawl_depth_first(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.crawl(crawl.edges(src.pages(spark, sf)), seeds, "dfs", max_pages=50, max_depth=3)
 
 
+def _first_level_sql(order: str) -> str:
+    score = f"""0.5 + CASE WHEN length(p) - length(replace(p, '/', '')) <= 2 THEN 0.15 WHEN length(p) - length(replace(p, '/', '')) >= 5 THEN -0.15 ELSE 0 END + CASE WHEN contains(lower(dst), 'guide') THEN 0.2 ELSE 0 END
+      + CASE WHEN regexp_matches(lower(p), '/({'|'.join(fu.HIGH_VALUE)})') THEN 0.1 ELSE 0 END - CASE WHEN regexp_matches(lower(p), '/({'|'.join(fu.LOW_VALUE)})') THEN 0.2 ELSE 0 END - CASE WHEN q <> '' AND length(q) - length(replace(q, '&', '')) + 1 > 3 THEN 0.1 ELSE 0 END"""
+    return f"""WITH k AS (SELECT {_normalized('url')} AS src, arg_max(url, scrape_id) AS url, arg_max(html, scrape_id) AS html FROM scrapes WHERE html IS NOT NULL GROUP BY 1),
+    h AS (SELECT src, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM k), l AS (SELECT src, url, unnest(hrefs) AS href, unnest(range(0, len(hrefs))) AS position FROM h),
+    a AS (SELECT src, position, {_absolute('url', 'href')} AS link FROM l), e AS (SELECT src, position, {_normalized('link')} AS dst FROM a WHERE lower({_part('link', 1)}) IN ('http', 'https')),
+    o AS (SELECT src, dst, min(position) AS first, max(position) AS last FROM e WHERE {_part('src', 2)} = {_part('dst', 2)} AND dst <> src GROUP BY 1, 2),
+    w AS (SELECT *, {_path('dst')} AS p, {_part('dst', 4)} AS q FROM o), v AS (SELECT *, greatest(0.0, least(1.0, {score})) AS worth FROM w),
+    r AS (SELECT src AS seed, dst AS url, row_number() OVER (PARTITION BY src ORDER BY {order}) AS seq FROM v)
+    SELECT src AS seed, 0::INTEGER AS seq, src AS url, 0::INTEGER AS depth FROM k UNION ALL SELECT seed, seq::INTEGER, url, 1::INTEGER FROM r WHERE seq < 50"""
+
+
+def _crawl_of_pages(spark: SparkSession, sf: str, strategy: str) -> DataFrame:
+    """Every stored page, in its last version, as the seed of a crawl that goes one link deep."""
+    key = fu.normalize_url(U("url"))
+    last = src.pages(spark, sf).where("html is not null").groupBy(key.alias("seed")).agg(F.max_by("url", "page_id").alias("url"), F.max_by("html", "page_id").alias("html"))
+    return crawl.crawl(crawl.edges(last), last.select("seed"), strategy, max_pages=50, max_depth=1, keywords=["guide"])
+
+
+@query(_first_level_sql("last DESC"))
+def crawl_pages_depth_first(spark: SparkSession, sf: str) -> DataFrame:
+    return _crawl_of_pages(spark, sf, "dfs")
+
+
+@query(_first_level_sql("round(worth, 6) DESC, first"))
+def crawl_pages_best_first(spark: SparkSession, sf: str) -> DataFrame:
+    return _crawl_of_pages(spark, sf, "best_first")
+
+
+@query(_first_level_sql("first"))
+def crawl_pages_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    return _crawl_of_pages(spark, sf, "bfs")
+
+
+@query(
+    f"""WITH k AS (SELECT lower({_part('url', 1)}) || '://' || {_part('url', 2)} AS base, html FROM scrapes WHERE html IS NOT NULL),
+    l AS (SELECT DISTINCT base, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM k), a AS (SELECT base, {_absolute('base', 'href')} AS u FROM l),
+    f AS (SELECT * FROM a WHERE lower({_part('u', 1)}) IN ('http', 'https') AND lower(regexp_replace(regexp_replace({_part('u', 2)}, '^.*@', ''), ':[0-9]*$', '')) = lower(regexp_replace(regexp_replace({_part('base', 2)}, '^.*@', ''), ':[0-9]*$', '')))
+    SELECT DISTINCT base, lower({_part('u', 1)}) || '://' || {_part('u', 2)} || CASE WHEN regexp_replace({_path('u')}, '/+$', '') = '' THEN '/' ELSE regexp_replace({_path('u')}, '/+$', '') END AS url, 'homepage' AS source FROM f"""
+)
+def crawl_map_homepages(spark: SparkSession, sf: str) -> DataFrame:
+    """Bases without a site map: links of their pages."""
+    homes = src.pages(spark, sf).where("html is not null").select(fu.get_base_url(U("url")).alias("base"), "html")
+    maps = spark.createDataFrame([("https://nowhere.invalid", 0, "<urlset/>")], "base string, priority int, xml string")
+    return crawl.discover(maps, homes).distinct()
+
+
+@query(
+    f"""WITH j AS (SELECT job_id AS id, url AS seed FROM crawl_jobs) SELECT scrape_id, {_part('url', 2)} = {_part('seed', 2)} AS same_domain,
+    lower(regexp_replace(regexp_replace({_part('url', 2)}, '^.*@', ''), ':[0-9]*$', '')) = 'kelmora-daily.example' AS of_site, regexp_matches(job_id, '^[a-f0-9]{{12}}$') AS is_job FROM scrapes JOIN j ON job_id = id"""
+)
+def url_domains(spark: SparkSession, sf: str) -> DataFrame:
+    jobs = src.read_table(spark, sf, "crawl_jobs").select("job_id", F.col("url").alias("seed"))
+    rows = _scrapes(spark, sf).select("scrape_id", "job_id", "url").join(jobs, "job_id")
+    return rows.select("scrape_id", fu.is_same_domain(U("url"), F.col("seed")).alias("same_domain"), fu.matches_domain(U("url"), "kelmora-daily.example").alias("of_site"), src.is_job_id(F.col("job_id")).alias("is_job"))
+
+
+@query(
+    """WITH l AS (SELECT scrape_id, unnest(regexp_extract_all(html, '<li>(?:<span>)?<a href="[^"]*"')) AS x FROM scrapes WHERE html IS NOT NULL)
+    SELECT scrape_id, regexp_extract(x, 'href="([^"]*)"', 1) AS target, count(*) AS times FROM l GROUP BY ALL"""
+)
+def extract_css_items(spark: SparkSession, sf: str) -> DataFrame:
+    """A record per list item that holds a link."""
+    spec = {"container": "li", "fields": {"target": {"selector": "a", "attribute": "href"}}}
+    rows = _with_html(spark, sf).select("scrape_id", F.explode(pages.extract(U(HTML), "css", spec)).alias("r"))
+    return rows.select("scrape_id", F.col("r")["target"][0].alias("target")).where("target is not null").groupBy("scrape_id", "target").agg(F.count("*").alias("times"))
+
+
+@query(
+    rf"""WITH m AS (SELECT scrape_id, regexp_extract_all({_PLAIN}, '(\d+) per cent', 1) AS a, regexp_extract_all({_PLAIN}, '\d+ weeks') AS b FROM scrapes WHERE html IS NOT NULL)
+    SELECT scrape_id, array_to_string(a, ',') AS shares, array_to_string(b, ',') AS spans FROM m"""
+)
+def extract_regex_fields(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _with_html(spark, sf).select("scrape_id", pages.extract(U(HTML), "regex", {"shares": r"(\d+) per cent", "spans": r"\d+ weeks"})[0].alias("r"))
+    return rows.select("scrape_id", *(F.array_join(F.coalesce(F.col("r")[k], F.array().cast("array<string>")), ",").alias(k) for k in ("shares", "spans")))
+
+
+@query("""SELECT scrape_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM scrapes WHERE html IS NOT NULL""")
+def extract_xpath_links(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _with_html(spark, sf).select("scrape_id", pages.extract(U(HTML), "xpath", {"links": "//a/@href"})[0].alias("r"))
+    return rows.select("scrape_id", F.explode(F.col("r")["links"]).alias("href"))
+
+
+@query(
+    f"""WITH l AS (SELECT scrape_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM scrapes WHERE html IS NOT NULL)
+    SELECT scrape_id, {_absolute('url', 'href')} AS href FROM l WHERE href <> '' AND NOT regexp_matches(href, '^(#|javascript:|mailto:)')"""
+)
+def page_media_links(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _with_html(spark, sf).select("scrape_id", F.explode(pages.media(U(HTML), U("url"))["links"]).alias("l"))
+    return rows.select("scrape_id", "l.href")
+
+
+@query(
+    r"""WITH c AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[\t\n\v\f\r ]+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT doc_id, regexp_replace(s, '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g') AS sentence FROM c) SELECT * FROM t WHERE sentence <> ''"""
+)
+def text_sentence_list(spark: SparkSession, sf: str) -> DataFrame:
+    return src.read_table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(ft.split_sentences(U(TEXT))).alias("sentence"))
+
+
+@query(
+    f"""WITH d AS (SELECT DISTINCT event_id, resp_headers FROM network_events WHERE resp_headers IS NOT NULL), e AS (SELECT event_id, unnest(map_entries(resp_headers)) AS h FROM d)
+    SELECT event_id, h.key AS name, h.value AS value FROM e WHERE lower(h.key) NOT IN ({', '.join(repr(h) for h in responses.REFUSED_HEADERS)})"""
+)
+def response_header_values(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.read_table(spark, sf, "network_events").where("resp_headers is not null").dropDuplicates(["event_id"])
+    return rows.select("event_id", F.explode(responses.sanitize_headers(F.col("resp_headers"))).alias("name", "value"))
+
+
+@query(f"""{_PROXIES} SELECT p AS proxy_url, succeed FROM s JOIN l USING (p, rn) WHERE ok ORDER BY succeed, p LIMIT 1""")
+def state_least_used(spark: SparkSession, sf: str) -> DataFrame:
+    return state.least_used(state.proxy_state(src.read_table(spark, sf, "proxy_events")), "succeed").select("proxy_url", "succeed")
+
+
+@query("SELECT scrape_id, coalesce(job_id, 'none') AS job_type, url FROM scrapes")
+def source_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Results written as JSON by type and read back."""
+    rows = _scrapes(spark, sf).select("scrape_id", F.coalesce("job_id", F.lit("none")).alias("job_type"), "url")
+    folder = new_path(spark)
+    src.write_results(rows.repartition("job_type"), folder)
+    return src.read_results(spark, folder, rows.schema).select("scrape_id", "job_type", "url")
+
+
+@query("SELECT job_id, url, 0::INTEGER AS depth FROM crawl_jobs")
+def source_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    """State of a crawl saved, replaced and loaded."""
+    rows = src.read_table(spark, sf, "crawl_jobs").select("job_id", "url", F.lit(0).alias("depth"))
+    folder = new_path(spark)
+    for _ in range(2):
+        src.save_checkpoint(rows, folder, "job")
+    return src.load_checkpoint(spark, folder, "job")
+
+
+@query("""SELECT event_id, 'event: ' || kind || chr(10) || 'data: {"event_id":' || event_id || ',"kind":"' || kind || '"}' || chr(10) || chr(10) AS frame FROM network_events""")
+def stream_frames(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.read_table(spark, sf, "network_events")
+    return rows.select("event_id", streams.event_frame(F.col("kind"), F.to_json(F.struct("event_id", "kind"))).alias("frame"))
+
+
 @query(
     f"""WITH s AS (SELECT {_part('url', 2)} AS n, list(DISTINCT lower({_part('url', 1)}) || '://' || {_part('url', 2)} || {_path('url')}) AS urls FROM scrapes GROUP BY 1),
     e AS (SELECT n, unnest(urls) AS url FROM s WHERE n <> '') SELECT 'https://' || n AS base, url, 'sitemap' AS source FROM e"""
@@ -724,7 +909,10 @@ def text_prompts_whole(spark: SparkSession, sf: str) -> DataFrame:
     return _scrapes(spark, sf).where("markdown is not null").select("scrape_id", ft.truncate_prompt(prompt).alias("prompt"))
 
 
-@query()
+@query(
+    f"""WITH k AS (SELECT scrape_id, left(sha256({_normalized('url')} || chr(10) || '[{{"k":"formats","v":"markdown"}}' || CASE WHEN metadata.language IS NULL THEN '' ELSE ',{{"k":"language","v":"' || metadata.language || '"}}' END || ']'), 16) AS key FROM scrapes)
+    SELECT scrape_id, key, count(*) OVER (PARTITION BY key) AS requests FROM k"""
+)
 def text_cache_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Key of each request, and whether another request has it too."""
     keyed = _scrapes(spark, sf).select("scrape_id", ft.cache_key(fu.normalize_url(U("url")), {"language": F.col("metadata.language"), "formats": F.lit("markdown")}).alias("key"))
