@@ -81,6 +81,15 @@ def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return p7_chunks.chunk(table(spark, sf, "scrapes").select("scrape_id", "markdown"), table(spark, sf, "chunk_profiles"))
 
 
+def p7_rejoined(spark: SparkSession, sf: str) -> DataFrame:
+    """Each profile's pieces of a record put together again without their overlaps; pieces over the limit are left out, so that they would be missed."""
+    limits = table(spark, sf, "chunk_profiles").select("profile", "max_tokens")
+    pieces = p7_pieces(spark, sf).join(F.broadcast(limits), "profile").where("tokens <= max_tokens")  # at most 1,000 profiles
+    parts = pieces.groupBy("profile", "scrape_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "piece"))).alias("x"))  # pieces of one text
+    texts = F.transform("x", lambda p, i: F.when(i == 0, p["piece"]).otherwise(F.substr(p["piece"], F.get("x", i - 1)["end"] - p["start"] + 1)))
+    return parts.select("profile", "scrape_id", F.array_join(texts, "").alias("markdown"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return p8_tokens.encode(table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -123,7 +132,7 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)
-    more = (p1_clean, p1_loaded, p2_restored, p3_cases, p4_groups, p5_article, p6_passages, p7_pieces, p8_decoded, p9_shares, p9_mix_documents, p10_composition)
+    more = (p1_clean, p1_loaded, p2_restored, p3_cases, p4_groups, p5_article, p6_passages, p7_pieces, p7_rejoined, p8_decoded, p9_shares, p9_mix_documents, p10_composition)
     return {f.__name__: f for f in (*found, *more)}
 
 
@@ -150,14 +159,20 @@ def oracle_sql() -> dict[str, str]:
     SELECT l.scrape_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE h.line_no IS NULL), '') AS markdown
     FROM lines l LEFT JOIN hit h ON l.scrape_id = h.scrape_id AND l.line_no = h.line_no
     WHERE l.scrape_id IN (SELECT scrape_id FROM hit) GROUP BY l.scrape_id""",
-        "p4_found": r"""
-    WITH w AS (SELECT scrape_id, regexp_extract_all(lower(markdown), '[\pL\pN]+') AS ws FROM scrapes WHERE markdown IS NOT NULL),
-    s AS (SELECT DISTINCT scrape_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w WHERE len(ws) >= 3),
-    n AS (SELECT scrape_id, count(*) AS n FROM s GROUP BY scrape_id),
-    c AS (SELECT a.scrape_id AS a, b.scrape_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.scrape_id < b.scrape_id GROUP BY 1, 2)
-    SELECT a AS scrape_id_a, b AS scrape_id_b FROM c JOIN n x ON x.scrape_id = a JOIN n y ON y.scrape_id = b
-    WHERE c >= 0.6 * (x.n + y.n - c)""",
+        "p4_found": f"WITH {_PAIRS} SELECT a AS scrape_id_a, b AS scrape_id_b FROM pairs",
+        "p4_groups": f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs),
+    r AS (SELECT scrape_id AS id, scrape_id AS g FROM n UNION SELECT e.y, r.g FROM r JOIN e ON e.x = r.id)
+    SELECT r.id, min(g) AS "group", (SELECT count(*) FROM e WHERE e.x = r.id) AS links FROM r GROUP BY r.id""",
+        "p7_rejoined": "SELECT profile, scrape_id, markdown FROM scrapes, chunk_profiles WHERE length(markdown) > 0",
         "p7_found": f"SELECT profile, scrape_id FROM scrapes, chunk_profiles WHERE {_SIZE} > max_tokens",
         "p8_decoded": "SELECT doc_id FROM documents WHERE false",
     }
     return sql | {"p1_loaded": sql["p1_clean"]}
+
+
+_PAIRS = r"""
+    w AS (SELECT scrape_id, regexp_extract_all(lower(markdown), '[\pL\pN]+') AS ws FROM scrapes WHERE markdown IS NOT NULL),
+    s AS (SELECT DISTINCT scrape_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w WHERE len(ws) >= 3),
+    n AS (SELECT scrape_id, count(*) AS n FROM s GROUP BY scrape_id),
+    c AS (SELECT a.scrape_id AS a, b.scrape_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.scrape_id < b.scrape_id GROUP BY 1, 2),
+    pairs AS (SELECT a, b FROM c JOIN n x ON x.scrape_id = a JOIN n y ON y.scrape_id = b WHERE c >= 0.6 * (x.n + y.n - c))"""
