@@ -114,6 +114,11 @@ def cache_key(url: Column, params: dict[str, Column]) -> Column:
     return F.substring(F.sha2(F.concat(url, F.lit("\n"), F.to_json(given) if parts else F.lit("[]")), 256), 1, 16)
 
 
+def base64_field(value: Column) -> Column:
+    """Bytes, or the UTF-8 of a text, as base64 in one line."""
+    return F.replace(F.base64(value.cast("binary")), F.lit("\r\n"), F.lit(""))
+
+
 def csv_field(value: Column) -> Column:
     """Quoted where needed, quotes doubled."""
     return F.when(value.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)

@@ -6,7 +6,7 @@ becoming null. All functions give null for null.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -98,9 +98,7 @@ def matches_domain(url: Column, domain: str) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def resolve_url(base: pd.Series, link: pd.Series) -> pd.Series:
-    """Absolute form of a link; only relative links with dot segments need more than an expression can say."""
-
+def _joined(base: pd.Series, link: pd.Series) -> pd.Series:
     def join(b: str | None, x: str | None) -> str | None:
         if x is None:
             return None
@@ -112,6 +110,15 @@ def resolve_url(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([join(b, x) for b, x in zip(base, link)], dtype=object)
 
 
+def resolve_url(base: Column, link: Column) -> Column:
+    """Absolute form of a link. Plain absolute and root-relative links are expressions; only other ones reach Python."""
+    absolute = link.rlike(r"^https?://[^/?#\s;\[\]]+(?:/[^?#\s;]*)?(?:\?[^#\s]+)?(?:#\S+)?$") & ~link.rlike(r"/\.")
+    rooted = link.rlike(r"^/(?:[^/?#\s;][^?#\s;]*)?(?:\?[^#\s]+)?(?:#\S+)?$") & ~link.rlike(r"/\.") & base.rlike(r"^https?://[^/?#\s;\[\]]+")
+    hard = ~F.coalesce(absolute | rooted, F.lit(False)) & link.isNotNull()
+    other = _joined(F.when(hard, base), F.when(hard, link))
+    return F.when(absolute, link).when(rooted, F.concat(scheme(base), F.lit("://"), netloc(base), link)).otherwise(other)
+
+
 def url_score(url: Column, keywords: Iterable[str] = ()) -> Column:
     """Worth of a url for a crawl, 0 to 1: shallow paths, keywords and content paths raise it, service paths lower it."""
     p, q, low = F.lower(path(url)), query(url), F.lower(url)
@@ -167,6 +174,16 @@ def is_ad_or_tracker(url: Column) -> Column:
     return h.rlike(r"^(?:.*\.)?(?:" + "|".join(d.replace(".", r"\.") for d in AD_DOMAINS) + ")$")
 
 
+# Fixed values.
+HEAVY_RESOURCES = ("image", "media", "font")
+
+
+def is_blocked_request(url: Column, resource_type: Column, block_ads: bool = True, block_media: bool = False) -> Column:
+    """Whether a browser with these settings would not have sent the request."""
+    ads = is_ad_or_tracker(url) if block_ads else F.lit(False)
+    return F.coalesce(ads, F.lit(False)) | (F.coalesce(F.lower(resource_type).isin(*HEAVY_RESOURCES), F.lit(False)) if block_media else F.lit(False))
+
+
 def is_pdf(url: Column, content_type: Column) -> Column:
     return F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("application/pdf")) | F.endswith(F.lower(F.regexp_replace(url, r"/+$", "")), F.lit(".pdf"))
 
@@ -178,11 +195,13 @@ def crawlable(url: Column, seed: Column) -> Column:
 
 def filter_urls(
     df: DataFrame, url: str = "url", order: str | None = None, allowed_domains: Iterable[str] = (), blocked_domains: Iterable[str] = (), include_paths: Iterable[str] = (),
-    exclude_paths: Iterable[str] = (), allowed_extensions: Iterable[str] | None = None, blocked_extensions: Iterable[str] = (), unique: bool = True,
+    exclude_paths: Iterable[str] = (), allowed_extensions: Iterable[str] | None = None, blocked_extensions: Iterable[str] = (), unique: bool = True, filters: Iterable[Callable[[Column], Column]] = (),
 ) -> DataFrame:
-    """Rows whose url passes all filters; then, of urls alike, the first in the given order."""
+    """Rows whose url passes all filters, own ones (a condition of the url) too; then, of urls alike, the first in the given order."""
     u = F.col(url)
     kept = df.where(domain_allowed(u, allowed_domains, blocked_domains) & path_allowed(u, include_paths, exclude_paths) & content_type_allowed(u, allowed_extensions, blocked_extensions))
+    for own in filters:
+        kept = kept.where(own(u))
     if not unique:
         return kept
     if order is None:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,16 +28,20 @@ def edges(stored: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return found.select(fu.normalize_url(F.col("page")).alias("src"), fu.normalize_url(F.col("link")).alias("dst"), "position").where(fu.scheme(F.col("dst")).isin("http", "https"))
 
 
-def breadth_first(links: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pages: int | None = None) -> DataFrame:
+def breadth_first(links: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pages: int | None = None, state: DataFrame | None = None) -> DataFrame:
     """(seed, url, depth): pages in reach of each seed (seed) within its netloc, each at its least depth.
 
     max_pages keeps the first pages by depth and url for each seed. The links within a site are written once, so that no
-    level parses a page again.
+    level parses a page again. With state, a result of less depth, the crawl goes on from its last level.
     """
     links = written(links.where(fu.is_same_domain(F.col("src"), F.col("dst"))).select("src", "dst").distinct())
     frontier = written(seeds.select(fu.normalize_url(F.col("seed")).alias("seed")).distinct().select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth")))
-    visited = frontier
-    for depth in range(1, max_depth + 1):
+    visited, first = frontier, 1
+    if state is not None:
+        visited = written(state.select("seed", "url", F.col("depth").cast("int").alias("depth")))
+        first = 1 + (visited.agg(F.max("depth")).first()[0] or 0)
+        frontier = visited.where(F.col("depth") == first - 1)
+    for depth in range(first, max_depth + 1):
         step = frontier.join(links, frontier.url == links.src)
         step = step.select("seed", F.col("dst").alias("url")).distinct().join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
         frontier = written(step.withColumn("depth", F.lit(depth)))
@@ -92,8 +96,14 @@ def replay(links: pd.DataFrame, seed: str, strategy: str, max_pages: int, max_de
     return out
 
 
-def crawl(links: DataFrame, seeds: DataFrame, strategy: str = "bfs", max_pages: int = 10, max_depth: int = 3, keywords: Iterable[str] = ()) -> DataFrame:
-    """(seed, seq, url, depth) of each seed's crawl in order of visit."""
+def crawl(links: DataFrame, seeds: DataFrame, strategy: str | Callable[[Column], Column] = "bfs", max_pages: int = 10, max_depth: int = 3, keywords: Iterable[str] = (), allowed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(seed, seq, url, depth) of each seed's crawl in order of visit.
+
+    A strategy of one's own is an expression of the url: the greatest value is visited first. Links that are not allowed, a
+    condition of the url, are not followed.
+    """
+    worth = strategy if callable(strategy) else lambda u: fu.url_score(u, words)
+    strategy = "best_first" if callable(strategy) else strategy
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown crawl strategy: {strategy}")
     words = tuple(keywords)
@@ -102,7 +112,9 @@ def crawl(links: DataFrame, seeds: DataFrame, strategy: str = "bfs", max_pages:
         rows = [(s, i, u, d) for s in sorted(set(start["seed"])) for i, (u, d) in enumerate(replay(own, s, strategy, max_pages, max_depth))]
         return pd.DataFrame(rows, columns=["seed", "seq", "url", "depth"])
 
-    own = links.where(fu.is_same_domain(F.col("src"), F.col("dst"))).withColumn("site", fu.netloc(F.col("src"))).withColumn("worth", fu.url_score(F.col("dst"), words))
+    own = links.where(fu.is_same_domain(F.col("src"), F.col("dst"))).withColumn("site", fu.netloc(F.col("src"))).withColumn("worth", worth(F.col("dst")).cast("double"))
+    if allowed is not None:
+        own = own.where(allowed(F.col("dst")))
     start = seeds.select(fu.normalize_url(F.col("seed")).alias("seed")).withColumn("site", fu.netloc(F.col("seed")))
     # Only sites that have a seed are gathered, each in one task.
     own = own.join(start.select("site").distinct(), "site", "left_semi")

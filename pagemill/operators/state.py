@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.time import micros
@@ -104,15 +104,15 @@ def least_used(state: DataFrame, uses: str) -> DataFrame:
     return state.where("ok").orderBy(uses, "proxy_url").limit(1)
 
 
-def admitted(events: DataFrame, key: str, rpm: int, id_col: str, ts: str = "ts") -> DataFrame:
-    """events' ids with allowed: a leaky bucket per key, which holds rpm requests and drains rpm a minute."""
+def admitted(events: DataFrame, key: str, rpm: int | Column, id_col: str, ts: str = "ts") -> DataFrame:
+    """events' ids with allowed: a leaky bucket per key, which holds rpm requests and drains rpm a minute. rpm may be each row's own."""
     key_type, id_type = (events.schema[c].dataType.simpleString() for c in (key, id_col))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, level, last = None, 0.0, 0.0
         for batch in batches:
             out = []
-            for k, row, t in zip(batch[key], batch[id_col], batch["__at"]):
+            for k, row, t, rpm in zip(batch[key], batch[id_col], batch["__at"], batch["__rpm"]):
                 if k != at:
                     at, level, last = k, 0.0, t
                 level, last = max(0.0, level - (t - last) * rpm / 60.0), t
@@ -122,8 +122,9 @@ def admitted(events: DataFrame, key: str, rpm: int, id_col: str, ts: str = "ts")
             yield pd.DataFrame(out, columns=[key, id_col, "allowed"])
 
     rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("__at", micros(ts) / 1e6)
+    rows = rows.withColumn("__rpm", (rpm if isinstance(rpm, Column) else F.lit(rpm)).cast("double"))
     rows = rows.repartition(key).sortWithinPartitions(key, "__at", id_col)
-    return rows.select(key, id_col, "__at").mapInPandas(run, f"{key} {key_type}, {id_col} {id_type}, allowed boolean")
+    return rows.select(key, id_col, "__at", "__rpm").mapInPandas(run, f"{key} {key_type}, {id_col} {id_type}, allowed boolean")
 
 
 def first_of_day(events: DataFrame, keys: list[str], id_col: str, ts: str = "ts", hours: int = 24) -> DataFrame:

@@ -77,6 +77,20 @@ def prometheus(counters: DataFrame, prefix: str) -> DataFrame:
     return counters.select("name", text.alias("text"))
 
 
+def histogram_sum(events: DataFrame, value: Column) -> DataFrame:
+    """One row (count, sum) of the values, the sum to four places."""
+    return events.select(value.cast("double").alias("v")).agg(F.count("v").alias("count"), F.round(F.coalesce(F.sum("v"), F.lit(0.0)), 4).alias("sum"))
+
+
+def prometheus_histogram(counts: DataFrame, total: DataFrame, name: str, help_text: str, prefix: str) -> DataFrame:
+    """(position, line) of a histogram (position, le, n) and its (count, sum) in text exposition format."""
+    full = prefix + name
+    head = counts.sparkSession.createDataFrame([(-2, f"# HELP {full} {help_text}"), (-1, f"# TYPE {full} histogram")], "position int, line string")
+    bounds = counts.select("position", F.concat(F.lit(f'{full}_bucket{{le="'), "le", F.lit('"} '), F.col("n").cast("string")).alias("line"))
+    ends = F.array(F.struct(F.lit(1000).alias("position"), F.concat(F.lit(f"{full}_sum "), F.col("sum").cast("string")).alias("line")), F.struct(F.lit(1001).alias("position"), F.concat(F.lit(f"{full}_count "), F.col("count").cast("string")).alias("line")))
+    return head.union(bounds).union(total.select(F.inline(ends)))
+
+
 def acquire_stats(samples: DataFrame, key: str, ts: str, ms: str, digits: int = 2) -> DataFrame:
     """(key, acquires, avg_ms, p95_ms): mean and nearest-rank percentile of the latest samples.
 

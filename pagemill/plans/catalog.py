@@ -961,6 +961,93 @@ def response_interactive_kind(spark: SparkSession, sf: str) -> DataFrame:
     return _with_html(spark, sf).select("scrape_id", responses.cloudflare_kind(U(HTML)).alias("kind"))
 
 
+@query("SELECT scrape_id, base64(encode(markdown)) AS encoded FROM scrapes WHERE markdown IS NOT NULL")
+def text_base64(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrapes(spark, sf).where("markdown is not null").select("scrape_id", ft.base64_field(U(MD)).alias("encoded"))
+
+
+@query(
+    f"""WITH u AS (SELECT event_id, resource_type, lower(regexp_replace(regexp_replace({_part('url', 2)}, '^.*@', ''), ':[0-9]*$', '')) AS h FROM network_events), d AS (SELECT *, regexp_matches(h, '^(.*\\.)?({'|'.join(d.replace('.', chr(92) + '.') for d in fu.AD_DOMAINS)})$') AS ad FROM u)
+    SELECT event_id, ad AS blocked, ad OR coalesce(lower(resource_type) IN ('image', 'media', 'font'), false) AS blocked_with_media FROM d"""
+)
+def url_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.read_table(spark, sf, "network_events")
+    return rows.select("event_id", fu.is_blocked_request(U("url"), F.col("resource_type")).alias("blocked"), fu.is_blocked_request(U("url"), F.col("resource_type"), block_media=True).alias("blocked_with_media"))
+
+
+@query(
+    """WITH x AS (SELECT response_time_ms / 1000 AS v FROM network_events WHERE response_time_ms IS NOT NULL), b AS ("""
+    + " UNION ALL ".join(f"SELECT {i} AS position, '{b}' AS le, count_if(v <= {b}) AS n FROM x" for i, b in enumerate(usage.BOUNDS))
+    + f""" UNION ALL SELECT {len(usage.BOUNDS)}, '+Inf', count(*) FROM x)
+    SELECT position, 'mill_latency_bucket{{le="' || le || '"}} ' || n AS line FROM b UNION ALL SELECT -2, '# HELP mill_latency Seconds' UNION ALL SELECT -1, '# TYPE mill_latency histogram' UNION ALL SELECT 1001, 'mill_latency_count ' || count(*) FROM x"""
+)
+def usage_prometheus_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of a histogram; that of the sum, whose last digits depend on the order of addition, is compared by usage_histogram_sum."""
+    rows, seconds = src.read_table(spark, sf, "network_events"), F.col("response_time_ms") / 1000
+    return usage.prometheus_histogram(usage.histogram(rows, seconds), usage.histogram_sum(rows, seconds), "latency", "Seconds", "mill_").where("position <> 1000")
+
+
+@query("SELECT count(response_time_ms) AS count, round(sum(response_time_ms / 1000), 2) AS sum FROM network_events")
+def usage_histogram_sum(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.histogram_sum(src.read_table(spark, sf, "network_events"), F.col("response_time_ms") / 1000).withColumn("sum", F.round("sum", 2))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT page_host AS k, event_id, epoch_us(ts) / 1e6 AS t, 1.0 + length(page_host) % 3 AS rpm, row_number() OVER (PARTITION BY page_host ORDER BY epoch_us(ts) / 1e6, event_id) AS rn
+      FROM (SELECT DISTINCT event_id, page_host, ts FROM network_events) WHERE page_host IS NOT NULL AND ts IS NOT NULL),
+    s AS (SELECT k, rn, event_id, t, 1.0::DOUBLE AS level, true AS allowed FROM e WHERE rn = 1
+      UNION ALL
+      SELECT e.k, e.rn, e.event_id, e.t, greatest(0.0, level - (e.t - s.t) * rpm / 60.0) + CASE WHEN greatest(0.0, level - (e.t - s.t) * rpm / 60.0) + 1 <= rpm THEN 1 ELSE 0 END, greatest(0.0, level - (e.t - s.t) * rpm / 60.0) + 1 <= rpm
+      FROM s JOIN e ON e.k = s.k AND e.rn = s.rn + 1)
+    SELECT k AS page_host, event_id, allowed FROM s"""
+)
+def state_rate_limit_of_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Each host with a limit of its own."""
+    rows = src.read_table(spark, sf, "network_events").dropDuplicates(["event_id"])
+    return state.admitted(rows, "page_host", 1 + F.length("page_host") % 3, "event_id")
+
+
+@query(
+    """WITH x AS (SELECT scrape_id, replace(url, '&', '&amp;') AS u, scrape_id % 3 AS k FROM scrapes)
+    SELECT scrape_id, CASE k WHEN 0 THEN url || ' https://a.test/2' WHEN 1 THEN 'https://a.test/map.xml' ELSE '' END AS urls FROM scrapes JOIN x USING (scrape_id)"""
+)
+def crawl_sitemaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Site maps of pages, of site maps, and what is no xml."""
+    u = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    ns = ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    pages_ = F.concat(F.lit(f"<urlset{ns}><url><loc>"), u, F.lit("</loc></url><url><loc> https://a.test/2 </loc></url></urlset>"))
+    maps = F.concat(F.lit(f"<sitemapindex{ns}><sitemap><loc>https://a.test/map.xml</loc></sitemap><url><loc>"), u, F.lit("</loc></url></sitemapindex>"))
+    kind = F.col("scrape_id") % 3
+    xml = F.when(kind == 0, pages_).when(kind == 1, maps).otherwise(F.concat(F.lit("no map of "), u))
+    rows = _scrapes(spark, sf).select("scrape_id", crawl.parse_sitemap(xml).alias("urls"))
+    return rows.select("scrape_id", F.array_join("urls", " ").alias("urls"))
+
+
+@query(_SQL["crawl_breadth_first"])
+def crawl_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """A crawl stopped after its first level, saved, loaded and carried on."""
+    seeds = src.read_table(spark, sf, "crawl_jobs").where("url is not null").select(F.col("url").alias("seed"))
+    links, folder = crawl.edges(src.pages(spark, sf)), new_path(spark)
+    src.save_checkpoint(crawl.breadth_first(links, seeds, max_depth=1), folder, "job")
+    return crawl.breadth_first(links, seeds, max_depth=3, state=src.load_checkpoint(spark, folder, "job"))
+
+
+@query("SELECT job_id, epoch_us(date_trunc('day', created_at) + INTERVAL 1 DAY) AS midnight, epoch_us(date_trunc('minute', created_at) + to_minutes(15 - minute(created_at) % 15)) AS quarter, epoch_us(created_at + INTERVAL 1 HOUR) AS invalid FROM crawl_jobs WHERE created_at IS NOT NULL")
+def source_next_runs(spark: SparkSession, sf: str) -> DataFrame:
+    from pagemill.functions.time import micros
+
+    rows = src.read_table(spark, sf, "crawl_jobs").where("created_at is not null")
+    runs = {"midnight": "0 0 * * *", "quarter": "*/15 * * * *", "invalid": "every day"}
+    return rows.select("job_id", *(src.next_run(F.lit(c), F.col("created_at")).alias(n) for n, c in runs.items())).select("job_id", *(micros(n).alias(n) for n in runs))
+
+
+@query("SELECT job_id, epoch_us(created_at) AS created FROM crawl_jobs")
+def source_schedules(spark: SparkSession, sf: str) -> DataFrame:
+    from pagemill.functions.time import micros
+
+    return src.listed(src.read_table(spark, sf, "crawl_jobs")).select("job_id", micros("created_at").alias("created"))
+
+
 @query()
 def response_image_difference(spark: SparkSession, sf: str) -> DataFrame:
     """Difference of the bytes of each page's html and markdown, as stand-ins for two captures."""

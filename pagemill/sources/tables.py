@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -81,6 +83,54 @@ def due(schedules: DataFrame, now) -> DataFrame:
     return schedules.where(F.col("enabled") & (F.col("next_run") <= now))
 
 
+def listed(schedules: DataFrame):
+    """Schedules, newest first."""
+    return schedules.orderBy(F.desc("created_at"), "job_id")
+
+
+def _cron_field(text: str, low: int, high: int) -> set[int]:
+    """Numbers of a field: *, numbers, ranges and steps, in lists."""
+    out: set[int] = set()
+    for part in text.split(","):
+        span, _, step = part.partition("/")
+        first, _, last = span.partition("-")
+        a, b = (low, high) if span == "*" else (int(first), int(last) if last else high if step else int(first))
+        if not low <= a <= b <= high or step and int(step) < 1:
+            raise ValueError(text)
+        out.update(range(a, b + 1, int(step or 1)))
+    return out
+
+
+def cron_next(expression: str | None, now: datetime) -> datetime:
+    """First minute after now that a cron expression of five fields names; an hour later where the expression is invalid or names none in eight years."""
+    try:
+        minutes, hours, days, months, weekdays = (_cron_field(x, *b) for x, b in zip((expression or "").split(), ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7)), strict=True))
+    except ValueError:
+        return now + timedelta(seconds=3600)
+    any_day, any_weekday = len(days) == 31, {x % 7 for x in weekdays} == set(range(7))
+    day = now.replace(hour=0, minute=0, second=0, microsecond=0)
+    for _ in range(366 * 8):
+        week = (day.weekday() + 1) % 7 in {x % 7 for x in weekdays}
+        # Days of the month and of the week: either will do where both are named.
+        fits = (week or day.day in days) if not any_day and not any_weekday else week and day.day in days
+        if day.month in months and fits:
+            for h in sorted(hours):
+                for m in sorted(minutes):
+                    if (at := day.replace(hour=h, minute=m)) > now:
+                        return at
+        day += timedelta(days=1)
+    return now + timedelta(seconds=3600)
+
+
+def next_run(expression: Column, now: Column) -> Column:
+    """When a schedule runs next."""
+
+    def run(expressions: pd.Series, times: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(t) else cron_next(x, pd.Timestamp(t).to_pydatetime()) for x, t in zip(expressions, times)], dtype="datetime64[us]")
+
+    return F.pandas_udf(run, "timestamp_ntz")(expression, now)
+
+
 def cached(requests: DataFrame, cache: DataFrame, now, ttl: int, key: str = "key") -> DataFrame:
     """requests with the cached response of their key, null where there is none or it is older than ttl seconds."""
     fresh = cache.where((micros(now) - micros("stored_at")) <= ttl * 1_000_000)

@@ -159,6 +159,47 @@ def test_best_first_takes_the_greatest_worth(spark):
     assert [r.url for r in got] == ["https://a.test/", "https://a.test/blog/x", "https://a.test/TAG/kw", "https://a.test/login?a&b&c&d", "https://a.test/a/b/c/d/e"]
 
 
+def test_own_strategies_and_filters(spark):
+    from pagemill.functions.url import filter_urls
+
+    links = spark.createDataFrame([("https://a.test/", f"https://a.test/{x}", i) for i, x in enumerate(("bb", "cccc", "d", "no"))], "src string, dst string, position int")
+    seeds = spark.createDataFrame([("https://a.test/",)], "seed string")
+    got = crawl.crawl(links, seeds, F.length, allowed=lambda u: ~F.endswith(u, F.lit("no"))).orderBy("seq").collect()
+    assert [r.url[15:] for r in got] == ["", "cccc", "bb", "d"]
+    urls = spark.createDataFrame([("https://a.test/x",), ("https://a.test/yy",)], "url string")
+    assert [r.url for r in filter_urls(urls, filters=[lambda u: F.length(u) > 16]).collect()] == ["https://a.test/yy"]
+
+
+def test_a_page_that_raises_fails_no_other(spark, monkeypatch):
+    from pagemill.operators import pages
+
+    def bad(h):
+        if "bad" in h:
+            raise ValueError("no page")
+        return {"title": h, "error": None}
+
+    df = spark.createDataFrame([("good",), ("bad",), (None,)], "h string")
+    got = df.select(pages._record(bad, [("title", "string"), ("error", "string")], F.col("h")).alias("r")).collect()
+    assert [(r.r.title, r.r.error) for r in got] == [("good", None), (None, "ValueError: no page"), (None, None)]
+    assert [r[0] for r in df.select(pages._function(lambda h: bad(h)["title"], "string", F.col("h"))).collect()] == ["good", None, None]
+
+
+def test_patterns_have_a_time_limit(monkeypatch):
+    from pagemill.dom import page
+
+    monkeypatch.setattr(page, "REGEX_SECONDS", 0.2)
+    text = f"<p>{'a' * 40}!</p>"
+    assert page.regex_record(text, {"x": r"(a|aa|aaa)+\d$", "y": "a!"}) == {"x": None, "y": "a!"} and page.regex_records(text, r"(a|aa|aaa)+\d$") == [{}]
+
+
+@pytest.mark.parametrize(
+    ("expression", "now", "want"),
+    [("*/15 * * * *", (2024, 1, 1, 0, 0, 30), (2024, 1, 1, 0, 15)), ("30 9 * * 1-5", (2024, 1, 5, 10), (2024, 1, 8, 9, 30)), ("0 0 29 2 *", (2024, 3, 1), (2028, 2, 29)), ("0 12 1 * 0", (2024, 1, 2), (2024, 1, 7, 12)), ("0 0 31 2 *", (2024, 1, 1), (2024, 1, 1, 1)), ("61 * * * *", (2024, 1, 1), (2024, 1, 1, 1)), (None, (2024, 1, 1), (2024, 1, 1, 1))],
+)
+def test_cron(expression, now, want):
+    assert src.cron_next(expression, dt.datetime(*now)) == dt.datetime(*want)
+
+
 def test_site_maps_and_robots(spark):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     maps = [
