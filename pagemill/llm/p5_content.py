@@ -288,7 +288,7 @@ def line_kinds(lines: list[str], full: list[int]) -> dict[int, str]:
         elif x.startswith("*") and x.endswith("*"):
             kind = "slant"
         if m := re.search(r"^(?:- )?\[[^\]]*\]\((\S*)\)\W*$", x):
-            kind += "-out" if "://" in m[1] else "-near" if re.match(r"/\d+-", m[1]) else "-in"
+            kind += "-out" if "://" in m[1] else "-in"
         kinds[no] = kind
     return kinds
 
