@@ -125,7 +125,7 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     plans = plan(hist, targets, budget)
     # Buckets are taken whole in their order; only within the last one documents are ranked.
     upto = F.sum("n").over(Window.partitionBy("source", "n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    per = hist.withColumn("upto", upto).join(plans, ["source", "n_tokens"])
+    per = hist.withColumn("upto", upto).join(plans.hint("merge"), ["source", "n_tokens"])
     per = per.select("source", "n_tokens", "bucket", "full_uses", F.greatest(F.lit(0), F.least("n", F.col("extra") - (F.col("upto") - F.col("n")))).alias("k"))
     docs = sized.select("doc_id", "source", "n_tokens", bucket_of(seed).alias("bucket")).join(per, ["source", "n_tokens", "bucket"])
     rank = F.row_number().over(Window.partitionBy("source", "n_tokens", "bucket").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id"))
@@ -137,7 +137,7 @@ def reached(sized: DataFrame, targets: DataFrame, budget: int | None = None, see
     """(source, share, got, short) per listed source: what the plan takes of it; short where it is all there is and not its share."""
     hist = written(histogram(sized, targets, seed))
     plans = plan(hist, targets, budget)
-    n = hist.groupBy("source", "n_tokens").agg(F.sum("n").alias("n")).join(plans, ["source", "n_tokens"])
+    n = hist.groupBy("source", "n_tokens").agg(F.sum("n").alias("n")).join(plans.hint("merge"), ["source", "n_tokens"])
     got = n.groupBy("source").agg(F.sum(F.col("n_tokens") * (F.col("n") * F.col("full_uses") + F.col("extra"))).alias("got"))
     rows = balance(hist, targets, budget).join(got, "source", "left").withColumn("got", F.coalesce("got", F.lit(0)))
     return rows.select("source", "share", "got", ((F.col("got") >= F.col("max_uses") * F.col("tokens")) & (F.col("goal") > F.col("got"))).alias("short"))
