@@ -308,12 +308,60 @@ def page_tables_csv(spark: SparkSession, sf: str) -> DataFrame:
     return _with_html(spark, sf).select("scrape_id", pages.tables_csv(U(HTML)).alias("csv"))
 
 
-@query()
+_BLANKS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]"
+# A block's text goes as far as the next tag that is not within a line.
+_FLOW = rf"""b AS (SELECT scrape_id, string_split(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?i)<(h[1-6]|p|li)(?:\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'), chr(1))[2:] AS xs FROM scrapes WHERE html IS NOT NULL),
+    x AS (SELECT scrape_id, unnest(xs) AS x, unnest(range(0, len(xs))) AS no FROM b),
+    t AS (SELECT scrape_id, no, lower(split_part(x, chr(2), 1)) AS tag, regexp_extract(split_part(x, chr(2), 2), '(?is)^(.*?)(?:</?(?:h[1-6]|p|li|ul|ol|table|tr|td|div|section|article|aside|nav|footer|header|main|pre|body|html|blockquote|form|noscript|script)\b|$)', 1) AS raw FROM x),
+    f AS (SELECT scrape_id, no, tag, regexp_replace({_unescape("regexp_replace(raw, '<[^>]*>', '', 'g')")}, '^{_BLANKS}+|{_BLANKS}+$', '', 'g') AS text FROM t)"""
+
+
+@query(
+    f"""WITH {_FLOW}, k AS (SELECT * FROM f WHERE text <> ''),
+    s AS (SELECT *, count_if(starts_with(tag, 'h')) OVER (PARTITION BY scrape_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS n, count_if(NOT starts_with(tag, 'h')) OVER (PARTITION BY scrape_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS before FROM k),
+    g AS (SELECT scrape_id, n, coalesce(max(CASE WHEN starts_with(tag, 'h') THEN text END), '') AS heading, coalesce(max(CASE WHEN starts_with(tag, 'h') THEN right(tag, 1)::INTEGER END), 0) AS level, count_if(NOT starts_with(tag, 'h'))::INTEGER AS parts FROM s GROUP BY scrape_id, n)
+    SELECT scrape_id, (row_number() OVER (PARTITION BY scrape_id ORDER BY n) - 1)::INTEGER AS section_no, heading, level, parts FROM g"""
+)
 def page_sections(spark: SparkSession, sf: str) -> DataFrame:
     rows = _with_html(spark, sf).select("scrape_id", F.posexplode(pages.sections(U(HTML))).alias("section_no", "s"))
     return rows.select("scrape_id", "section_no", "s.heading", "s.level", F.size("s.content").alias("parts"))
 
 
+def _xml_text(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _json_text(x: str) -> str:
+    return f"replace(replace({x}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"')"
+
+
+@query(
+    f"""WITH {_FLOW}, k AS (SELECT scrape_id, string_agg('<' || tag || '>' || {_xml_text('text')} || '</' || tag || '>', '' ORDER BY no) AS x FROM f WHERE text <> '' GROUP BY scrape_id)
+    SELECT scrape_id, '<?xml version=''1.0'' encoding=''utf-8''?>' || chr(10) || coalesce('<document>' || x || '</document>', '<document />') AS xml FROM scrapes LEFT JOIN k USING (scrape_id) WHERE html IS NOT NULL"""
+)
+def page_xml(spark: SparkSession, sf: str) -> DataFrame:
+    return _with_html(spark, sf).select("scrape_id", pages.convert(U(HTML), "xml").alias("xml"))
+
+
+@query(
+    f"""WITH {_FLOW}, k AS (SELECT * FROM f WHERE text <> ''), s AS (SELECT *, count_if(starts_with(tag, 'h')) OVER (PARTITION BY scrape_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS n FROM k),
+    g AS (SELECT scrape_id, n, '{{"heading":"' || coalesce(max(CASE WHEN starts_with(tag, 'h') THEN {_json_text('text')} END), '') || '","level":' || coalesce(max(CASE WHEN starts_with(tag, 'h') THEN right(tag, 1)::INTEGER END), 0)
+      || ',"content":[' || coalesce(string_agg('"' || {_json_text('text')} || '"', ',' ORDER BY no) FILTER (WHERE NOT starts_with(tag, 'h')), '') || ']}}' AS x FROM s GROUP BY scrape_id, n),
+    j AS (SELECT scrape_id, '[' || string_agg(x, ',' ORDER BY n) || ']' AS json FROM g GROUP BY scrape_id) SELECT scrape_id, coalesce(json, '[]') AS json FROM scrapes LEFT JOIN j USING (scrape_id) WHERE html IS NOT NULL"""
+)
+def page_json(spark: SparkSession, sf: str) -> DataFrame:
+    return _with_html(spark, sf).select("scrape_id", pages.convert(U(HTML), "json").alias("json"))
+
+
+@query(
+    f"""WITH p AS (SELECT scrape_id, {_unescape("regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<!?/?[A-Za-z][^>]*>', '', 'g')")} AS x FROM scrapes WHERE html IS NOT NULL),
+    l AS (SELECT scrape_id, array_to_string(list_transform(string_split(x, chr(10)), lambda y: regexp_replace(y, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')), chr(10)) AS x FROM p)
+    SELECT scrape_id, regexp_replace(regexp_replace(x, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_BLANKS}+|{_BLANKS}+$', '', 'g') AS text FROM l"""
+)
+def page_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _with_html(spark, sf).select("scrape_id", pages.convert(U(HTML), "text").alias("text"))
+
+
 @query()
 def page_pruned(spark: SparkSession, sf: str) -> DataFrame:
     return _with_html(spark, sf).select("scrape_id", pages.prune(U(HTML)).alias("html"))
