@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import p1_lines, p2_garbled, p3_residue, p4_neardup, p5_content, p6_language, p7_chunks, p8_tokens, p9_mix, p10_subjects
-from pagemill.llm.common import table
+from pagemill.llm.common import table, written
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,6 +117,17 @@ def p9_mix_documents(spark: SparkSession, sf: str) -> DataFrame:
     return p9_mix.mix(_sized(spark, sf), table(spark, sf, "mix_targets"))
 
 
+def p9_within(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each listed source with tokens: whether no document is used more than max_uses times, its tokens are within its share, and no document that could be used once more fits into what is missing."""
+    targets, sized = table(spark, sf, "mix_targets"), written(_sized(spark, sf))
+    goals = p9_mix.balance(p9_mix.histogram(sized, targets), targets).where("tokens > 0").select("source", "max_uses", "goal")
+    uses = sized.where("n_tokens > 0").join(p9_mix.mix(sized, targets).select("doc_id", "uses"), "doc_id", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    by_uses = uses.groupBy("source", "uses").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("got"), F.min("n_tokens").alias("shortest"))
+    used = by_uses.groupBy("source").agg(F.max("uses").alias("most"), F.min("uses").alias("least"), F.sum("got").alias("got"), F.min_by("shortest", "uses").alias("shortest"))
+    full = (F.col("goal") - F.col("got") < F.col("shortest")) | (F.col("least") == F.col("max_uses"))
+    return goals.join(used, "source").select("source", ((F.col("most") <= F.col("max_uses")) & (F.col("got") <= F.col("goal")) & full).alias("within"))
+
+
 def _subjects(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(table(spark, sf, x) for x in ("documents", "subject_labels", "subjects"))
 
@@ -132,7 +143,7 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)
-    more = (p1_clean, p1_loaded, p2_restored, p3_cases, p4_groups, p5_article, p6_passages, p7_pieces, p7_rejoined, p8_decoded, p9_shares, p9_mix_documents, p10_composition)
+    more = (p1_clean, p1_loaded, p2_restored, p3_cases, p4_groups, p5_article, p6_passages, p7_pieces, p7_rejoined, p8_decoded, p9_shares, p9_mix_documents, p9_within, p10_composition)
     return {f.__name__: f for f in (*found, *more)}
 
 
@@ -165,6 +176,7 @@ def oracle_sql() -> dict[str, str]:
     SELECT r.id, min(g) AS "group", (SELECT count(*) FROM e WHERE e.x = r.id) AS links FROM r GROUP BY r.id""",
         "p7_rejoined": "SELECT profile, scrape_id, markdown FROM scrapes, chunk_profiles WHERE length(markdown) > 0",
         "p7_found": f"SELECT profile, scrape_id FROM scrapes, chunk_profiles WHERE {_SIZE} > max_tokens",
+        "p9_within": "SELECT source, true AS within FROM mix_targets t WHERE target_weight IS NOT NULL AND source IN (SELECT source FROM documents WHERE length(text) > 0)",
         "p8_decoded": "SELECT doc_id FROM documents WHERE false",
     }
     return sql | {"p1_loaded": sql["p1_clean"]}
