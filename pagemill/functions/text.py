@@ -50,7 +50,7 @@ def strip(text: Column) -> Column:
 
 
 def clean_for_llm(markdown: Column) -> Column:
-    """Without lines that are only an anchor link, images (their alt text stays), html comments, links without a target."""
+    """Without lines that are only an anchor link, images (their alt text stays), html comments, links without a target. The patterns are fixed values."""
     x = F.regexp_replace(markdown, r"(?m)^\s*\[.*?\]\(#.*?\)\s*$", "")
     x = F.regexp_replace(x, r"!\[([^\]]*)\]\([^)]+\)", "$1")
     x = collapse_blank_lines(x)
@@ -59,6 +59,7 @@ def clean_for_llm(markdown: Column) -> Column:
     return strip(x)
 
 
+# Fixed value.
 LINK = r"\[([^\]]*)\]\(([^)]+)\)"
 
 

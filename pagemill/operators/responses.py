@@ -31,6 +31,7 @@ CHALLENGES = (
     ("meta_refresh", (), None, r"<meta[^>]+http-equiv=[\"']?refresh[\"']?[^>]+url="),
     ("generic_block", (403, 429), None, r"(bot detected|automated access|Please verify you are (a )?human|unusual traffic from your computer)"),
 )
+# Characters of a page that are looked at, what pages that need scripts hold, proxy errors, headers and networks that are refused.
 SCANNED = 15_000
 SCRIPT_PAGES = (
     r"(?i)<div\s+id=[\"'](?:root|app|__next|__nuxt)[\"']>\s*</div>",
