@@ -177,6 +177,17 @@ def text_citations(spark: SparkSession, sf: str) -> DataFrame:
     return cited.select("scrape_id", F.size(F.regexp_extract_all(body, F.lit(r"\[[^\]]*\]\[(\d+)\]"), 1)).alias("links"), F.when(has, F.size(F.split(tail, "\n"))).otherwise(0).alias("refs"))
 
 
+@query(
+    r"""WITH l AS (SELECT scrape_id, markdown, regexp_extract_all(markdown, '\[([^\]]*)\]\(([^)]+)\)', 1) AS w, regexp_extract_all(markdown, '\[([^\]]*)\]\(([^)]+)\)', 2) AS u, string_split_regex(markdown, '\[([^\]]*)\]\(([^)]+)\)') AS b FROM scrapes WHERE markdown IS NOT NULL),
+    t AS (SELECT *, list_filter(u, lambda x, i: NOT list_contains(u[: i - 1], x)) AS ts FROM l)
+    SELECT scrape_id, CASE WHEN len(u) = 0 THEN markdown ELSE b[1] || array_to_string(list_transform(range(1, len(u) + 1), lambda i: '[' || w[i] || '][' || list_position(ts, u[i]) || ']' || b[i + 1]), '')
+      || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**References**' || chr(10) || chr(10) || array_to_string(list_transform(ts, lambda x, i: '[' || i || ']: ' || x), chr(10)) END AS cited FROM t"""
+)
+def text_cited(spark: SparkSession, sf: str) -> DataFrame:
+    """Markdown with numbered references."""
+    return _scrapes(spark, sf).where("markdown is not null").select("scrape_id", ft.markdown_with_citations(U(MD)).alias("cited"))
+
+
 @query(
     r"""WITH s AS (SELECT scrape_id, unnest(string_split(regexp_replace(markdown, '(?m)^(#{1,6}[\t\n\v\f\r ])', chr(1) || '\1', 'g'), chr(1))) AS x FROM scrapes WHERE markdown IS NOT NULL)
     SELECT scrape_id, regexp_replace(x, '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g') AS section FROM s WHERE regexp_replace(x, '[\t\n\v\f\r ]+', '', 'g') <> ''"""
@@ -1096,6 +1107,17 @@ def source_schedules(spark: SparkSession, sf: str) -> DataFrame:
     return src.listed(src.read_table(spark, sf, "crawl_jobs")).select("job_id", micros("created_at").alias("created"))
 
 
+@query(
+    """WITH h AS (SELECT scrape_id, hex(encode(text)) AS a, hex(encode(markdown)) AS b FROM scrapes WHERE text IS NOT NULL AND markdown IS NOT NULL), n AS (SELECT *, least(length(a), length(b)) // 2 AS n, greatest(length(a), length(b)) // 2 AS m FROM h)
+    SELECT scrape_id, CASE WHEN a = b THEN 0.0 WHEN n < 0.8 * m OR n < 4 THEN 100.0 ELSE round((len(list_filter(range(0, n // 4), lambda g: substr(a, g * 8 + 1, 8) <> substr(b, g * 8 + 1, 8)))
+      + CASE WHEN substr(a, n // 4 * 8 + 1, n % 4 * 2) <> substr(b, n // 4 * 8 + 1, n % 4 * 2) THEN 1 ELSE 0 END) / (n // 4) * 100, 6) END::DOUBLE AS percent FROM n"""
+)
+def response_capture_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """Difference of the bytes of each page's text and markdown, which are of like size."""
+    both = _scrapes(spark, sf).where("text is not null and markdown is not null")
+    return both.select("scrape_id", F.round(responses.image_difference(F.encode(TEXT, "UTF-8"), F.encode(MD, "UTF-8")), 6).alias("percent"))
+
+
 @query()
 def response_image_difference(spark: SparkSession, sf: str) -> DataFrame:
     """Difference of the bytes of each page's html and markdown, as stand-ins for two captures."""
